@@ -120,3 +120,7 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_chat_windows, op2_suffix_tree_score, op3_pii_spans, op4_secret_spans, op5_language, op6_near_duplicates, op7_telephony_columns, op8_source_mix, op9_benchmark_overlap, op10_token_rollup)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
