@@ -6,11 +6,12 @@ circularly by k for coordinate k.  `bands` bands of `rows` coordinates give the
 candidates are confirmed by exact Jaccard similarity of the full sets.
 
 Documents of equal sets collapse to one class first, by a 128-bit digest, so thousands of exact copies
-are one node.  Within a bucket no pairs are enumerated: in every band each member is compared with the
-member that is smallest under that band's own hash.  A group's members share many buckets with
-different such hubs, which connects them.  Buckets that still span several components then go through
-an exact second pass: members of different components there are compared with each other unless
-their signatures agree in under `least_agreement` of the coordinates.
+are one node.  Within a bucket no pairs are enumerated: each member is compared with one hub, in even
+bands the member that is smallest under the band's own hash, in odd bands the one that shares the largest
+buckets, which is the middle of a group of copies.  Different bands have different hubs, and they
+connect a group.  Members of buckets that still span several components go through an exact second
+pass, a similarity join on prefixes: shingles in one fixed order, rarest first, meet only where size and
+position still allow the threshold, so members that no one resembles cost no comparisons.
 
 A pair at the threshold of 0.8 shares no band with a chance of 3e-5 (20 bands of 4 rows).
 
@@ -35,7 +36,8 @@ from .store import written
 SHINGLE = 5
 BANDS, ROWS = 20, 4
 THRESHOLD = 80
-LEAST_AGREEMENT = 0.55
+#: Counters of the shingle-frequency sketch that orders prefixes; any order gives right results.
+SLOTS = 1 << 18
 _SEEDS = np.random.default_rng(61).integers(1, 2**63, 4, dtype=np.uint64)
 
 
@@ -52,7 +54,7 @@ def signature(sets: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-_SKETCH = "id {id}, hash long, n int, d1 long, d2 long, bands array<long>, agree array<int>"
+_SKETCH = "id {id}, hash long, n int, d1 long, d2 long, bands array<long>"
 
 
 def _sketcher(shingle: int, bands: int, rows: int):
@@ -64,21 +66,18 @@ def _sketcher(shingle: int, bands: int, rows: int):
                 some = n > 0
                 m = hi - lo
                 d1, d2 = np.zeros(m, np.uint64), np.zeros(m, np.uint64)
-                keys, agree = np.zeros((0, bands), np.uint64), np.zeros((0, bands * rows), np.int32)
+                keys = np.zeros((0, bands), np.uint64)
                 if some.any():
                     cut = np.concatenate([ends[:-1][some], ends[-1:]])
                     d1[some] = np.add.reduceat(X.mix(values ^ _SEEDS[2]), cut[:-1])
                     d2[some] = np.add.reduceat(X.mix(values + _SEEDS[3]), cut[:-1]) ^ n[some].astype(np.uint64)
                     sig = signature(values, cut, bands * rows)
-                    agree = (sig & np.uint64(0x7FFFFFFF)).astype(np.int32)
                     parts = sig.reshape(len(sig), bands, rows)
                     keys = np.full((len(sig), bands), 7, np.uint64) * np.arange(1, bands + 1, dtype=np.uint64)
                     for r in range(rows):
                         keys = X.mix(keys * np.uint64(31) + parts[:, :, r])
-                def nested(x: np.ndarray, wide: int, kind: pa.DataType) -> pa.Array:
-                    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * wide)]).astype(np.int32)), pa.array(x.reshape(-1), kind))
-
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, m), batch.column("hash").slice(lo, m), pa.array(n.astype(np.int32)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), nested(keys.view(np.int64), bands, pa.int64()), nested(agree, bands * rows, pa.int32())], names=["id", "hash", "n", "d1", "d2", "bands", "agree"])
+                nested = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)), pa.array(keys.view(np.int64).reshape(-1), pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, m), batch.column("hash").slice(lo, m), pa.array(n.astype(np.int32)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), nested], names=["id", "hash", "n", "d1", "d2", "bands"])
 
     return sketch
 
@@ -109,45 +108,93 @@ def _confirm(shingle: int, threshold: int):
     return confirm
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: int = THRESHOLD, least_agreement: float = LEAST_AGREEMENT) -> DataFrame:
+def _sketch_counts(shingle: int):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for _, _, data, off in X.slices(batch.column("text")):
+                values, _ = X.unique_per_doc(*X.grams(X.words(data, off), shingle))
+                total += np.bincount((values % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
+
+    return count
+
+
+def _prefixes(shingle: int, threshold: int, shipped):
+    """(node, size, token, place) of the first shingles of each set: as many as a partner of any allowed size could need."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shipped.value
+        for batch in batches:
+            nodes = batch.column("node").to_numpy()
+            for lo, _, data, off in X.slices(batch.column("text")):
+                values, ends = X.unique_per_doc(*X.grams(X.words(data, off), shingle))
+                sizes = np.diff(ends)
+                doc = np.repeat(np.arange(len(sizes)), sizes)
+                order = np.lexsort((values, counts[(values % np.uint64(SLOTS)).astype(np.int64)], doc))
+                place = np.arange(len(values)) - ends[:-1][doc]
+                keep = place < (sizes - (threshold * sizes + 99) // 100 + 1)[doc]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[lo + doc[keep]]), pa.array(sizes[doc[keep]].astype(np.int32)), pa.array(values[order][keep].view(np.int64)), pa.array(place[keep].astype(np.int32))], names=["node", "size", "token", "place"])
+
+    return cut
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: int = THRESHOLD) -> DataFrame:
     """A row for each row of docs: id, hash (xxhash64 of the text), n_shingles, component_id and links (confirmed links of its class)."""
+    spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("hash", F.xxhash64("text"))
     sketches = written(source.mapInArrow(_sketcher(shingle, bands, rows), _SKETCH.format(id=source.schema["id"].dataType.simpleString())), "minhash-sketches")
     # One node for each distinct set; `node` is 64 bits of the digest, a row of it lends its text.
     full = sketches.where("n > 0")
-    nodes = written(full.groupBy(F.xxhash64("d1", "d2").alias("node")).agg(F.min("id").alias("low"), F.min(F.struct("id", "hash")).alias("row"), F.first("bands").alias("bands"), F.first("agree").alias("agree"), F.first("n").alias("n")), "minhash-classes")
+    nodes = written(full.groupBy(F.xxhash64("d1", "d2").alias("node")).agg(F.min("id").alias("low"), F.min(F.struct("id", "hash")).alias("row"), F.first("bands").alias("bands")), "minhash-classes")
+    # Buckets of two nodes or more, their members, and a hub for each.
     member = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    # Buckets of two nodes or more, with the hub that is smallest under the band's own hash.
-    order = F.xxhash64("node", "band")
-    buckets = member.groupBy("band", "key").agg(F.count("*").alias("size"), F.min(F.struct(order.alias("o"), F.col("node").alias("hub"))).alias("h")).where("size > 1").select("band", "key", "size", F.col("h.hub").alias("hub"))
-    member = written(member.join(buckets, ["band", "key"]).select("key", "band", "node", "hub", "size"), "minhash-buckets")
-    pairs = member.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-
-    def linked(pairs: DataFrame, tag: str) -> DataFrame:
+    buckets = member.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
+    member = written(member.join(buckets, ["band", "key"]), "minhash-buckets")
+    middle = member.groupBy("node").agg(F.sum("size").alias("share"))
+    mixed = F.xxhash64("node", "band")
+    order = F.struct(F.when(F.col("band") % 2 == 1, F.col("share")).otherwise(0).alias("share"), mixed.alias("mixed"), F.col("node").alias("hub"))
+    hubs = member.join(middle, "node").groupBy("band", "key").agg(F.max(order)["hub"].alias("hub"))
+    met = member.join(hubs, ["band", "key"]).where("node <> hub")
+    pairs = written(met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "minhash-pairs")
+
+    def lent(wanted: DataFrame, tag: str) -> DataFrame:
+        """One text of each wanted node; copies of a text share id and hash with no other class."""
+        rows_of = nodes.join(wanted, "node").select("node", F.col("row.id").alias("rid"), F.col("row.hash").alias("hash"))
+        found = source.join(rows_of, (source["hash"] == rows_of["hash"]) & F.col("id").eqNullSafe(F.col("rid"))).select("node", "text")
+        return written(found.groupBy("node").agg(F.first("text").alias("text")), tag)
+
+    def linked(pairs: DataFrame, texts: DataFrame, tag: str) -> DataFrame:
         """The pairs whose full sets are similar enough."""
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        rows_of = nodes.join(wanted, "node").select("node", F.col("row.id").alias("id"), F.col("row.hash").alias("hash"))
-        # Only one row of each class is read: copies of a text share id or hash with no other class.
-        lent = source.withColumnRenamed("id", "sid").join(rows_of, (source["hash"] == rows_of["hash"]) & F.col("sid").eqNullSafe(rows_of["id"])).select("node", "text")
-        lent = written(lent.groupBy("node").agg(F.first("text").alias("text")), f"{tag}-texts")
-        with_a = pairs.join(lent.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-        return written(with_a.join(lent.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb").mapInArrow(_confirm(shingle, threshold), "a long, b long"), tag)
-
-    pairs = written(pairs, "minhash-pairs")
-    edges = linked(pairs, "minhash-links")
+        with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+        both = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+        return written(both.mapInArrow(_confirm(shingle, threshold), "a long, b long"), tag)
+
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    texts = lent(ends, "minhash-texts")
+    edges = linked(pairs, texts, "minhash-links")
     roots = components(edges, "minhash-components")
-    # The exact way for the rest: buckets of three nodes or more that still span several components.
+    # The exact way for the rest: members of buckets that still span several components.
     placed = member.where("size > 2").join(roots, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("root"))
     split = placed.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "key")
-    rest = written(placed.join(split, ["band", "key"]).join(nodes.select("node", "agree", "n"), "node"), "minhash-rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    agreed = F.aggregate(F.zip_with("x.agree", "y.agree", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
-    near = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
-    sized = (100 * F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n")) & (agreed >= int(least_agreement * bands * rows))
-    second = x.join(y, near & sized).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    rest = written(placed.join(split, ["band", "key"]).select("node", "root").distinct(), "minhash-rest")
+    left = rest.join(texts, "node")
+    counts = np.zeros(SLOTS, np.int64)
+    for r in left.select("text").mapInArrow(_sketch_counts(shingle), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
+        counts[r["slot"]] = r["n"]
+    shipped = spark.sparkContext.broadcast(counts)
+    prefix = left.select("node", "text").mapInArrow(_prefixes(shingle, threshold, shipped), "node long, size int, token long, place int").join(rest, "node")
+    prefix = written(prefix, "minhash-prefixes")
+    # A set meets a partner of its own size or smaller only on the partner's shorter prefix.
+    need = F.ceil(threshold * (F.col("x.size") + F.col("y.size")) / (100 + threshold) - 1e-9)
+    short = prefix.where(F.col("place") < F.col("size") - F.ceil(2 * threshold * F.col("size") / (100 + threshold) - 1e-9) + 1)
+    fits = (100 * F.col("y.size") >= threshold * F.col("x.size")) & (F.col("y.size") <= F.col("x.size")) & (1 + F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) - 1 >= need)
+    second = prefix.alias("x").join(short.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & fits)
+    second = second.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     second = written(second.join(pairs, ["a", "b"], "left_anti"), "minhash-second")
     if second.take(1):
-        edges = edges.unionByName(linked(second, "minhash-links-2"))
+        edges = edges.unionByName(linked(second, texts, "minhash-links-2"))
         roots = components(edges, "minhash-components-2")
     degree = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
     known = nodes.select("node", "low").join(roots, "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))
