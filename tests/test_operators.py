@@ -120,7 +120,7 @@ def paths(model, obs, coords):
         yield p, math.log(model.start[p[0]] + hmm.EPS) + b[0, p[0]] + sum(t[i - 1, p[i - 1], p[i]] + b[i, p[i]] for i in range(1, len(p)))
 
 
-@pytest.mark.parametrize("model", [hmm.single(0.8, 0.2, 0.7), hmm.distance_binned((2,), 0.9)])
+@pytest.mark.parametrize("model", [hmm.single(0.8, 0.2, 0.7), hmm.Model.of([0.6, 0.4], [[[0.85, 0.15], [0.3, 0.7]], [[0.6, 0.4], [0.45, 0.55]]], [[0.15, 0.8]], (2,))])
 def test_hmm_against_all_paths(model):
     obs = np.array([[1.0], [np.nan], [0.0], [1.0], [1.0], [0.0]])
     coords = np.array([0, 1, 5, 6, 20, 21.0])
@@ -218,7 +218,7 @@ def test_factorisations_reduce_error():
     t = np.einsum("ir,jr,kr->ijk", *[rng.random((n, 2)) for n in (6, 5, 4)])
     f = latent.cp_decomposition(t, rng.random(t.shape) < 0.9, 2, 200)
     assert np.abs(np.einsum("ir,jr,kr->ijk", *f) - t).mean() < 0.05
-    p = np.vstack([rng.normal(0, 0.1, (20, 3)), rng.normal(3, 0.1, (20, 3))])
+    p = np.vstack([rng.normal(0, 0.3, (20, 3)), rng.normal(1.2, 0.3, (20, 3))])
     d = latent.diffusion_map(p, 1)[:, 0]
     assert (np.sign(d[:20]) == np.sign(d[0])).all() and np.sign(d[0]) != np.sign(d[25])
 
