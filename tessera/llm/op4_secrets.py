@@ -107,12 +107,13 @@ def battery(token: Column) -> Column:
 
 
 def log_evidence(token: Column, n: Column, a: Column) -> Column:
-    """Log of the likelihood ratio of uniform symbols to the characters of ordinary text."""
-    low = F.translate(token, LOWER.upper() + DIGITS + "+/-_=", LOWER + "#" * len(DIGITS) + "~~~~~")
-    counts = [(F.length(low) - F.length(F.replace(low, F.lit(c)))) * F.lit(w) for c, w in [*((c, math.log(0.85 * p / 1000)) for c, p in LETTER_SHARE.items()), ("#", math.log(0.01)), ("~", math.log(0.01))]]
-    text = counts[0]
-    for c in counts[1:]:
-        text = text + c
+    """Log of the likelihood ratio of uniform symbols to the characters of ordinary text, in which capitals are rare unless all letters are capitals."""
+    token = F.when(token.rlike("[a-z]"), token).otherwise(F.lower(token))
+    plain = F.translate(token, DIGITS + "+/-_=", "#" * len(DIGITS) + "~~~~~")
+    shares = [*((c, 0.80 * p / 1000) for c, p in LETTER_SHARE.items()), *((c.upper(), 0.05 * p / 1000) for c, p in LETTER_SHARE.items()), ("#", 0.012), ("~", 0.006)]
+    text = F.lit(0.0)
+    for c, share in shares:
+        text = text + (F.length(plain) - F.length(F.replace(plain, F.lit(c)))) * F.lit(math.log(share))
     return -n * F.log(a) - text
 
 
