@@ -75,8 +75,9 @@ class Rollup:
 
     def commit(self, batch: str, changed: DataFrame) -> None:
         """Reduce changes to deltas and put them in the batch's place, whatever stood there."""
+        folder = self._folder(batch)
         deltas = changed.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        deltas.coalesce(1).write.mode("overwrite").parquet(self._folder(batch))
+        deltas.coalesce(1).write.mode("overwrite").parquet(folder)
 
     def batches(self) -> list[str]:
         root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)

@@ -98,7 +98,7 @@ def test_chat_budget_and_history(spark):
     assert len(made) > 3
     assert all(w["text"].startswith("<|im_start|>system\n") for w in made)
     assert all(w["context"] in (1, 2, 3) for w in made[1:])
-    cost = [sum(len(re.findall(r"\w+|[^\w\s]", t)) + 4 for t in re.findall(r"\n(.*?)<\|im_end\|>", w["text"], re.S)) for w in made]
+    cost = [sum(len(re.findall(r"\w+|[^\w\s]", t)) + 4 for t in re.findall(r"<\|im_start\|>[^\n]*\n(.*?)<\|im_end\|>", w["text"], re.S)) for w in made]
     assert max(cost) <= 60
 
 
@@ -133,12 +133,12 @@ def test_suffix_tree_base_and_probabilities(spark, docs, empty):
 
 def test_suffix_tree_beats_its_base_on_held_out_text(spark):
     rng = random.Random(1)
-    syllables = ["ka", "to", "mi", "ren", "sul", "ba"]
-    text = lambda: " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(80))
-    df = spark.createDataFrame([(i, text()) for i in range(300)], "doc_id long, text string")
+    langs = [["".join(rng.choice(letters) for _ in range(rng.randint(2, 5))) for _ in range(40)] for letters in ("abcde", "fghij", "klmno", "pqrst")]
+    text = lambda i: " ".join(rng.choice(langs[i % 4]) for _ in range(80))
+    df = spark.createDataFrame([(i, text(i)) for i in range(300)], "doc_id long, text string")
     fitted = op2_suffix_tree.fit(df.where("doc_id < 240"))
     s = op2_suffix_tree.score(df.where("doc_id >= 240"), fitted).agg(F.sum("score"), F.sum("base_score")).collect()[0]
-    assert s[0] > s[1]
+    assert s[0] > 0.85 * s[1] > s[1]
 
 
 RULES = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
