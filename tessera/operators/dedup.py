@@ -2,29 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df as a table in the shared checkpoint folder."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    import tempfile
-
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from tessera.operators.order import global_rank
+from tessera.sources.shared import cut_lineage
 
 
 def connected(nodes: DataFrame, edges: DataFrame, rounds: int = 30) -> DataFrame:
@@ -62,11 +45,11 @@ def masked_hamming(a: str, b: str) -> tuple[Column, Column]:
 def sorted_neighbours(reads: DataFrame, group: tuple[str, ...], key: Column, identity: str, window: int, block: int = 4096) -> DataFrame:
     """Pairs at most `window` places apart in the order of key within a group.
 
-    Ranks fall into blocks; a row meets the rows of its own block and of the next, so the join is an equi-join
+    Ranks run through all groups, numbered range by range, so a group of any size is ranked by many tasks.
+    They fall into blocks; a row meets the rows of its own block and of the next, so the join is an equi-join
     on (group, block) and no block holds more than `block` rows, whatever the group's size.
     """
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(key, identity))
-    ranked = reads.withColumn("_r", rank).withColumn("_k", F.floor(F.col("_r") / block))
+    ranked = global_rank(reads.withColumn("_o", key), *group, "_o", identity, out="_r").withColumn("_k", F.floor(F.col("_r") / block))
     left = ranked.select("*", F.explode(F.array(F.col("_k"), F.col("_k") + 1)).alias("_t")).alias("x")
     right = ranked.withColumn("_t", F.col("_k")).alias("y")
     same = F.col("x._t") == F.col("y._t")

@@ -86,7 +86,7 @@ def transfer_labels(neighbours: DataFrame, labels: DataFrame, k: int) -> DataFra
 
 def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """Communities by weighted label propagation from node ids (ties to the smaller label); the stand-in for modularity clustering, which needs the whole graph in one process."""
-    from tessera.operators.dedup import cut_lineage
+    from tessera.sources.shared import cut_lineage
 
     edges = cut_lineage(edges)
     now = edges.select(F.col("q").alias("node")).distinct().withColumn("label", F.col("node"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators import order
 from tessera.operators.qc import ratio
 
 ROLES = ("train", "validation", "test")
@@ -101,8 +102,8 @@ def resampled(rows: DataFrame, label: str, key: str, method: str, seed: int = 42
     """Downsampling to the smallest class by hash order, or upsampling to the largest by whole copies and a remainder."""
     sizes = rows.groupBy(label).agg(F.count("*").alias("_n"))
     limit = sizes.agg((F.min if method == "down" else F.max)("_n").alias("_t"))
-    order = F.row_number().over(Window.partitionBy(label).orderBy(hash_share(F.col(key), seed), key))
-    marked = rows.join(F.broadcast(sizes), label).crossJoin(F.broadcast(limit)).withColumn("_k", order)
+    place = F.row_number().over(Window.partitionBy(label).orderBy(hash_share(F.col(key), seed), key))
+    marked = rows.join(F.broadcast(sizes), label).crossJoin(F.broadcast(limit)).withColumn("_k", place)
     if method == "down":
         return marked.where("_k <= _t").drop("_n", "_t", "_k").withColumn("copy", F.lit(0))
     copies = F.floor(F.col("_t") / F.col("_n")) + (F.col("_k") <= F.col("_t") % F.col("_n")).cast("long")
@@ -112,8 +113,8 @@ def resampled(rows: DataFrame, label: str, key: str, method: str, seed: int = 42
 def to_prevalence(rows: DataFrame, label: str, key: str, share: float) -> DataFrame:
     """Positives cut down to a share of the result, in hash order."""
     negatives = rows.where(F.col(label) == 0).agg(F.count("*").alias("_n"))
-    order = F.row_number().over(Window.partitionBy(label).orderBy(hash_share(F.col(key)), key))
-    marked = rows.withColumn("_k", order).crossJoin(F.broadcast(negatives))
+    place = F.row_number().over(Window.partitionBy(label).orderBy(hash_share(F.col(key)), key))
+    marked = rows.withColumn("_k", place).crossJoin(F.broadcast(negatives))
     return marked.where((F.col(label) == 0) | (F.col("_k") <= F.floor(F.col("_n") * share / (1 - share) + 0.5 + 1e-9))).drop("_k", "_n")
 
 
@@ -162,8 +163,10 @@ def log_scores(rows: DataFrame, y: str, score: str, by: tuple[str, ...] = (), ep
 
 def calibration(rows: DataFrame, y: str, score: str, key: str, bins: int = 10) -> DataFrame:
     """Mean score and observed share of positives in equal-count bins of the score."""
-    tile = F.ntile(bins).over(Window.partitionBy(F.lit(0)).orderBy(score, key))
-    return rows.withColumn("bin", tile).groupBy("bin").agg(F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.avg(F.col(y).cast("double")).alias("observed"))
+    ranked = order.global_rank(rows.select(key, score, y), score, key)
+    total = F.broadcast(rows.agg(F.count("*").alias("_total")))
+    binned = ranked.crossJoin(total).withColumn("bin", order.tile(F.col("rank"), F.col("_total"), bins).cast("int"))
+    return binned.groupBy("bin").agg(F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.avg(F.col(y).cast("double")).alias("observed"))
 
 
 def fold_summary(rows: DataFrame, metric: str, value: str) -> DataFrame:

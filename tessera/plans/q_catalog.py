@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import cigar as C
 from tessera.functions import sequences as S
-from tessera.operators.dedup import shared_dir
+from tessera.sources.shared import shared_dir
 from tessera.plans import catalog
 from tessera.plans.registry import Tables, query
 from tessera.sources import tables as io

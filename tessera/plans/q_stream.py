@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators.dedup import shared_dir
+from tessera.sources.shared import shared_dir
 from tessera.plans.registry import Tables, query
 from tessera.streaming import append, windows
 

@@ -7,7 +7,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from tessera.operators.order import global_rank
 
 BED = "reference string, start long, stop long, name string, score string, strand string"
 
@@ -96,5 +97,5 @@ def wide(calls: DataFrame, positions: list[int], value: str = "call") -> DataFra
 
 def row_ranges(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Contiguous row ranges of a column's values in an order."""
-    n = rows.select(key, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order)) - 1).alias("row"))
+    n = global_rank(rows.select(key, order), order).select(key, (F.col("rank") - 1).alias("row"))
     return n.groupBy(key).agg(F.min("row").alias("start_row"), (F.max("row") + 1).alias("end_row"))
