@@ -195,18 +195,19 @@ def detrend(rows: DataFrame, keys: tuple[str, ...], position: str, value: str, d
 def needleman_wunsch(a: str, b: str, match: int = 1, mismatch: int = -1, gap: int = -1) -> list[tuple[str, int, int, str, str]]:
     """Events of the global alignment (kind, place in a, place in b, letters); the diagonal wins ties, then up, then left."""
     n, m = len(a), len(b)
-    score = np.zeros((n + 1, m + 1), int)
-    score[:, 0], score[0] = gap * np.arange(n + 1), gap * np.arange(m + 1)
+    score = [[gap * j for j in range(m + 1)]]
     for i in range(1, n + 1):
+        above, row = score[-1], [gap * i]
         for j in range(1, m + 1):
-            score[i, j] = max(score[i - 1, j - 1] + (match if a[i - 1] == b[j - 1] else mismatch), score[i - 1, j] + gap, score[i, j - 1] + gap)
+            row.append(max(above[j - 1] + (match if a[i - 1] == b[j - 1] else mismatch), above[j] + gap, row[j - 1] + gap))
+        score.append(row)
     out, i, j = [], n, m
     while i or j:
-        if i and j and score[i, j] == score[i - 1, j - 1] + (match if a[i - 1] == b[j - 1] else mismatch):
+        if i and j and score[i][j] == score[i - 1][j - 1] + (match if a[i - 1] == b[j - 1] else mismatch):
             i, j = i - 1, j - 1
             if a[i] != b[j]:
                 out.append(("substitution", i, j, a[i], b[j]))
-        elif i and score[i, j] == score[i - 1, j] + gap:
+        elif i and score[i][j] == score[i - 1][j] + gap:
             i -= 1
             out.append(("deletion", i, j, a[i], ""))
         else:

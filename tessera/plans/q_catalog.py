@@ -123,10 +123,10 @@ def sink_partitioned_store(t: Tables):
     return rows.select("read_id", F.col("reference").cast("string").alias("reference"), "reference_start", "cigar")
 
 
-@query("SELECT sample, count(*) AS records, CAST(sum(length(sequence)) AS BIGINT) AS bases FROM $segments WHERE read_id % 10 = 0 GROUP BY 1")
+@query("SELECT sample, count(*) AS records, CAST(sum(length(sequence)) AS BIGINT) AS bases FROM $segments GROUP BY 1")
 def sink_fastq_export(t: Tables):
     path = _folder(t, "fastq")
-    rows = t.segments.where("read_id % 10 = 0")
+    rows = t.segments
     scores = F.transform(F.sequence(F.lit(1), F.length("sequence")), lambda i: F.lit(30))
     record = F.concat(F.lit("@"), F.col("read_id").cast("string"), F.lit("\n"), F.col("sequence"), F.lit("\n+\n"), S.phred_string(scores))
     io.write_fastq(rows.select("sample", record.alias("record")), path, "sample")

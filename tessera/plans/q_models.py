@@ -104,8 +104,8 @@ def latent_pca(t: Tables):
 
 @query()
 def latent_kmeans(t: Tables):
-    """Three clusters of the first eight dimensions, numbered by descending mean."""
-    return latent.kmeans(t.embeddings.withColumn("v", F.slice("embedding", 1, 8)), "v", 3)
+    """Three clusters, numbered by descending mean."""
+    return latent.kmeans(t.embeddings, "embedding", 3)
 
 
 @query()

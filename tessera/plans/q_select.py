@@ -21,9 +21,9 @@ def scan_segment_index(t: Tables):
     return select.scan_index(rows, reference=["refB"], read_id=[3, 5, 7, 11, 13, 101, 1009], start=10, end=500, columns=["read_id", "reference", "reference_start", "cigar"])
 
 
-@query("SELECT DISTINCT l_orderkey AS molecule, l_suppkey AS task FROM lineitem WHERE l_returnflag = 'R' AND l_partkey < 500")
+@query("SELECT DISTINCT l_orderkey AS molecule, l_suppkey AS task FROM lineitem WHERE l_returnflag = 'R'")
 def scan_derived_index(t: Tables):
-    rows = t.lineitem.where("l_partkey < 500").select(F.col("l_orderkey").alias("molecule"), F.col("l_suppkey").alias("task"), "l_returnflag")
+    rows = t.lineitem.select(F.col("l_orderkey").alias("molecule"), F.col("l_suppkey").alias("task"), "l_returnflag")
     return select.scan_index(rows, l_returnflag=["R"], distinct=("molecule", "task"), columns=["molecule", "task"])
 
 
@@ -193,16 +193,19 @@ def join_reads_to_cores(t: Tables):
     return select.interval_join(t.molecules, cores, ("reference_start", "reference_end"), ("core_start", "core_end"), bin_width=100).select("read_id", "core")
 
 
-@query("SELECT a.read_id, p.p_partkey AS region FROM $molecules a JOIN (SELECT p_partkey, p_partkey * 13 % 560 AS s, p_partkey * 13 % 560 + p_size AS e, CASE WHEN p_partkey % 2 = 0 THEN 'refA' ELSE 'refB' END AS reference FROM part WHERE p_partkey < 60) p ON p.reference = a.reference AND a.reference_start < p.e AND a.reference_end > p.s WHERE a.sample = '1-URGENT'")
+@query("SELECT a.o_orderkey AS read_id, p.p_partkey AS region FROM (SELECT o_orderkey, o_orderkey * 7 % 100000 AS s, o_orderkey * 7 % 100000 + 20 + o_custkey % 80 AS e, CASE WHEN o_custkey % 2 = 0 THEN 'refA' ELSE 'refB' END AS reference FROM orders) a JOIN (SELECT p_partkey, p_partkey * 13 % 100000 AS s, p_partkey * 13 % 100000 + p_size AS e, CASE WHEN p_partkey % 2 = 0 THEN 'refA' ELSE 'refB' END AS reference FROM part) p ON p.reference = a.reference AND a.s < p.e AND a.e > p.s")
 def join_interval_regions(t: Tables):
-    regions = t.part.where("p_partkey < 60").select(F.col("p_partkey").alias("region"), (F.col("p_partkey") * 13 % 560).alias("s"), (F.col("p_partkey") * 13 % 560 + F.col("p_size")).alias("e"), F.when(F.col("p_partkey") % 2 == 0, "refA").otherwise("refB").alias("reference"))
-    return select.interval_join(t.molecules.where("sample = '1-URGENT'"), regions, ("reference_start", "reference_end"), ("s", "e"), on=("reference",)).select("read_id", "region")
+    side = lambda c: F.when(F.col(c) % 2 == 0, "refA").otherwise("refB").alias("reference")
+    regions = t.part.select(F.col("p_partkey").alias("region"), (F.col("p_partkey") * 13 % 100000).alias("s"), (F.col("p_partkey") * 13 % 100000 + F.col("p_size")).alias("e"), side("p_partkey"))
+    start = F.col("o_orderkey") * 7 % 100000
+    reads = t.orders.select(F.col("o_orderkey").alias("read_id"), start.alias("start"), (start + 20 + F.col("o_custkey") % 80).alias("end"), side("o_custkey"))
+    return select.interval_join(reads, regions, ("start", "end"), ("s", "e"), on=("reference",)).select("read_id", "region")
 
 
-@query("""SELECT core, s, e, gap FROM (SELECT range AS core, range * 60 AS s, range * 60 + 60 AS e, NOT EXISTS (SELECT 1 FROM part WHERE p_partkey < 40 AND p_partkey * 29 % 700 < range * 60 + 60 AND p_partkey * 29 % 700 + p_size > range * 60) AS gap FROM range(12))""")
+@query("""SELECT core, s, e, gap FROM (SELECT range AS core, range * 60 AS s, range * 60 + 60 AS e, NOT EXISTS (SELECT 1 FROM part WHERE p_partkey * 7919 % 60000 < range * 60 + 60 AND p_partkey * 7919 % 60000 + p_size > range * 60) AS gap FROM range(1000))""")
 def join_region_gaps(t: Tables):
-    cores = t.spark.range(12).select(F.col("id").alias("core"), (F.col("id") * 60).alias("s"), (F.col("id") * 60 + 60).alias("e"))
-    regions = t.part.where("p_partkey < 40").select((F.col("p_partkey") * 29 % 700).alias("rs"), (F.col("p_partkey") * 29 % 700 + F.col("p_size")).alias("re"))
+    cores = t.spark.range(1000).select(F.col("id").alias("core"), (F.col("id") * 60).alias("s"), (F.col("id") * 60 + 60).alias("e"))
+    regions = t.part.select((F.col("p_partkey") * 7919 % 60000).alias("rs"), (F.col("p_partkey") * 7919 % 60000 + F.col("p_size")).alias("re"))
     met = select.interval_join(cores, regions, ("s", "e"), ("rs", "re"), bin_width=60).select("core").distinct().withColumn("met", F.lit(True))
     return cores.join(met, "core", "left").select("core", "s", "e", F.col("met").isNull().alias("gap"))
 
@@ -218,17 +221,17 @@ def join_interval_map(t: Tables):
     return t.segments.join(F.broadcast(mapping), "reference").select("read_id", "reference", (F.col("sign") * F.col("reference_start") + F.col("shift")).alias("original"))
 
 
-@query("""SELECT c.read_id, c.position, coalesce(max_by(p.v, p.s), 'default') AS strand FROM (SELECT DISTINCT read_id, position FROM $calls WHERE read_id < 300) c
- LEFT JOIN (SELECT p_partkey * 11 % 60 AS s, p_partkey * 11 % 60 + p_size % 7 + 1 AS e, min(p_type) AS v FROM part WHERE p_partkey < 6 GROUP BY 1, 2) p ON p.s <= c.position AND c.position < p.e GROUP BY 1, 2""")
+@query("""SELECT c.read_id, c.position, coalesce(max_by(p.v, p.s), 'default') AS strand FROM (SELECT DISTINCT read_id, position FROM $calls) c
+ LEFT JOIN (SELECT p_partkey * 11 % 60 AS s, min(p_partkey * 11 % 60 + p_size % 7) AS e, min(p_type) AS v FROM part GROUP BY 1) p ON p.s <= c.position AND c.position < p.e GROUP BY 1, 2""")
 def join_point_in_span(t: Tables):
-    spans = t.part.where("p_partkey < 6").select((F.col("p_partkey") * 11 % 60).alias("s"), (F.col("p_partkey") * 11 % 60 + F.col("p_size") % 7 + 1).alias("e"), F.col("p_type").alias("strand")).groupBy("s", "e").agg(F.min("strand").alias("strand"))
-    points = t.calls.where("read_id < 300").select("read_id", "position").distinct()
+    spans = t.part.select((F.col("p_partkey") * 11 % 60).alias("s"), (F.col("p_partkey") * 11 % 60 + F.col("p_size") % 7).alias("e"), F.col("p_type").alias("strand")).groupBy("s").agg(F.min("e").alias("e"), F.min("strand").alias("strand"))
+    points = t.calls.select("read_id", "position").distinct()
     return select.point_in_span(points, spans, "position", ("s", "e"), "strand", "default")
 
 
-@query("SELECT c.read_id, c.position, c.call FROM $calls c ANTI JOIN (SELECT p_partkey % 60 AS position FROM part WHERE p_size > 45 AND p_partkey < 200) x ON x.position = c.position WHERE c.call IS NOT NULL")
+@query("SELECT c.read_id, c.position, c.call FROM $calls c ANTI JOIN (SELECT p_partkey % 60 AS position FROM part GROUP BY 1 HAVING avg(p_size) > 26) x ON x.position = c.position WHERE c.call IS NOT NULL")
 def join_exclude_positions(t: Tables):
-    excluded = t.part.where("p_size > 45 and p_partkey < 200").select((F.col("p_partkey") % 60).alias("position")).distinct()
+    excluded = t.part.groupBy((F.col("p_partkey") % 60).alias("position")).agg(F.avg("p_size").alias("m")).where("m > 26").select("position")
     return t.calls.where("call is not null").join(F.broadcast(excluded), "position", "left_anti").select("read_id", "position", "call")
 
 

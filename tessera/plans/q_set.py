@@ -11,10 +11,10 @@ from tessera.operators import dedup, grid
 from tessera.plans.registry import Tables, query
 
 
-@query("SELECT 'lineitem' AS experiment, l_orderkey AS read_id, CAST(l_partkey AS BIGINT) AS start, NULL AS sample FROM lineitem WHERE l_orderkey < 50 UNION ALL SELECT 'orders', o_orderkey, NULL, o_orderpriority FROM orders WHERE o_orderkey < 50")
+@query("SELECT 'lineitem' AS experiment, l_orderkey AS read_id, CAST(l_partkey AS BIGINT) AS start, NULL AS sample FROM lineitem UNION ALL SELECT 'orders', o_orderkey, NULL, o_orderpriority FROM orders")
 def set_union_catalogs(t: Tables):
-    a = t.lineitem.where("l_orderkey < 50").select(F.lit("lineitem").alias("experiment"), F.col("l_orderkey").alias("read_id"), F.col("l_partkey").alias("start"))
-    b = t.orders.where("o_orderkey < 50").select(F.lit("orders").alias("experiment"), F.col("o_orderkey").alias("read_id"), F.col("o_orderpriority").alias("sample"))
+    a = t.lineitem.select(F.lit("lineitem").alias("experiment"), F.col("l_orderkey").alias("read_id"), F.col("l_partkey").alias("start"))
+    b = t.orders.select(F.lit("orders").alias("experiment"), F.col("o_orderkey").alias("read_id"), F.col("o_orderpriority").alias("sample"))
     return a.unionByName(b, allowMissingColumns=True)
 
 
@@ -45,15 +45,17 @@ def set_manifest_transition(t: Tables):
     return a.join(b, "k", "full").groupBy(kind.alias("change")).agg(F.count("*").alias("n"))
 
 
-PACK = "(SELECT read_id, CAST(sum(CASE WHEN call = 1 THEN CAST(1 AS BIGINT) << CAST(position AS INT) ELSE 0 END) AS BIGINT) AS b, CAST(sum(CASE WHEN call IS NOT NULL THEN CAST(1 AS BIGINT) << CAST(position AS INT) ELSE 0 END) AS BIGINT) AS v FROM $calls WHERE read_id < 200 GROUP BY 1)"
+PACK = "(SELECT read_id, reference, sample, CAST(sum(CASE WHEN call = 1 THEN CAST(1 AS BIGINT) << CAST(position AS INT) ELSE 0 END) AS BIGINT) AS b, CAST(sum(CASE WHEN call IS NOT NULL THEN CAST(1 AS BIGINT) << CAST(position AS INT) ELSE 0 END) AS BIGINT) AS v FROM $calls GROUP BY 1, 2, 3)"
 
 
-@query(f"SELECT x.read_id AS a, y.read_id AS b, CAST(bit_count(xor(x.b, y.b) & x.v & y.v) AS INT) AS mismatches, CAST(bit_count(x.v & y.v) AS INT) AS overlap FROM {PACK} x JOIN {PACK} y ON x.read_id < y.read_id AND x.read_id % 10 = y.read_id % 10 WHERE bit_count(x.v & y.v) >= 8")
+@query(f"SELECT x.read_id AS a, y.read_id AS b, CAST(bit_count(xor(x.b, y.b) & x.v & y.v) AS INT) AS mismatches, CAST(bit_count(x.v & y.v) AS INT) AS overlap FROM {PACK} x JOIN {PACK} y ON x.reference = y.reference AND x.sample = y.sample AND x.read_id < y.read_id JOIN (SELECT reference, sample, min(read_id) AS first FROM {PACK} GROUP BY 1, 2) f ON f.reference = x.reference AND f.sample = x.sample AND f.first = x.read_id WHERE bit_count(x.v & y.v) >= 3")
 def set_masked_hamming(t: Tables):
-    rows = dedup.packed(t.calls.where("read_id < 200"), ("read_id",), "position", "call", 60).withColumn("g", F.col("read_id") % 10)
+    """Every read against its group's first one."""
+    rows = dedup.packed(t.calls, ("reference", "sample", "read_id"), "position", "call", 60)
     differ, shared = dedup.masked_hamming("x", "y")
-    pairs = rows.alias("x").join(rows.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.read_id") < F.col("y.read_id")))
-    return pairs.select(F.col("x.read_id").alias("a"), F.col("y.read_id").alias("b"), differ.alias("mismatches"), shared.alias("overlap")).where("overlap >= 8")
+    first = rows.groupBy("reference", "sample").agg(F.min(F.struct("read_id", "bits", "valid")).alias("f")).select("reference", "sample", "f.*")
+    pairs = rows.alias("y").join(F.broadcast(first).alias("x"), (F.col("x.reference") == F.col("y.reference")) & (F.col("x.sample") == F.col("y.sample")) & (F.col("x.read_id") < F.col("y.read_id")))
+    return pairs.select(F.col("x.read_id").alias("a"), F.col("y.read_id").alias("b"), differ.alias("mismatches"), shared.alias("overlap")).where("overlap >= 3")
 
 
 @query()
@@ -62,10 +64,10 @@ def set_near_duplicate_reads(t: Tables):
     return dedup.near_duplicate_reads(t.calls, ("reference", "sample"), 60, window=10, least_overlap=12, threshold=0.2, passes=1)
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS a, s_nationkey AS b FROM customer JOIN supplier ON c_custkey = s_suppkey * 7 WHERE s_suppkey < 14), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT n_nationkey AS node, n_nationkey AS c FROM nation UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.c)
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS a, s_nationkey AS b FROM customer JOIN supplier ON c_custkey = s_suppkey * 7 AND c_nationkey % 3 = s_nationkey % 3), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT n_nationkey AS node, n_nationkey AS c FROM nation UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.c)
 SELECT node, min(c) AS component FROM r GROUP BY 1""")
 def set_connected_components(t: Tables):
-    e = t.customer.join(t.supplier.where("s_suppkey < 14").withColumn("c_custkey", F.col("s_suppkey") * 7), "c_custkey").select(F.col("c_nationkey").alias("a"), F.col("s_nationkey").alias("b"))
+    e = t.customer.join(t.supplier.withColumn("c_custkey", F.col("s_suppkey") * 7), "c_custkey").where("c_nationkey % 3 = s_nationkey % 3").select(F.col("c_nationkey").alias("a"), F.col("s_nationkey").alias("b"))
     return dedup.connected(t.nation.select(F.col("n_nationkey").alias("node")), e)
 
 
@@ -117,9 +119,10 @@ BLOCKS = """(SELECT read_id, reference, sequence, q0 + i.range AS query_position
 (SELECT *, CAST(5 + read_id % 6 AS BIGINT) AS a, CAST(1 + read_id % 3 AS BIGINT) AS b, CAST(regexp_extract(cigar, 'I(\\d+)M', 1) AS BIGINT) AS c, CAST(regexp_extract(cigar, '(\\d+)D', 1) AS BIGINT) AS d, reference_start AS s FROM $segments)) JOIN range(12) i ON i.range < n)"""
 
 
-@query(f"SELECT read_id, query_position, position FROM {BLOCKS} WHERE read_id < 3000")
+@query(f"SELECT read_id, count(*) AS pairs, min(query_position) AS first_query, max(position) AS last_position, CAST(sum(position * (query_position + 1)) AS BIGINT) AS moment FROM {BLOCKS} GROUP BY 1")
 def scalar_aligned_pairs(t: Tables):
-    return C.aligned_pairs(t.segments.where("read_id < 3000")).select("read_id", "query_position", "position")
+    pairs = C.aligned_pairs(t.segments)
+    return pairs.groupBy("read_id").agg(F.count("*").alias("pairs"), F.min("query_position").alias("first_query"), F.max("position").alias("last_position"), F.sum(F.col("position") * (F.col("query_position") + 1)).alias("moment"))
 
 
 @query(f"SELECT read_id, position, substr(sequence, query_position + 1, 1) AS base FROM {BLOCKS} WHERE position >= 100 AND position < 140")
@@ -152,9 +155,9 @@ def scalar_sequence_round_trip(t: Tables):
     return t.segments.select("read_id", S.decode(S.encode(s)).alias("decoded"), S.one_hot_decode(S.one_hot(s)).alias("from_flags"))
 
 
-@query("SELECT o_orderkey AS read_id, '@' || CAST(o_orderkey AS VARCHAR) || chr(10) || sequence || chr(10) || '+' || chr(10) || string_agg(chr(CAST(33 + (o_orderkey + i) % 40 AS INT)), '' ORDER BY i) AS record FROM (SELECT read_id AS o_orderkey, sequence, unnest(range(length(sequence))) AS i FROM $segments WHERE read_id < 2000) GROUP BY 1, sequence")
+@query("SELECT o_orderkey AS read_id, '@' || CAST(o_orderkey AS VARCHAR) || chr(10) || sequence || chr(10) || '+' || chr(10) || string_agg(chr(CAST(33 + (o_orderkey + i) % 40 AS INT)), '' ORDER BY i) AS record FROM (SELECT read_id AS o_orderkey, sequence, unnest(range(length(sequence))) AS i FROM $segments) GROUP BY 1, sequence")
 def scalar_fastq_records(t: Tables):
-    rows = t.segments.where("read_id < 2000")
+    rows = t.segments
     scores = F.transform(F.sequence(F.lit(0).cast("long"), F.length("sequence").cast("long") - 1), lambda i: ((F.col("read_id") + i) % 40).cast("int"))
     return rows.select("read_id", F.concat(F.lit("@"), F.col("read_id").cast("string"), F.lit("\n"), F.col("sequence"), F.lit("\n+\n"), S.phred_string(scores)).alias("record"))
 

@@ -86,7 +86,7 @@ def stat_detrended_signal(t: Tables):
 @query()
 def stat_alignment_events(t: Tables):
     """Global alignment events between each segment and its mirror; tested against hand-worked alignments."""
-    rows = t.segments.select("read_id", F.substring("sequence", 1, 16).alias("a"), F.substring(F.reverse("sequence"), 1, 16).alias("b"))
+    rows = t.segments.select("read_id", F.col("sequence").alias("a"), F.reverse("sequence").alias("b"))
     return stats.mismatch_events(rows, "read_id", "a", "b")
 
 

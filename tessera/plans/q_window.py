@@ -88,9 +88,9 @@ def win_strand_switch(t: Tables):
     return made.withColumn("purity", F.round("purity", 9))
 
 
-@query("SELECT DISTINCT o_orderpriority AS sample, s AS start_row, e AS end_row FROM (SELECT o_orderpriority, min(k) OVER (PARTITION BY o_orderpriority, g) AS s, max(k) OVER (PARTITION BY o_orderpriority, g) + 1 AS e FROM (SELECT o_orderpriority, o_orderkey AS k, o_orderkey - row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS g FROM orders WHERE o_orderkey < 2000))")
+@query("SELECT DISTINCT o_orderpriority AS sample, s AS start_row, e AS end_row FROM (SELECT o_orderpriority, min(k) OVER (PARTITION BY o_orderpriority, g) AS s, max(k) OVER (PARTITION BY o_orderpriority, g) + 1 AS e FROM (SELECT o_orderpriority, o_orderkey AS k, o_orderkey - row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS g FROM orders))")
 def win_value_ranges(t: Tables):
-    rows = t.orders.where("o_orderkey < 2000").select(F.lit(1).alias("all"), "o_orderkey", F.col("o_orderpriority").alias("sample"))
+    rows = t.orders.select(F.lit(1).alias("all"), "o_orderkey", F.col("o_orderpriority").alias("sample"))
     return islands.runs(rows, ("all", "sample"), "o_orderkey", F.lit(1)).select("sample", F.col("start").alias("start_row"), F.col("end").alias("end_row"))
 
 
