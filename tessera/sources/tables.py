@@ -99,3 +99,16 @@ def row_ranges(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Contiguous row ranges of a column's values in an order."""
     n = global_rank(rows.select(key, order), order).select(key, (F.col("rank") - 1).alias("row"))
     return n.groupBy(key).agg(F.min("row").alias("start_row"), (F.max("row") + 1).alias("end_row"))
+
+
+def write_bundle(root: str, parts: dict[str, DataFrame]) -> None:
+    """Several tables of one export; the manifest (name, rows, columns) is written last, so a bundle without one is not finished."""
+    found = []
+    for name, df in sorted(parts.items()):
+        df.write.parquet(f"{root}/{name}")
+        found.append((name, df.sparkSession.read.parquet(f"{root}/{name}").count(), ",".join(df.columns)))
+    next(iter(parts.values())).sparkSession.createDataFrame(found, "name string, rows long, columns string").coalesce(1).write.parquet(f"{root}/manifest")
+
+
+def read_bundle(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    return {r["name"]: spark.read.parquet(f"{root}/{r['name']}") for r in spark.read.parquet(f"{root}/manifest").collect()}

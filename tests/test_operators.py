@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import cigar, sequences
-from tessera.operators import dedup, hmm, islands, latent, ml, qc, select, stats
+from tessera.operators import dedup, hmm, islands, latent, ml, order, qc, select, stats, variants
 from tessera.plans import catalog
 from tessera.sources import tables
 
@@ -281,3 +281,26 @@ def test_window_pushdown_reaches_the_scan(spark, tmp_path):
     assert "PartitionFilters" in plan and "start_bin" in plan and "PushedFilters: [IsNotNull(reference_start), LessThan(reference_start,2500)]" in plan
     want = [i for i in range(1000) if i % 2 and 1000 <= i * 10 < 2500]
     assert sorted(r[0] for r in df.collect()) == want
+
+
+def test_top_segments_skip_overlaps(spark):
+    rows = [(1, 10, 0, 50), (1, 10, 0, 60), (1, 11, 10, 55), (1, 12, 58, 90), (1, 13, 200, 205), (1, 14, 100, 120), (2, 10, 5, 30)]
+    df = spark.createDataFrame(rows, "read_id long, partner long, start long, end long")
+    got = sorted((r["read_id"], r["rank"], r["partner"], r["start"], r["end"]) for r in variants.top_segments(df, "read_id", "partner", 3, 5, 10).collect())
+    assert got == [(1, 1, 10, 0, 60), (1, 2, 12, 58, 90), (1, 3, 14, 100, 120), (2, 1, 10, 5, 30)]
+
+
+def test_directional_clusters(spark):
+    rows = [("s", "AAAA", 9), ("s", "AAAC", 3), ("s", "AACC", 2), ("s", "GGGG", 1), ("t", "AAAC", 1)]
+    got = {(r["g"], r["u"]): r["centre"] for r in variants.directional_clusters(spark.createDataFrame(rows, "g string, u string, reads long"), ("g",), "u").collect()}
+    assert got == {("s", "AAAA"): "AAAA", ("s", "AAAC"): "AAAA", ("s", "AACC"): "AACC", ("s", "GGGG"): "GGGG", ("t", "AAAC"): "AAAC"}
+
+
+def test_global_rank_and_tiles(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.randint(0, 20)) for i in range(500)]
+    df = spark.createDataFrame(rows, "k long, v long").repartition(6)
+    got = {r["k"]: r["rank"] for r in order.global_rank(df, "v", "k").collect()}
+    assert [got[k] for k, _ in sorted(rows, key=lambda x: (x[1], x[0]))] == list(range(1, 501))
+    tiles = spark.range(1, 24).select(order.tile(F.col("id"), F.lit(23), 5).alias("t")).groupBy("t").count().orderBy("t").collect()
+    assert [r["count"] for r in tiles] == [5, 5, 5, 4, 4]
