@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Mapping
 from functools import reduce
 from typing import Any
@@ -128,7 +127,3 @@ def point_in_span(points: DataFrame, spans: DataFrame, point: str, span: tuple[s
     joined = rows.join(binned, [*on, "_bin"], "left")
     hit = F.when((F.col("_s") <= F.col(point)) & (F.col(point) < F.col("_e")), F.struct("_s", "_v"))
     return joined.groupBy("_row").agg(F.max(hit)["_v"].alias("_v")).select("_row.*", F.coalesce("_v", F.lit(default)).alias(value))
-
-
-def regex_column(columns: Iterable[str], pattern: str) -> list[str]:
-    return [c for c in columns if re.search(pattern, c)]
