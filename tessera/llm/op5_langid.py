@@ -27,6 +27,8 @@ ROWS_PER_LANG = 400
 SAMPLE_CHARS = 4000
 BLOCK_BYTES = 4096
 MIN_MARGIN = 0.002
+#: Texts under so many bytes are encoded several times over: a frame of one alone would be stored as it is, whatever the dictionary.
+SHORT_BYTES, REPEATS = 256, 8
 #: The lowest zstandard level whose match search tells close languages apart.
 LEVEL = 6
 
@@ -77,6 +79,8 @@ class Classifier:
         if not self.langs or text is None or not _LETTER.search(text):
             return "und", 0.0, True
         raw = text.lower().encode("utf-8", "replace")
+        if len(raw) < SHORT_BYTES:
+            raw = (raw + b"\n") * REPEATS
         blocks = [raw[i : i + self.block] for i in range(0, len(raw), self.block)]
         sizes = [sum(len(c.compress(b)) for b in blocks) for c in self.coders]
         order = sorted(range(len(sizes)), key=lambda k: (sizes[k], self.langs[k]))
