@@ -67,8 +67,8 @@ def stream_append_new_rows(t: Tables):
 @query("SELECT 'append_only' AS grown, 'content_mutated' AS changed, 'identical' AS same, 'removed' AS shrunk")
 def stream_append_plan(t: Tables):
     rows = t.customer.select("c_custkey", F.sha2(F.col("c_name").cast("binary"), 256).alias("h"))
-    half = rows.where("c_custkey < 500")
-    other = half.withColumn("h", F.when(F.col("c_custkey") == 3, "x").otherwise(F.col("h")))
+    half = rows.where("c_custkey % 2 = 0")
+    other = half.withColumn("h", F.when(F.col("c_custkey") == 4, "x").otherwise(F.col("h")))
     kind = lambda a, b: append.transition(a, b, "c_custkey", "h")
     return t.spark.createDataFrame([(kind(half, rows), kind(half, other), kind(half, half), kind(rows, half))], "grown string, changed string, same string, shrunk string")
 
