@@ -101,8 +101,9 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
     bpe = op10_rollups.bpe_tokens(spark)
     fewer = F.array_join(F.array_distinct(F.split("text", "\n", -1)), "\n")
-    counted = docs.join(labels, "doc_id", "left").select("source", "lang", "toxic", "quality", op10_rollups.word_tokens(F.col("text")).alias("words"), F.when(F.col("quality") == 0, op10_rollups.word_tokens(fewer)).otherwise(F.lit(None)).alias("fewer"), bpe(F.col("text")).alias("bpe"))
-    counted = written(counted, "rollup-counts")
+    # Texts are counted where they are read; only the counts meet the labels.
+    slim = docs.select("doc_id", "source", "lang", op10_rollups.word_tokens(F.col("text")).alias("words"), op10_rollups.word_tokens(fewer).alias("fewer"), bpe(F.col("text")).alias("bpe"))
+    counted = written(written(slim, "rollup-texts").join(labels, "doc_id", "left").drop("doc_id"), "rollup-counts")
     rollup = op10_rollups.Rollup(spark, f"{shared_dir(spark)}/tessera/rollup-{uuid.uuid4().hex}")
     by = (F.col("source"), F.col("lang"))
     versions = (("words-1", "words"), ("byte-bpe-50k", "bpe"))
