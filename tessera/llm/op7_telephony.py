@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .text import slices
+
 UNIT = 64
 RATE_IN, RATE_OUT = 8000, 16000
 #: Fixed values of the IMA ADPCM coder: step sizes grow by a tenth, index moves by code magnitude.
@@ -30,7 +32,7 @@ MOVES = np.array([-1, -1, -1, -1, 2, 4, 6, 8], np.int32)
 #: WAVE format tags.
 TAGS = {"alaw": 6, "mulaw": 7, "ima": 17}
 FORMATS = ("mulaw", "alaw", "ima")
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 LOADED = T.StructType([T.StructField("payload", T.BinaryType()), T.StructField("samples", T.LongType()), T.StructField("rms", T.LongType()), T.StructField("peak", T.LongType()), T.StructField("crossings", T.LongType()), T.StructField("pcm_crc32", T.LongType()), T.StructField("pcm", T.BinaryType())])
 
@@ -121,10 +123,12 @@ def read(media: bytes, rate: int = RATE_OUT) -> tuple[bytes, np.ndarray]:
     return data, resample(TABLES[kind][raw], stored, rate)
 
 
-def _pieces(column: pa.Array, limit: int = BATCH_BYTES):
-    from .text import slices
-
-    yield from slices(column, limit)
+def _encode(data: np.ndarray, off: np.ndarray, kind: str | None) -> list[bytes]:
+    raw, files = data.tobytes(), []
+    for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+        payload = raw[a:b] + bytes(max(UNIT, -(-(b - a) // UNIT) * UNIT) - (b - a))
+        files.append(wav(kind or FORMATS[zlib.crc32(payload) % len(FORMATS)], payload))
+    return files
 
 
 def store(docs: DataFrame, text_col: str = "text", out: str = "media", kind: str | None = None) -> DataFrame:
@@ -134,13 +138,7 @@ def store(docs: DataFrame, text_col: str = "text", out: str = "media", kind: str
     """
 
     def encode(texts: pa.Array) -> pa.Array:
-        files = []
-        for _, _, data, off in _pieces(texts):
-            raw = data.tobytes()
-            for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
-                payload = raw[a:b] + bytes(max(UNIT, -(-(b - a) // UNIT) * UNIT) - (b - a))
-                files.append(wav(kind or FORMATS[zlib.crc32(payload) % len(FORMATS)], payload))
-        return pa.array(files, pa.binary())
+        return pa.array([f for _, _, data, off in slices(texts, BATCH_BYTES) for f in _encode(data, off, kind)], pa.binary())
 
     return docs.withColumn(out, F.arrow_udf(encode, T.BinaryType()).asNondeterministic()(F.col(text_col)))
 
@@ -159,20 +157,40 @@ def _decode_many(files: list[bytes], rate: int) -> list[tuple[bytes, np.ndarray]
     return [got[k] if k in got else read(f, rate) for k, f in enumerate(files)]
 
 
+def _rows(files: list[bytes], rate: int, keep_pcm: bool) -> list[tuple]:
+    out = []
+    for payload, pcm in _decode_many(files, rate):
+        wide, sign = pcm.astype(np.int64), pcm >= 0
+        out.append((payload, len(pcm), int(np.sqrt((wide * wide).sum() // max(1, len(pcm)))), int(np.abs(wide).max(initial=0)), int((sign[1:] != sign[:-1]).sum()), zlib.crc32(pcm.tobytes()), pcm.astype("<i2").tobytes() if keep_pcm else None))
+    return out
+
+
+_KINDS = [pa.binary(), *[pa.int64()] * 5, pa.binary()]
+
+
 def load(docs: DataFrame, media_col: str = "media", out: str = "audio", *, rate: int = RATE_OUT, keep_pcm: bool = True) -> DataFrame:
     """docs with a struct column `out`: the payload read back, features of the resampled PCM, and the PCM itself (little-endian 16 bit)."""
 
     def decode(media: pa.Array) -> pa.Array:
-        cols: list[list] = [[] for _ in LOADED.fieldNames()]
-        for _, _, data, off in _pieces(media):
+        rows = []
+        for _, _, data, off in slices(media, BATCH_BYTES):
             raw = data.tobytes()
-            for payload, pcm in _decode_many([raw[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], rate):
-                wide = pcm.astype(np.int64)
-                sign = pcm >= 0
-                row = (payload, len(pcm), int(np.sqrt((wide * wide).sum() // max(1, len(pcm)))), int(np.abs(wide).max(initial=0)), int((sign[1:] != sign[:-1]).sum()), zlib.crc32(pcm.tobytes()), pcm.astype("<i2").tobytes() if keep_pcm else None)
-                for c, x in zip(cols, row, strict=True):
-                    c.append(x)
-        kinds = [pa.binary(), *[pa.int64()] * 5, pa.binary()]
-        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=LOADED.fieldNames())
+            rows += _rows([raw[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], rate, keep_pcm)
+        return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_KINDS)], names=LOADED.fieldNames())
 
     return docs.withColumn(out, F.arrow_udf(decode, LOADED).asNondeterministic()(F.col(media_col)))
+
+
+def store_and_load(docs: DataFrame, text_col: str = "text", out: str = "audio", kind: str | None = None, *, rate: int = RATE_OUT, keep_pcm: bool = True) -> DataFrame:
+    """Both in one pass: a struct column `out` of the stored file (`media`) and what `load` reads from it; one Python worker a task in place of two."""
+
+    def both(texts: pa.Array) -> pa.Array:
+        files, rows = [], []
+        for _, _, data, off in slices(texts, BATCH_BYTES):
+            made = _encode(data, off, kind)
+            rows += _rows(made, rate, keep_pcm)
+            files += made
+        return pa.StructArray.from_arrays([pa.array(files, pa.binary()), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(_KINDS))], names=["media", *LOADED.fieldNames()])
+
+    shape = T.StructType([T.StructField("media", T.BinaryType()), *LOADED.fields])
+    return docs.withColumn(out, F.arrow_udf(both, shape).asNondeterministic()(F.col(text_col)))

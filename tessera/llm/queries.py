@@ -70,8 +70,8 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_telephony_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    audio = op7_telephony.load(op7_telephony.store(docs), keep_pcm=False)
-    payload, media = F.col("audio.payload"), F.col("media")
+    audio = op7_telephony.store_and_load(docs, keep_pcm=False)
+    payload, media = F.col("audio.payload"), F.col("audio.media")
     kind = F.element_at(F.create_map(*[F.lit(x) for k, tag in op7_telephony.TAGS.items() for x in (f"{tag:02X}", k)]), F.hex(F.substring(media, 21, 1)))
     feature = F.concat_ws(":", kind, *[F.col(f"audio.{k}").cast("string") for k in ("samples", "rms", "peak", "crossings", "pcm_crc32")])
     return docs_columns(audio, payload, media, feature)
