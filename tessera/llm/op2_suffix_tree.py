@@ -34,11 +34,11 @@ from . import text as X
 from .store import shuffle_buckets, written
 
 DEPTH = 5
-P_MIN = 2e-6
+P_MIN = 1e-6
 E_MIN = 1e-7
 P_HEAD = 1e-6
 MIN_COUNT = 8
-FLUSH = 3_000_000
+FLUSH = 2_000_000
 PAD, GAP = 10, 32
 
 _SCHEMA = "bucket int, kind int, keys binary, vals binary"
