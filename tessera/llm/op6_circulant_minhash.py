@@ -84,7 +84,7 @@ def _sketcher(shingle: int, bands: int, rows: int):
 
 def _confirm(shingle: int, threshold: int):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(lo, 1000) for whole in batches for lo in range(0, whole.num_rows, 1000)):
             a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
             sets: dict[int, np.ndarray] = {}
             for ids, texts in ((a, batch.column("ta")), (b, batch.column("tb"))):
@@ -194,8 +194,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     second = second.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     second = written(second.join(pairs, ["a", "b"], "left_anti"), "minhash-second")
     if second.take(1):
-        edges = edges.unionByName(linked(second, texts, "minhash-links-2"))
-        roots = components(edges, "minhash-components-2")
+        late = linked(second, texts, "minhash-links-2")
+        edges = edges.unionByName(late)
+        # The first pass's components are nodes now: its own edges need not be walked again.
+        of = rest.select(F.col("node"), "root")
+        joined = late.join(of.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(of.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+        over = components(joined.select(F.col("ra").alias("a"), F.col("rb").alias("b")), "minhash-components-2").select(F.col("node").alias("root"), F.col("root").alias("top"))
+        every = nodes.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        roots = every.join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     degree = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
     known = nodes.select("node", "low").join(roots, "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lows = known.groupBy("root").agg(F.min("low").alias("component_id"))
