@@ -201,6 +201,14 @@ def test_secret_rules_and_randomness(spark, empty):
     assert op4_secrets.scan(empty).count() == 0
 
 
+def test_secrets_written_directly_after_an_equals_sign(spark):
+    key, sig = "wJalrXUtnFEMI7K7MDENGbPxRfiCY2Zq", "Xq9fK2mPz7Lw4TvB8nRc5YhJ"
+    rows = [(f"AWS_KEY={key}", key), (f"A=1\nDB_CRED={key}\nB=2", key), (f"https://x.y/z?sig={sig}&v=1", sig), (f"a=={sig}", sig), (f"x={sig}==", f"{sig}=="), (f"key: {key}", key)]
+    df = spark.createDataFrame(rows, "text string, want string")
+    for r in op4_secrets.scan(df).collect():
+        assert [(x["kind"], x["found"], r["text"][x["s"] : x["e"]]) for x in r["secrets"]] == [("random", r["want"], r["want"])]
+
+
 def test_randomness_battery_separates(spark):
     rng = random.Random(5)
     rows = [(True, "".join(rng.choice("0123456789abcdef") for _ in range(31)))for _ in range(100)] + [(True, base64.b64encode(rng.randbytes(24)).decode()) for _ in range(100)]
