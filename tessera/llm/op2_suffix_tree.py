@@ -3,18 +3,23 @@
 Symbols are bytes: a text is its lower-case words, each spelled out and closed by a separator, the last
 one by an end symbol, so the model gives every sequence of words a probability, unseen words included.
 Contexts are the last 0 to 5 symbols.  Counts cover every training text.  A context is a candidate if
-it makes up at least `p_min` of the corpus, and is retained if its next-symbol distribution diverges
-from its parent's by more than it costs to write down (likelihood gain over half a log-count for each
-successor).  All suffixes of a retained context are retained.  Next-symbol distributions are smoothed
-towards the parent's by the Witten-Bell weight, and each symbol is scored in its longest suffix state.
-
-Size bound of the model, which is collected and broadcast: at most 1 / p_min contexts of each length,
-and 1 / e_min of their successors, whatever the corpus (shares of each length sum to 1).
+it is seen MIN_COUNT times, whatever the corpus, and is retained if its next-symbol distribution
+diverges from its parent's by more than it costs to write down (likelihood gain over half a log-count
+for each successor).  All suffixes of a retained context are retained.  Next-symbol distributions are
+smoothed towards the parent's by the Witten-Bell weight, and each symbol is scored in its longest
+suffix state.
+
+The tree grows with the corpus, so it stays in a table.  Its buckets follow the last TRUNK + 1 symbols
+of a context, so a bucket holds whole branches: every context longer than TRUNK with all its suffixes
+longer than TRUNK.  What is collected and broadcast does not grow with the corpus: the trunk (contexts of up
+to TRUNK symbols, a matter of the alphabet), and the scores of the frequent runs of DEPTH + 1 symbols
+(share p_run or more, at most 1 / p_run).  All other runs meet their branch in a shuffle by bucket.
 The unigram base needs the count of every distinct word, which has no bound: words of share p_head or
-more (at most 1 / p_head) are broadcast, all others meet their counts in a shuffle by word.
+more (at most 1 / p_head) are broadcast, all others meet their counts in the same shuffle.
 
 Counts travel as sorted numpy blobs, one for each task and bucket; buckets follow the number of shuffle
-partitions.  A word below p_head has at most that share of all tokens, so no bucket is hot.
+partitions.  A word below p_head has at most that share of all tokens, so no bucket is hot; a bucket of
+runs gets each run's distinct key only.
 
 Defined results: null text is empty and scores its end symbol alone; an id whose crc32 is null trains
 and is not held out; repeated rows get equal scores, a row each; no training rows: the uniform model.
@@ -34,14 +39,16 @@ from . import text as X
 from .store import shuffle_buckets, written
 
 DEPTH = 5
-P_MIN = 1e-6
-E_MIN = 1e-7
+TRUNK = 2
+P_RUN = 5e-7
 P_HEAD = 1e-6
 MIN_COUNT = 8
 FLUSH = 2_000_000
 PAD, GAP = 10, 32
 
 _SCHEMA = "bucket int, kind int, keys binary, vals binary"
+#: Kinds of rows that look for their counts; they sort after those of counts and branches.
+_WORDS, _RUNS = 50, 60
 
 
 def spelled(w: X.Words, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,8 +122,8 @@ def _blobs(kind: int, keys: np.ndarray, vals: np.ndarray, where: np.ndarray, n:
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([kind] * len(rows), pa.int32()), pa.array([keys[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([vals[a:b].tobytes() for a, b in cut], pa.binary())], names=["bucket", "kind", "keys", "vals"])
 
 
-def _gram_bucket(ctx: np.ndarray, level: int, n: int) -> np.ndarray:
-    return (X.mix(ctx * np.uint64(8) + np.uint64(level)) % np.uint64(n)).astype(np.int64)
+def _branch_bucket(codes: np.ndarray, n: int) -> np.ndarray:
+    return (X.mix((codes >> np.uint64(8)) & _mask(TRUNK + 1)) % np.uint64(n)).astype(np.int64)
 
 
 def _word_bucket(h: np.ndarray, n: int) -> np.ndarray:
@@ -124,8 +131,8 @@ def _word_bucket(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def _gather(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """Counts of a partition's words (kind -1) and symbol runs (kind = context length), in blobs by bucket."""
-    held: dict[int, list] = {k: [] for k in range(-1, DEPTH + 1)}
+    """Counts of a partition's words (kind -1) and runs of DEPTH + 1 symbols (kind DEPTH), in blobs by bucket."""
+    held: dict[int, list] = {-1: [], DEPTH: []}
     size = 0
 
     def merged(k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,9 +143,7 @@ def _gather(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
         h, c = merged(-1)
         yield from _blobs(-1, h, c, _word_bucket(h, n), n)
         g, c = merged(DEPTH)
-        for k in range(DEPTH, -1, -1):
-            g, c = counted(g & _mask(k + 1), c)
-            yield from _blobs(k, g, c, _gram_bucket(g >> np.uint64(8), k, n), n)
+        yield from _blobs(DEPTH, g, c, _branch_bucket(g, n), n)
 
     for batch in batches:
         for _, _, data, off in X.slices(batch.column(0)):
@@ -171,16 +176,34 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list
         yield *now, keys, vals
 
 
+def _starts(runs: np.ndarray) -> np.ndarray:
+    """Where each context begins in sorted runs."""
+    ctx = runs >> np.uint64(8)
+    return np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]])) if len(runs) else np.zeros(0, int)
+
+
+def _often(g: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs whose context is seen MIN_COUNT times or more."""
+    at = _starts(g)
+    keep = np.repeat(np.add.reduceat(c, at) >= MIN_COUNT, np.diff(np.append(at, len(g)))) if len(g) else np.zeros(0, bool)
+    return g[keep], c[keep]
+
+
+def _row(bucket: int, kind: int, keys: np.ndarray, vals: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), pa.array([keys.tobytes()], pa.binary()), pa.array([vals.tobytes()], pa.binary())], names=["bucket", "kind", "keys", "vals"])
+
+
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each bucket and kind: distinct keys and their totals; contexts seen under MIN_COUNT times are left out."""
+    """A row for each bucket and kind: distinct words and their totals; of runs, each length above TRUNK without contexts under MIN_COUNT, and the bucket's part of the trunk's runs whole."""
     for b, k, keys, vals in _grouped(batches):
         x, c = counted(np.frombuffer(b"".join(keys), np.uint64), np.frombuffer(b"".join(vals), np.int64))
-        if k > 0:
-            at = np.flatnonzero(np.concatenate([[True], (x[1:] >> np.uint64(8)) != (x[:-1] >> np.uint64(8))])) if len(x) else np.zeros(0, int)
-            sizes = np.diff(np.append(at, len(x)))
-            keep = np.repeat(np.add.reduceat(c, at) >= MIN_COUNT, sizes) if len(x) else np.zeros(0, bool)
-            x, c = x[keep], c[keep]
-        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary()), pa.array([c.tobytes()], pa.binary())], names=["bucket", "kind", "keys", "vals"])
+        if k < 0:
+            yield _row(b, k, x, c)
+            continue
+        for level in range(DEPTH, TRUNK, -1):
+            x, c = counted(x & _mask(level + 1), c)
+            yield _row(b, level, *_often(x, c))
+        yield _row(b, TRUNK, *counted(x & _mask(TRUNK + 1), c))
 
 
 @dataclass
@@ -193,14 +216,13 @@ class Model:
     logs: list[np.ndarray] = field(default_factory=list)
     unseen: float = 0.0
 
-    def score(self, code: np.ndarray) -> np.ndarray:
-        """log10 probability of each code's low symbol after its other symbols."""
+    def score(self, code: np.ndarray, first: int = 0) -> np.ndarray:
+        """log10 probability of each code's low symbol after its other symbols; lists begin at contexts of `first` symbols."""
         out, open_ = np.zeros(len(code)), np.arange(len(code))
         for k in range(len(self.contexts) - 1, -1, -1):
             c = code[open_]
-            ctx = (c >> np.uint64(8)) & _mask(k) if k else np.zeros(len(c), np.uint64)
-            at, here = _find(self.contexts[k], ctx)
-            run, seen = _find(self.runs[k], c & _mask(k + 1))
+            at, here = _find(self.contexts[k], (c >> np.uint64(8)) & _mask(first + k))
+            run, seen = _find(self.runs[k], c & _mask(first + k + 1))
             seen &= here
             out[open_[seen]] += self.logs[k][run[seen]]
             miss = here & ~seen
@@ -217,49 +239,93 @@ def _find(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, table[at] == wanted
 
 
-def build(levels: dict[int, tuple[np.ndarray, np.ndarray]]) -> Model:
-    """The tree of (run, count) tables by context length: smoothing from the root down, divergence tests, then closure under suffixes."""
+def _level(k: int, g: np.ndarray, c: np.ndarray, runs: np.ndarray, probs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts of one length, their log10 weights of backing off, whether they diverge from their parents', and the probabilities of their runs; runs and probs are the parents'."""
+    at = _starts(g)
+    t = np.diff(np.append(at, len(g)))
+    n = np.add.reduceat(c, at).astype(float) if len(g) else np.zeros(0)
+    parent = probs[_find(runs, g & _mask(k))[0]] if len(g) else np.zeros(0)
+    gain = np.add.reduceat(c * np.log(c / np.repeat(n, t) / parent), at) if len(g) else np.zeros(0)
+    return g[at] >> np.uint64(8), np.log10(t / (n + t)), gain > 0.5 * t * np.log(np.maximum(n, 2)), (c + np.repeat(t, t) * parent) / np.repeat(n + t, t)
+
+
+def _closed(contexts: list[np.ndarray], kept: list[np.ndarray], first: int) -> None:
+    """Mark the suffixes of kept contexts as kept, from the longest down to lengths of `first`; lists begin at length `first`."""
+    for i in range(len(contexts) - 1, 0, -1):
+        up, found = _find(contexts[i - 1], contexts[i][kept[i]] & _mask(first + i - 1))
+        kept[i - 1][up[found]] = True
+
+
+def _only(g: np.ndarray, values: np.ndarray, contexts: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of kept contexts with their values."""
+    keep = np.repeat(kept, np.diff(np.append(np.searchsorted(g >> np.uint64(8), contexts), len(g))))
+    return g[keep], values[keep]
+
+
+@dataclass
+class Trunk:
+    """The candidates of up to TRUNK symbols: the root, then for each length (runs, contexts, weights, divergence, probabilities)."""
+
+    root: Model
+    levels: list[tuple[np.ndarray, ...]]
+
+    def parents(self) -> tuple[np.ndarray, np.ndarray]:
+        """Runs of the longest contexts and their probabilities."""
+        return (self.levels[-1][0], self.levels[-1][4]) if self.levels else (self.root.runs[0], 10.0 ** self.root.logs[0])
+
+    def model(self, suffixes: np.ndarray) -> Model:
+        """The retained part, with all suffixes of `suffixes` (contexts of TRUNK symbols whose branches are retained)."""
+        r = self.root
+        out = Model(list(r.contexts), list(r.backoff), list(r.runs), list(r.logs), r.unseen)
+        contexts, kept = [x[1] for x in self.levels], [x[3].copy() for x in self.levels]
+        if kept:
+            kept[-1][_find(contexts[-1], suffixes)[0]] = True
+        _closed(contexts, kept, 1)
+        for (g, ctx, weights, _, probs), keep in zip(self.levels, kept, strict=True):
+            runs, logs = _only(g, np.log10(probs), ctx, keep)
+            out.contexts.append(ctx[keep])
+            out.backoff.append(weights[keep])
+            out.runs.append(runs)
+            out.logs.append(logs)
+        return out
+
+
+def trunk(runs: np.ndarray, counts: np.ndarray) -> Trunk:
+    """Smoothing and divergence tests from the root down, from the counts of all runs of TRUNK + 1 symbols."""
     alphabet = 257.0
-    g, c = levels.get(0, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    g, c = counted(runs & _mask(1), counts)
     total = float(c.sum())
     root = np.log10((c + 0.5) / (total + 0.5 * alphabet))
-    model = Model([np.zeros(1, np.uint64)], [np.zeros(1)], [g], [root], float(np.log10(0.5 / (total + 0.5 * alphabet))))
-    probs, contexts, weights, kept = [10.0**root], [np.zeros(1, np.uint64)], [np.zeros(1)], [np.ones(1, bool)]
-    for k in range(1, DEPTH + 1):
-        g, c = levels.get(k, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    out = Trunk(Model([np.zeros(1, np.uint64)], [np.zeros(1)], [g], [root], float(np.log10(0.5 / (total + 0.5 * alphabet)))), [])
+    for k in range(1, TRUNK + 1):
+        g, c = _often(*counted(runs & _mask(k + 1), counts))
         if not len(g):
             break
-        ctx = g >> np.uint64(8)
-        at = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
-        t = np.diff(np.append(at, len(g)))
-        n = np.add.reduceat(c, at).astype(float)
-        up, found = _find(levels[k - 1][0], g & _mask(k))
-        parent = np.where(found, probs[-1][up], 10.0**model.unseen)
-        share = c / np.repeat(n, t)
-        gain = np.add.reduceat(c * np.log(share / parent), at)
-        kept.append(gain > 0.5 * t * np.log(np.maximum(n, 2)))
-        probs.append((c + np.repeat(t, t) * parent) / np.repeat(n + t, t))
-        contexts.append(ctx[at])
-        weights.append(np.log10(t / (n + t)))
-        model.runs.append(g)
-        model.logs.append(np.log10(probs[-1]))
-    for k in range(len(contexts) - 1, 1, -1):
-        up, found = _find(contexts[k - 1], contexts[k][kept[k]] & _mask(k - 1))
-        kept[k - 1][up[found]] = True
-    for k in range(1, len(contexts)):
-        sizes = np.diff(np.append(np.searchsorted(model.runs[k] >> np.uint64(8), contexts[k]), len(model.runs[k])))
-        keep = np.repeat(kept[k], sizes)
-        model.runs[k], model.logs[k] = model.runs[k][keep], model.logs[k][keep]
-        model.contexts.append(contexts[k][kept[k]])
-        model.backoff.append(weights[k][kept[k]])
-    return model
+        out.levels.append((g, *_level(k, g, c, *out.parents())))
+    return out
+
+
+def branches(levels: dict[int, tuple[np.ndarray, np.ndarray]], runs: np.ndarray, probs: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(contexts, weights, runs, logs) of the retained contexts of a bucket for each length above TRUNK; runs and probs are the trunk's."""
+    made, kept = [], []
+    for k in range(TRUNK + 1, DEPTH + 1):
+        g, c = levels[k]
+        ctx, weights, diverge, probs = _level(k, g, c, runs, probs)
+        made.append((g, ctx, weights, probs))
+        kept.append(diverge)
+        runs = g
+    _closed([m[1] for m in made], kept, TRUNK + 1)
+    return [(ctx[keep], weights[keep], *_only(g, np.log10(p), ctx, keep)) for (g, ctx, weights, p), keep in zip(made, kept, strict=True)]
 
 
 @dataclass
 class Fitted:
-    """The tree, the head words (hash -> count), the totals of the unigram base, and the table of word counts."""
+    """The retained trunk, the scores of frequent runs, the table of branches, the head words (hash -> count), the totals of the unigram base, and the table of word counts."""
 
     model: Model
+    often: np.ndarray
+    often_logs: np.ndarray
+    tree: DataFrame
     head: np.ndarray
     head_counts: np.ndarray
     tokens: int
@@ -269,7 +335,7 @@ class Fitted:
     buckets: int
 
 
-def fit(texts: DataFrame, text_col: str = "text", *, p_min: float = P_MIN, e_min: float = E_MIN, p_head: float = P_HEAD) -> Fitted:
+def fit(texts: DataFrame, text_col: str = "text", *, p_run: float = P_RUN, p_head: float = P_HEAD) -> Fitted:
     """Count all rows of texts and grow the tree."""
     spark = texts.sparkSession
     n = shuffle_buckets(spark)
@@ -281,31 +347,68 @@ def fit(texts: DataFrame, text_col: str = "text", *, p_min: float = P_MIN, e_min
             c = [np.frombuffer(v, np.int64) for v in batch.column("vals").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array([len(x) for x in c], pa.int64()), pa.array([int(x.sum()) for x in c], pa.int64())], names=["kind", "types", "total"])
 
-    sums = {r["kind"]: r for r in counts.where("kind in (-1, 0)").select("kind", "vals").mapInArrow(total, "kind int, types long, total long").groupBy("kind").agg(F.sum("types").alias("types"), F.sum("total").alias("total")).collect()}
+    sums = {r["kind"]: r for r in counts.where(f"kind in (-1, {TRUNK})").select("kind", "vals").mapInArrow(total, "kind int, types long, total long").groupBy("kind").agg(F.sum("types").alias("types"), F.sum("total").alias("total")).collect()}
     ends = texts.count()
     words = sums[-1]["total"] if -1 in sums else 0
-    tokens, symbols = words + ends, sums[0]["total"] if 0 in sums else 0
+    tokens, symbols = words + ends, sums[TRUNK]["total"] if TRUNK in sums else 0
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)), pa.array(np.frombuffer(y, np.int64))], names=["run", "n"])
+
+    short = counts.where(F.col("kind") == TRUNK).select("keys", "vals").mapInArrow(flat, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")).toArrow()
+    base = trunk(short.column("run").to_numpy().astype(np.uint64), short.column("n").to_numpy())
+    shipped = spark.sparkContext.broadcast(base)
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each bucket: contexts with weights (kind k), their runs with logs (kind 10 + k), the trunk's contexts that branches hang on (kind 20), frequent runs with their scores, NaN where the trunk scores them (kind 30)."""
+        now, levels = None, {}
+
+        def made() -> Iterator[pa.RecordBatch]:
+            grown = branches(levels, *shipped.value.parents())
+            for k, (ctx, weights, runs, logs) in enumerate(grown, TRUNK + 1):
+                yield _row(now, k, ctx, weights)
+                yield _row(now, 10 + k, runs, logs)
+            hang = np.unique(grown[0][0] & _mask(TRUNK))
+            yield _row(now, 20, hang, np.zeros(0))
+            often = levels[DEPTH][0][levels[DEPTH][1] >= p_run * symbols]
+            tree = Model([g[0] for g in grown], [g[1] for g in grown], [g[2] for g in grown], [g[3] for g in grown], np.nan)
+            yield _row(now, 30, often, tree.score(often, TRUNK + 1))
 
-    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b, k, x, y in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                g, c = np.frombuffer(x, np.uint64), np.frombuffer(y, np.int64)
-                if k < 0:
-                    keep = c >= p_head * tokens
-                else:
-                    ctx = g >> np.uint64(8)
-                    at = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]])) if len(g) else np.zeros(0, int)
-                    size = np.add.reduceat(c, at) if len(g) else at
-                    keep = np.repeat(size >= (p_min * symbols if k else 0), np.diff(np.append(at, len(g)))) & (c >= e_min * symbols)
+                if now is not None and b != now:
+                    yield from made()
+                    levels = {}
+                now = b
+                levels[k] = (np.frombuffer(x, np.uint64), np.frombuffer(y, np.int64))
+        if now is not None:
+            yield from made()
+
+    tree = written(counts.where(F.col("kind") > TRUNK).repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(grow, _SCHEMA), "suffix-tree")
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b, k, x, y in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                h, c = np.frombuffer(x, np.uint64), np.frombuffer(y, np.int64)
+                keep = c >= p_head * tokens
                 if keep.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([k], pa.int32()), pa.array([g[keep].tobytes()], pa.binary()), pa.array([c[keep].tobytes()], pa.binary())], names=["bucket", "kind", "keys", "vals"])
+                    yield _row(b, k, h[keep], c[keep])
 
-    parts: dict[int, list] = {}
-    for r in counts.mapInArrow(bounded, _SCHEMA).toLocalIterator():
-        parts.setdefault(r["kind"], []).append((bytes(r["keys"]), bytes(r["vals"])))
-    tables = {k: counted(np.concatenate([np.frombuffer(x, np.uint64) for x, _ in p]), np.concatenate([np.frombuffer(y, np.int64) for _, y in p])) for k, p in parts.items()}
-    head, head_counts = tables.pop(-1, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
-    return Fitted(build(tables), head, head_counts, tokens, (sums[-1]["types"] if -1 in sums else 0) + (ends > 0), ends, counts, n)
+    def collected(rows: DataFrame, of: type) -> tuple[np.ndarray, np.ndarray]:
+        got = [(bytes(r["keys"]), bytes(r["vals"])) for r in rows.select("keys", "vals").toLocalIterator()]
+        keys, vals = np.frombuffer(b"".join(x for x, _ in got), np.uint64), np.frombuffer(b"".join(y for _, y in got), of)
+        order = np.argsort(keys)
+        return keys[order], vals[order] if len(vals) else vals
+
+    head, head_counts = collected(counts.where("kind = -1").mapInArrow(heads, _SCHEMA), np.int64)
+    model = base.model(np.unique(collected(tree.where("kind = 20"), float)[0]))
+    often, logs = collected(tree.where("kind = 30"), float)
+    rest = np.isnan(logs)
+    logs = logs.copy()
+    logs[rest] = model.score(often[rest])
+    return Fitted(model, often, logs, tree.where("kind < 20"), head, head_counts, tokens, (sums[-1]["types"] if -1 in sums else 0) + (ends > 0), ends, counts, n)
 
 
 _TYPES = {"bucket": pa.int32(), "rid": pa.int64(), "n": pa.int64(), "known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "keys": pa.binary(), "vals": pa.binary()}
@@ -320,20 +423,22 @@ def _part(kind: int, ids: pa.Array, **cols: np.ndarray | list) -> pa.RecordBatch
 def score(docs: DataFrame, fitted: Fitted, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: its id as `id`, n_tokens, n_known, base_score and score."""
     spark, n, norm = docs.sparkSession, fitted.buckets, float(np.log10(fitted.tokens + 0.5 * (fitted.types + 1)))
-    shipped = spark.sparkContext.broadcast((fitted.model, fitted.head, np.log10(fitted.head_counts + 0.5)))
+    shipped = spark.sparkContext.broadcast((fitted.often, fitted.often_logs, fitted.head, np.log10(fitted.head_counts + 0.5)))
+    trunk_of = spark.sparkContext.broadcast(fitted.model)
     end_log = float(np.log10(fitted.ends + 0.5))
     end_known = int(fitted.ends > 0)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("rid", F.monotonically_increasing_id())
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, head, head_log = shipped.value
-        late: list = []
+        often, often_log, head, head_log = shipped.value
+        late: dict[int, list] = {_WORDS: [], _RUNS: []}
         size, id_type = 0, [pa.null()]
 
         def flush() -> Iterator[pa.RecordBatch]:
-            h, r = np.concatenate([x[0] for x in late]), np.concatenate([x[1] for x in late])
-            for b in _blobs(1, h, r, _word_bucket(h, n), n):
-                yield _part(1, pa.nulls(b.num_rows, id_type[0]), bucket=b.column("bucket"), keys=b.column("keys"), vals=b.column("vals"))
+            for kind, where in ((_WORDS, _word_bucket), (_RUNS, _branch_bucket)):
+                x, r = np.concatenate([p[0] for p in late[kind]]), np.concatenate([p[1] for p in late[kind]])
+                for b in _blobs(kind, x, r, where(x, n), n):
+                    yield _part(kind, pa.nulls(b.num_rows, id_type[0]), bucket=b.column("bucket"), keys=b.column("keys"), vals=b.column("vals"))
 
         for batch in batches:
             rid, ids = batch.column("rid").to_numpy(zero_copy_only=False), batch.column("id")
@@ -353,38 +458,56 @@ def score(docs: DataFrame, fitted: Fitted, id_col: str = "doc_id", text_col: str
                 symbols, scored, doc = spelled(w, off)
                 packed = np.sort(codes(symbols, scored) << np.uint64(16) | doc[scored].astype(np.uint64))
                 u, c = counted(packed >> np.uint64(16))
-                total = np.bincount((packed & np.uint64(0xFFFF)).astype(np.int64), weights=np.repeat(model.score(u), c), minlength=m)
+                at, found = _find(often, u)
+                logs = np.repeat(np.where(found, often_log[at] if len(often) else 0.0, 0.0), c)
+                is_often = np.repeat(found, c)
+                d_run = (packed & np.uint64(0xFFFF)).astype(np.int64)
+                total = np.bincount(d_run, weights=logs, minlength=m)
                 yield _part(0, ids.slice(lo, m), rid=rid[lo:hi], n=w.counts + 1, known=known + end_known, base=base + end_log - (w.counts + 1) * norm, score=total)
-                late.append((h[~is_head], rid[lo:hi][d[~is_head]]))
-                size += len(late[-1][0])
+                late[_WORDS].append((h[~is_head], rid[lo:hi][d[~is_head]]))
+                late[_RUNS].append((packed[~is_often] >> np.uint64(16), rid[lo:hi][d_run[~is_often]]))
+                size += len(late[_WORDS][-1][0]) + len(late[_RUNS][-1][0])
                 if size > FLUSH:
                     yield from flush()
-                    late, size = [], 0
-        if late:
+                    late, size = {_WORDS: [], _RUNS: []}, 0
+        if late[_WORDS]:
             yield from flush()
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Counts of a bucket's words, then the words that look for theirs, summed by row."""
-        keys, logs, bucket = np.zeros(0, np.uint64), np.zeros(0), None
+        """Counts of a bucket's words and its branches, then the words and runs that look for theirs, summed by row."""
+        top = trunk_of.value
+        keys, logs, tree, bucket = np.zeros(0, np.uint64), np.zeros(0), {}, None
+        model = top
         for batch in batches:
             for b, kind, x, y in zip(*(batch.column(i).to_pylist() for i in ("bucket", "kind", "keys", "vals")), strict=True):
                 if b != bucket:
-                    keys, logs, bucket = np.zeros(0, np.uint64), np.zeros(0), b
+                    keys, logs, tree, bucket, model = np.zeros(0, np.uint64), np.zeros(0), {}, b, top
                 if kind < 0:
                     keys, logs = np.frombuffer(x, np.uint64), np.log10(np.frombuffer(y, np.int64) + 0.5)
                     continue
+                if kind < _WORDS:
+                    tree[kind] = (np.frombuffer(x, np.uint64), np.frombuffer(y, float))
+                    if kind == 10 + DEPTH:
+                        own = range(TRUNK + 1, DEPTH + 1)
+                        model = Model(top.contexts + [tree[k][0] for k in own], top.backoff + [tree[k][1] for k in own], top.runs + [tree[10 + k][0] for k in own], top.logs + [tree[10 + k][1] for k in own], top.unseen) if len(top.contexts) > TRUNK else top
+                    continue
                 h, rid = np.frombuffer(x, np.uint64), np.frombuffer(y, np.int64)
+                if kind == _RUNS:
+                    ids, back = np.unique(rid, return_inverse=True)
+                    u, same = np.unique(h, return_inverse=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.zeros(len(ids), np.int64)), pa.array(np.zeros(len(ids))), pa.array(np.bincount(back, weights=model.score(u)[same]))], names=["rid", "known", "base", "score"])
+                    continue
                 order = np.argsort(h)
                 at, found = _find(keys, h[order])
                 value = np.where(found, logs[at] if len(keys) else 0.0, float(np.log10(0.5)))
                 ids, back = np.unique(rid[order], return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.bincount(back, weights=found).astype(np.int64)), pa.array(np.bincount(back, weights=value))], names=["rid", "known", "base"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.bincount(back, weights=found).astype(np.int64)), pa.array(np.bincount(back, weights=value)), pa.array(np.zeros(len(ids)))], names=["rid", "known", "base", "score"])
 
-    # The measuring pass is written once: its rows by document and its words by bucket are read apart.
+    # The measuring pass is written once: its rows by document and its words and runs by bucket are read apart.
     kind = rows.schema["id"].dataType.simpleString()
     parts = written(rows.select("rid", "id", "text").mapInArrow(measure, f"{_PART}, id {kind}"), "suffix-parts")
-    late = parts.where("kind = 1").select("bucket", "kind", "keys", "vals").unionByName(fitted.counts.where("kind = -1"))
-    settled = late.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(settle, "rid long, known long, base double")
+    late = parts.where("kind > 0").select("bucket", "kind", "keys", "vals").unionByName(fitted.counts.where("kind = -1")).unionByName(fitted.tree)
+    settled = late.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(settle, "rid long, known long, base double, score double")
     whole = parts.where("kind = 0").select("rid", "id", "n", "known", "base", "score")
     both = whole.unionByName(settled, allowMissingColumns=True)
-    return both.groupBy("rid").agg(F.max("id").alias("id"), F.max("n").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.max("score").alias("score")).drop("rid")
+    return both.groupBy("rid").agg(F.max("id").alias("id"), F.max("n").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.round(F.sum("score"), 9).alias("score")).drop("rid")

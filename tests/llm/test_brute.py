@@ -131,6 +131,58 @@ def test_suffix_tree_base_and_probabilities(spark, docs, empty):
     assert op2_suffix_tree.score(docs, none).count() == len(rows) and op2_suffix_tree.score(empty, fitted).count() == 0
 
 
+def plain_tree(texts):
+    """The tree from plain dictionaries: (probabilities, retained contexts) by context, with no table cut."""
+    depth, alphabet = op2_suffix_tree.DEPTH, 257.0
+    n = collections.defaultdict(collections.Counter)
+    spelled = lambda t: (b"\n" * depth) + b" ".join(words(t)) + b"\n"
+    for t in texts:
+        s = spelled(t)
+        for i in range(depth, len(s)):
+            for k in range(depth + 1):
+                n[s[i - k : i]][s[i]] += 1
+    total = sum(n[b""].values())
+    p = {b"": {x: (n[b""][x] + 0.5) / (total + 0.5 * alphabet) for x in range(256)}}
+    unseen = 0.5 / (total + 0.5 * alphabet)
+    kept = {b""}
+    for c in sorted(n, key=len):
+        m = sum(n[c].values())
+        if not c or m < op2_suffix_tree.MIN_COUNT:
+            continue
+        up, t = p[c[1:]], len(n[c])
+        p[c] = {x: (n[c][x] + t * up[x]) / (m + t) for x in range(256)}
+        if sum(k * math.log(k / m / up[x]) for x, k in n[c].items()) > 0.5 * t * math.log(m):
+            kept |= {c[i:] for i in range(len(c))}
+
+    def score(t):
+        s = spelled(t)
+        return sum(math.log10(p[next(s[i - k : i] for k in range(depth, -1, -1) if s[i - k : i] in kept)][s[i]]) for i in range(depth, len(s)))
+
+    return score
+
+
+@pytest.mark.parametrize("p_run", [5e-7, 1e-3, 1.0])
+def test_suffix_tree_matches_plain_tree(spark, docs, p_run):
+    fitted = op2_suffix_tree.fit(docs, p_run=p_run)
+    want = plain_tree([r["text"] for r in docs.collect()])
+    other = spark.createDataFrame([(1, "abcde never seen éñ bad"), (2, ""), (3, None)], "doc_id long, text string")
+    for part in (docs, other):
+        texts = collections.defaultdict(list)
+        for r in part.collect():
+            texts[r["doc_id"]].append(want(r["text"]))
+        for r in op2_suffix_tree.score(part, fitted).collect():
+            assert any(r["score"] == pytest.approx(x, rel=1e-9, abs=1e-8) for x in texts[r["id"]])
+
+
+def test_suffix_tree_keeps_a_rare_context_in_a_larger_corpus(spark):
+    """30 sights of a word are kept among 40 million other symbols, where a share of a millionth asks for 40."""
+    rare = "zqxjv " * 30
+    common = spark.range(400).select(F.concat(F.lit("w"), F.col("id")).alias("k"), F.expr("repeat(concat('abcde fghij klmno pqrst ', cast(id % 7 as string), ' '), 4000)").alias("text"))
+    fitted = op2_suffix_tree.fit(common.select("text").unionByName(spark.createDataFrame([(rare,)], "text string")))
+    got = op2_suffix_tree.score(spark.createDataFrame([(1, "zqxjv zqxjv zqxjv zqxjv")], "doc_id long, text string"), fitted).collect()[0]
+    assert got["score"] > -20
+
+
 def test_suffix_tree_beats_its_base_on_held_out_text(spark):
     rng = random.Random(1)
     langs = [["".join(rng.choice(letters) for _ in range(rng.randint(2, 5))) for _ in range(40)] for letters in ("abcde", "fghij", "klmno", "pqrst")]
