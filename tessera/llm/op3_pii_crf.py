@@ -7,7 +7,8 @@ their shapes and their neighbours' shapes; it is trained by maximum likelihood o
 Its spans are added where they overlap no rule span and pass the kind's own checks; rule spans stay.
 
 Every text is read whole.  Training forbids entity tags on words without a digit or @, so words farther than
-`CONTEXT` words from such a word take part in no entity and are not decoded.
+`CONTEXT` words from such a word take part in no entity and are not decoded.  The runs of words that are left are
+decoded in parts, cut at words without a digit or @ only: as these can only be O, the best path is the whole run's.
 
 Defined results: null text is empty and has no spans.  Equal texts get equal spans.  Offsets are code
 points, ends exclusive, ordered by start, then kind in the order of KINDS.
@@ -18,6 +19,7 @@ from __future__ import annotations
 import random
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -31,6 +33,7 @@ KINDS = ("email", "ip", "card", "phone")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 CONTEXT = 3
 LONGEST = 80
+PIECE, BATCH = 256, 512_000
 SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("s", T.LongType()), T.StructField("e", T.LongType()), T.StructField("rule", T.BooleanType())]))
 
 _ANCHOR = re.compile(r"[0-9@]")
@@ -300,7 +303,7 @@ def sequences(text: str) -> list[list[tuple[int, int]]]:
     out: list[list[tuple[int, int]]] = []
     end = -1
     for k, (a, b) in enumerate(bounds):
-        if b - a <= LONGEST and _ANCHOR.search(text, a, b):
+        if _ANCHOR.search(text, a, b):
             lo, hi = max(end, k - CONTEXT, 0), min(len(bounds), k + CONTEXT + 1)
             if end >= k - CONTEXT and out:
                 out[-1].extend(bounds[max(end, 0) : hi])
@@ -310,16 +313,57 @@ def sequences(text: str) -> list[list[tuple[int, int]]]:
     return out
 
 
+@dataclass
+class Part:
+    """The features of words lo to hi of a run, made a piece at a time as they are read; neighbours outside the part count."""
+
+    text: str
+    run: list[tuple[int, int]]
+    lo: int
+    hi: int
+
+    def __len__(self) -> int:
+        return self.hi - self.lo
+
+    def __iter__(self) -> Iterator[list[str]]:
+        for at in range(self.lo, self.hi, PIECE):
+            first, end = max(at - 1, 0), min(at + PIECE, self.hi)
+            yield from features([self.text[a:b] for a, b in self.run[first : end + 1]])[at - first : end - first]
+
+
+def parts(text: str) -> list[Part]:
+    """The runs of a text in parts of PIECE words or more, cut at a word that can only be O; it ends one part and begins the next."""
+    out = []
+    for run in sequences(text):
+        lo = 0
+        for k in range(PIECE, len(run) - 1):
+            if k - lo >= PIECE and not _ANCHOR.search(text, *run[k]):
+                out.append(Part(text, run, lo, k + 1))
+                lo = k
+        out.append(Part(text, run, lo, len(run)))
+    return out
+
+
+def batched(sizes: list[int]) -> list[tuple[int, int]]:
+    """Bounds of batches of ascending sizes: at most 2000 parts, and BATCH words with padding unless one part alone is longer."""
+    out, lo = [], 0
+    for k, n in enumerate(sizes):
+        if k > lo and (k - lo == 2000 or (k + 1 - lo) * n > BATCH):
+            out.append((lo, k))
+            lo = k
+    return [*out, (lo, len(sizes))] if sizes else out
+
+
 def find_batch(texts: list[str | None], field: Field) -> list[list[tuple[str, int, int, bool]]]:
     """All spans of each text."""
     rules = [rule_spans(t) if t else [] for t in texts]
-    jobs = [(i, s[lo : lo + 256]) for i, t in enumerate(texts) if t and _ANCHOR.search(t) for s in sequences(t) for lo in range(0, len(s), 256)]
+    jobs = [(i, p) for i, t in enumerate(texts) if t and _ANCHOR.search(t) for p in parts(t)]
     jobs.sort(key=lambda j: len(j[1]))
     out = [[(k, a, b, True) for k, a, b in r] for r in rules]
-    for lo in range(0, len(jobs), 2000):
-        part = jobs[lo : lo + 2000]
-        words = [[texts[i][a : min(b, a + LONGEST + 1)] for a, b in s] for i, s in part]
-        for (i, s), path in zip(part, field.decode([features(w) for w in words]), strict=True):
+    for lo, hi in batched([len(p) for _, p in jobs]):
+        part = jobs[lo:hi]
+        for (i, p), path in zip(part, field.decode([p for _, p in part]), strict=True):
+            s = p.run[p.lo : p.hi]
             k = 0
             while k < len(path):
                 tag = TAGS[path[k]]

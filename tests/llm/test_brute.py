@@ -241,6 +241,29 @@ def test_pii_adds_and_masks(spark, empty):
     assert op3_pii_crf.find_personal(empty).count() == 0
 
 
+def test_pii_long_runs_are_decoded_whole():
+    field = op3_pii_crf.default_field()
+    for dense in (True, False):
+        for shift in range(250, 257):
+            rng = random.Random(shift)
+            fill = [str(rng.randint(10, 99)) if dense or k % 5 else "cats" for k in range(shift)]
+            text = " ".join([*fill, "cats", "call", "(555)", "123-4567", "now", *fill, "call", "(555)", "123-4567", "and", *fill])
+            got = op3_pii_crf.find_batch([text], field)[0]
+            runs = op3_pii_crf.sequences(text)
+            assert len(runs) == 1
+            tags = [op3_pii_crf.TAGS[t] for t in field.decode([op3_pii_crf.features([text[a:b] for a, b in runs[0]])])[0]]
+            paths = [t for p in op3_pii_crf.parts(text) for t in ([op3_pii_crf.TAGS[x] for x in field.decode([p])[0]][1 if p.lo else 0 :])]
+            assert paths == tags
+            assert [text[a:b] for k, a, b, _ in got if k == "phone"] == ["(555) 123-4567"] * 2
+    # Words without an end of the run between them: numbers alone.
+    text = " ".join(["11"] * 255 + ["(555)", "123-4567"] + ["11"] * 300)
+    assert len(op3_pii_crf.parts(text)) == 1
+    assert op3_pii_crf.sequences("a" * 90 + "@b 1") and op3_pii_crf.sequences("x" * 100 + "7") == [[(0, 101)]]
+    sizes = [1] * 2500 + [300_000, 400_000, 9_000_000]
+    bounds = op3_pii_crf.batched(sizes)
+    assert [k for a, b in bounds for k in range(a, b)] == list(range(len(sizes))) and all(b - a == 1 or (b - a) * sizes[b - 1] <= op3_pii_crf.BATCH for a, b in bounds)
+
+
 def test_secret_rules_and_randomness(spark, empty):
     rows = [(1, None), (2, ""), (3, "é token=abc Secret : 'abcdefgh1' AKIAABCDEFGHIJKL12 😀 0123456789abcdef0123456789abcdef"), (4, "token=secret: abcdefgh12"), (5, "internationalization2000version and Xq9fK2mPz7Lw4TvB8nRc5YhJ here"), (6, "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1 abababababababababababab12"), (7, "api_key=abcdefgh api-key=abcdefgh " * 300)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("t", F.lit(1))
