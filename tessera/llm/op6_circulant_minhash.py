@@ -29,8 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.components import components
+
 from . import text as X
-from .components import components
 from .store import written
 
 SHINGLE = 5
@@ -174,7 +175,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     texts = lent(ends, "minhash-texts")
     edges = linked(pairs, texts, "minhash-links")
-    roots = components(edges, "minhash-components")
+    roots = components(edges)
     # The exact way for the rest: members of buckets that still span several components.
     placed = member.where("size > 2").join(roots, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("root"))
     split = placed.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "key")
@@ -199,7 +200,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # The first pass's components are nodes now: its own edges need not be walked again.
         of = rest.select(F.col("node"), "root")
         joined = late.join(of.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(of.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
-        over = components(joined.select(F.col("ra").alias("a"), F.col("rb").alias("b")), "minhash-components-2").select(F.col("node").alias("root"), F.col("root").alias("top"))
+        over = components(joined.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("top"))
         every = nodes.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         roots = every.join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     degree = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))

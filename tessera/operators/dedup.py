@@ -6,23 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.components import components
 from tessera.operators.order import global_rank
 from tessera.sources.shared import cut_lineage
 
 
-def connected(nodes: DataFrame, edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """(node, component): the smallest node that each one reaches over undirected edges (a, b); minima travel along edges and jump to the minimum's own minimum."""
-    both = cut_lineage(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    now = cut_lineage(nodes.select("node", F.col("node").alias("component")).distinct())
-    for _ in range(rounds):
-        near = both.join(now.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
-        step = now.join(near, "node", "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("m", "component")).alias("c"))
-        jump = step.select(F.col("node").alias("c"), F.col("c").alias("cc"))
-        new = cut_lineage(step.join(jump, "c", "left").select("node", "old", F.least("c", F.coalesce("cc", "c")).alias("component")))
-        if not new.where("old <> component").take(1):
-            return new.select("node", "component")
-        now = new.select("node", "component")
-    return now
+def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component): the smallest node that each one reaches over undirected edges (a, b); a node without edges is its own."""
+    roots = components(edges.select("a", "b")).withColumnRenamed("root", "component")
+    return nodes.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def packed(calls: DataFrame, keys: tuple[str, ...], position: str, call: str, width: int) -> DataFrame:

@@ -113,6 +113,16 @@ def test_components_of_a_path(spark):
     assert {r["component"] for r in got if r["node"] < n} == {0} and [r["component"] for r in got if r["node"] == n] == [n]
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_of_a_long_path(spark, seed):
+    n = 1000
+    order = list(range(n))
+    random.Random(seed).shuffle(order)
+    edges = spark.createDataFrame([(order[i], order[i + 1]) for i in range(n - 1)], "a long, b long")
+    got = dedup.connected(spark.range(n).select(F.col("id").alias("node")), edges).collect()
+    assert len(got) == n and {r["component"] for r in got} == {0}
+
+
 def paths(model, obs, coords):
     k = len(model.start)
     b, t = model.log_emission(obs), np.log(model.trans + hmm.EPS)[model.bins(coords)]
