@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.sources.shared import cut_lineage
+
 #: The most bytes of a query set that are broadcast; larger ones go in blocks.
 QUERY_BYTES = 64 << 20
 
@@ -86,8 +88,6 @@ def transfer_labels(neighbours: DataFrame, labels: DataFrame, k: int) -> DataFra
 
 def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """Communities by weighted label propagation from node ids (ties to the smaller label); the stand-in for modularity clustering, which needs the whole graph in one process."""
-    from tessera.sources.shared import cut_lineage
-
     edges = cut_lineage(edges)
     now = edges.select(F.col("q").alias("node")).distinct().withColumn("label", F.col("node"))
     for _ in range(rounds):
@@ -145,34 +145,71 @@ def nmf(x: np.ndarray, k: int, rounds: int = 200, seed: int = 42) -> tuple[np.nd
     return w, h
 
 
-def grouped_nmf(calls: DataFrame, group: tuple[str, ...], k: int, rounds: int = 200, width: int = 60, most: int = 20_000) -> DataFrame:
-    """Factors of the read x position matrix of each group: fitted on at most `most` reads in hash order, then every read gets its weights by one pass over its own row."""
-    rows = calls.where("call is not null").groupBy(*group, "read_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("position").cast("int").alias("k"), F.col("call").cast("double").alias("v")))).alias("m"))
-    rows = rows.withColumn("_h", F.xxhash64("read_id")).withColumn("v", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.try_element_at("m", i)))
-    kinds = dict(rows.dtypes)
-    pick = F.row_number().over(Window.partitionBy(*group).orderBy("_h", "read_id"))
-    sample = rows.withColumn("_r", pick).where(F.col("_r") <= most)
+def _nmf_step(x: np.ndarray, w: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The weights of rows after one multiplicative update under h."""
+    seen = ~np.isnan(x)
+    v = np.where(seen, x, 0.0)
+    return w * (v @ h.T) / np.maximum((seen * (w @ h)) @ h.T, 1e-12)
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.array([[np.nan if e is None else e for e in v] for v in pdf["v"]], float)
-        _, h = nmf(x, k, rounds)
-        return pd.DataFrame([[*(pdf[g].iloc[0] for g in group), h.reshape(-1).tolist()]], columns=[*group, "h"])
 
-    parts = sample.select(*group, "v").groupBy(*group).applyInPandas(fit, ", ".join(f"{g} {kinds[g]}" for g in group) + ", h array<double>")
+def grouped_nmf(calls: DataFrame, group: tuple[str, ...], k: int, rounds: int = 200, width: int = 60, seed: int = 42, keep: int = 10) -> DataFrame:
+    """Weights of every read on the factors of its group's read x position matrix.
+
+    Factors are fitted on all reads by multiplicative updates.  A round sums the numerators and
+    denominators of H (k x width a group) by partition, and only these sums are collected.  Weights start
+    from hashes of the read's identity; they are written every `keep` rounds and replayed in between from
+    the factors of the rounds since, so no read is left out and no row is held on the driver.
+    """
+    rows = calls.where("call is not null").groupBy(*group, "read_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("position").cast("int").alias("k"), F.col("call").cast("double").alias("v")))).alias("m"))
+    start = F.array(*[(F.pmod(F.xxhash64("read_id", F.lit(seed), F.lit(i)), F.lit(1_000_003)) / 1_000_003.0 + 0.1) for i in range(k)])
+    now = cut_lineage(rows.select(*group, "read_id", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.try_element_at("m", i)).alias("v"), start.alias("weights")))
+    names = [tuple(r) for r in now.select(*group).distinct().collect()]
+    rng = np.random.default_rng(seed)
+    first = rng.random((k, width)) + 0.1
+    factors = {g: first.copy() for g in names}
+    since: list[dict[tuple, np.ndarray]] = []
 
-    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def replayed(batches: Iterator[pd.DataFrame], past: list[dict[tuple, np.ndarray]]) -> Iterator[tuple[tuple, pd.DataFrame, np.ndarray, np.ndarray]]:
         for pdf in batches:
-            out = []
-            for v, flat in zip(pdf["v"], pdf["h"], strict=True):
-                h = np.asarray(flat, float).reshape(k, -1)
-                x = np.array([np.nan if e is None else e for e in v], float)
-                seen, w = ~np.isnan(x), np.full(k, 0.5)
-                for _ in range(60):
-                    w = w * (h[:, seen] @ x[seen]) / np.maximum(h[:, seen] @ (w @ h[:, seen]), 1e-12)
-                out.append(w.tolist())
-            yield pdf.drop(columns=["v", "h"]).assign(weights=out)
-
-    return rows.select(*group, "read_id", "v").join(F.broadcast(parts), list(group)).mapInPandas(weigh, ", ".join(f"{g} {kinds[g]}" for g in (*group, "read_id")) + ", weights array<double>")
+            for g, part in pdf.groupby(list(group), dropna=False, sort=False):
+                name = tuple(None if pd.isna(e) else e for e in g)
+                x = np.array([[np.nan if e is None else e for e in v] for v in part["v"]], float)
+                w = np.array(part["weights"].tolist(), float)
+                for h in past:
+                    w = _nmf_step(x, w, h[name])
+                yield name, part, x, w
+
+    kinds = dict(now.dtypes)
+    of_group = ", ".join(f"{g} {kinds[g]}" for g in group)
+    for r in range(rounds):
+        past, h = list(since), dict(factors)
+
+        def sums(batches: Iterator[pd.DataFrame], past: list = past, h: dict = h) -> Iterator[pd.DataFrame]:
+            held: dict[tuple, list[np.ndarray]] = {}
+            for name, _, x, w in replayed(batches, past):
+                seen = ~np.isnan(x)
+                up, down = w.T @ np.where(seen, x, 0.0), w.T @ (seen * (w @ h[name]))
+                old = held.setdefault(name, [np.zeros_like(up), np.zeros_like(down)])
+                old[0] += up
+                old[1] += down
+            if held:
+                yield pd.DataFrame([[*g, a.reshape(-1).tolist(), b.reshape(-1).tolist()] for g, (a, b) in held.items()], columns=[*group, "up", "down"])
+
+        parts = now.mapInPandas(sums, f"{of_group}, up array<double>, down array<double>").select(*group, F.posexplode(F.arrays_zip("up", "down")).alias("at", "s"))
+        total = {g: np.zeros((2, k * width)) for g in names}
+        for row in parts.groupBy(*group, "at").agg(F.sum("s.up").alias("up"), F.sum("s.down").alias("down")).collect():
+            total[tuple(row[g] for g in group)][:, row["at"]] = row["up"], row["down"]
+        factors = {g: factors[g] * (t[0] / np.maximum(t[1], 1e-12)).reshape(k, width) for g, t in total.items()}
+        since.append(factors)
+        if len(since) == keep or r == rounds - 1:
+            past = list(since)
+
+            def moved(batches: Iterator[pd.DataFrame], past: list = past) -> Iterator[pd.DataFrame]:
+                for _, part, _, w in replayed(batches, past):
+                    yield part.assign(weights=w.tolist())
+
+            now, since = cut_lineage(now.mapInPandas(moved, now.schema)), []
+    return now.select(*group, "read_id", "weights")
 
 
 def cp_decomposition(x: np.ndarray, mask: np.ndarray, rank: int, rounds: int = 50, seed: int = 42) -> list[np.ndarray]:

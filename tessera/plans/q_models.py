@@ -111,7 +111,7 @@ def latent_kmeans(t: Tables):
 @query()
 def latent_nmf(t: Tables):
     """Non-negative weights of every read on factors of its reference."""
-    return latent.grouped_nmf(t.calls, ("reference",), 3, rounds=50)
+    return latent.grouped_nmf(t.calls, ("reference",), 3)
 
 
 @query("""WITH n AS (SELECT count(DISTINCT read_id) AS n FROM $calls), c AS (SELECT position FROM $calls, n GROUP BY position, n.n HAVING count(call) >= 0.37 * n.n), k AS (SELECT * FROM $calls WHERE position IN (SELECT position FROM c))

@@ -205,6 +205,32 @@ def test_saturation_inverts():
     assert qc.saturation(c * -math.expm1(-3000 / c), 3000) == pytest.approx(c, rel=1e-6)
 
 
+def test_grouped_factors_match_plain_updates(spark):
+    rng = np.random.default_rng(4)
+    x = (rng.random((40, 6)) < 0.5).astype(float)
+    x[rng.random(x.shape) < 0.2] = np.nan
+    calls = spark.createDataFrame([("ab"[i % 2], i, p, None if np.isnan(v) else int(v)) for i, row in enumerate(x) for p, v in enumerate(row)], "g string, read_id long, position long, call int").repartition(3)
+    got = {r["read_id"]: r["weights"] for r in latent.grouped_nmf(calls, ("g",), 2, rounds=7, width=6, keep=3).collect()}
+    start = spark.range(40).select("id", *[(F.pmod(F.xxhash64("id", F.lit(42), F.lit(i)), F.lit(1_000_003)) / 1_000_003.0 + 0.1) for i in range(2)]).orderBy("id").collect()
+    for g in range(2):
+        v, w, h = x[g::2], np.array([r[1:] for r in start])[g::2], np.random.default_rng(42).random((2, 6)) + 0.1
+        seen, v = ~np.isnan(v), np.nan_to_num(v)
+        for _ in range(7):
+            h = h * (w.T @ v) / np.maximum(w.T @ (seen * (w @ h)), 1e-12)
+            w = w * (v @ h.T) / np.maximum((seen * (w @ h)) @ h.T, 1e-12)
+        assert np.allclose([got[i] for i in range(g, 40, 2)], w, rtol=1e-9)
+
+
+def test_every_read_has_a_part_in_the_factors(spark):
+    """Reads after the 20,000th in hash order have a pattern of their own, which the factors must know."""
+    order = [r[0] for r in spark.range(30_000).orderBy(F.xxhash64("id"), "id").collect()]
+    late = set(order[20_000:])
+    reads = spark.createDataFrame([(i, [0, 0, 1, 1] if i in late else [1, 1, 0, 0]) for i in order], "read_id long, v array<int>")
+    calls = reads.select(F.lit("r").alias("g"), "read_id", F.posexplode("v").alias("position", "call"))
+    got = {r["read_id"]: max(r["weights"]) for r in latent.grouped_nmf(calls, ("g",), 2, rounds=8, width=4).collect()}
+    assert len(got) == 30_000 and min(got[i] for i in late) > 1e-3
+
+
 def test_knn_in_blocks_and_partitions(spark, monkeypatch):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 4))
