@@ -12,22 +12,33 @@ Template: `<|im_start|>role\ntext<|im_end|>\n`.  Control strings inside texts an
 backslash form and come back exactly: `\` is `\e`, and the first character of a control string is `\l`
 (for `<`) or `\b` (for `[`); a line break in a role is `\w`.
 
-Long conversations are handled in blocks of BLOCK turn numbers, so no task gathers an unbounded one;
-a window ends with its block, and the first window of a later block has no history but the system turn.
+Conversations of up to CHARS times `block` code points are formatted from one array of their turns.  Longer
+ones are cut into blocks of about `block` tokens by their own prefix sums: their turns are dealt by ranges of the
+order, ranked and summed range by range, so no task gathers an unbounded conversation.  A window ends with its
+block, whatever the turns' numbers; the first window of the next block starts with the system turn and repeats the
+turns before it as history like any other.
 
 Defined results: null text or role is empty; a null conv_id is a conversation; a null turn comes first;
-equal turn numbers are ordered by role, then text; repeated rows are turns of their own.
+equal turn numbers are ordered by role, then the first TIE code points of the text, then its hash; repeated
+rows are turns of their own.  An empty table gives an empty one; extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .store import written
 
 BUDGET = 512
 HISTORY = 128
 HISTORY_TURNS = 2
-BLOCK = 1024
+BLOCK = 8192
+CHARS = 8
+TIE = 32
+#: Long conversations are broadcast up to so many.
+MOST_LONG = 100_000
 START, END = "<|im_start|>", "<|im_end|>\n"
 #: Tokens are words and single signs, plus the template's own.
 TOKEN = r"\w+|[^\w\s]"
@@ -54,22 +65,66 @@ def unescape_role(role: Column) -> Column:
     return unescape(F.replace(role, F.lit("\\w"), F.lit("\n")))
 
 
+def ordered(rows: DataFrame) -> DataFrame:
+    """rows with `rank` (from 1) and `before` (tokens ahead) within each conversation, which may be of any length.
+
+    Rows are dealt by ranges of the order and written once; ranges are ranked and summed inside, and the totals
+    (one row a range and conversation) are prefix-summed.
+    """
+    keys = ("conv_id", "turn", "role", "tie", "hash", "row")
+    dealt = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(*keys).withColumn("part", F.spark_partition_id())
+    dealt = written(dealt, "chat-turns")
+    inside = Window.partitionBy("part", "conv_id").orderBy(*keys[1:])
+    dealt = dealt.withColumn("r", F.row_number().over(inside)).withColumn("s", F.sum("tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens"))
+    ahead = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("conv_id", "part").agg(F.count("*").alias("n"), F.sum("tokens").alias("t"))
+    sums = sums.select(F.col("conv_id").alias("of"), F.col("part").alias("at"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("n"), F.coalesce(F.sum("t").over(ahead), F.lit(0)).alias("t"))
+    both = dealt.join(sums, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("part") == F.col("at")))
+    return both.select(*rows.columns, (F.col("r") + F.col("n")).alias("rank"), (F.col("s") + F.col("t")).alias("before"))
+
+
+def _blocks(rows: DataFrame, block: int, history_turns: int) -> DataFrame:
+    """(conv_id, block, turns): each block's own turns in order, after the system turn and the turns of the block before, which have `own` false."""
+    weighed = rows.groupBy("conv_id").agg(F.sum(F.length("text") + TURN_COST).alias("size")).where(F.col("size") > CHARS * block)
+    found = written(weighed.select(F.col("conv_id").alias("long_conv")), "chat-long")
+    n = found.count()
+    tokens = (F.regexp_count("text", F.lit(TOKEN)) + TURN_COST).cast("long")
+
+    def collected(of: DataFrame) -> DataFrame:
+        body = F.struct("rank", F.col("turn").isNotNull().alias("numbered"), "turn", "role", "tie", "hash", "text", "tokens", "own")
+        return of.groupBy("conv_id", "block").agg(F.array_sort(F.collect_list(body)).alias("turns"))
+
+    def whole(of: DataFrame) -> DataFrame:
+        return collected(of.select("*", tokens.alias("tokens"), F.lit(0).cast("long").alias("rank"), F.lit(0).cast("long").alias("block"), F.lit(True).alias("own")))
+
+    if not n:
+        return whole(rows)
+    found = F.broadcast(found) if n <= MOST_LONG else found
+    is_long = F.col("conv_id").eqNullSafe(F.col("long_conv"))
+    long_ = ordered(rows.join(found, is_long, "left_semi").withColumn("tokens", tokens))
+    long_ = written(long_.withColumn("block", F.floor(F.col("before") / block)).drop("before"), "chat-blocks")
+    first = long_.groupBy("conv_id", "block").agg(F.min("rank").alias("first")).where("first > 1")
+    # Rank 1 is wanted in every later block in case it is the system turn.
+    ranks = F.array_distinct(F.concat(F.array(F.lit(1).cast("long")), *([F.sequence(F.greatest(F.col("first") - history_turns, F.lit(1)), F.col("first") - 1)] if history_turns else [])))
+    wanted = first.select(F.col("conv_id").alias("of"), F.col("block").alias("to"), "first", F.explode(ranks).alias("wanted"))
+    past = long_.join(wanted, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("rank") == F.col("wanted"))).where((F.col("rank") >= F.col("first") - history_turns) | (F.col("role") == "system"))
+    past = past.select(*[F.col("to").alias("block") if c == "block" else F.col(c) for c in long_.columns], F.lit(False).alias("own"))
+    return whole(rows.join(found, is_long, "left_anti")).unionByName(collected(long_.withColumn("own", F.lit(True)).unionByName(past)))
+
+
 def windows(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", *, budget: int = BUDGET, history: int = HISTORY, history_turns: int = HISTORY_TURNS, block: int = BLOCK) -> DataFrame:
     """A row for each window: conv_id, block, window, text, context (turns repeated at its start), and loss: spans (start, length) in code points."""
     role, text = F.coalesce(F.col(role_col), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))
     rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), role.alias("role"), text.alias("text"))
-    rows = rows.withColumn("tokens", (F.regexp_count("text", F.lit(TOKEN)) + TURN_COST).cast("long")).withColumn("block", F.coalesce(F.floor(F.col("turn") / block), F.lit(-(1 << 62))))
-    body = F.struct("turn", "role", "text", "tokens")
-    opening = F.struct(F.col("turn").isNotNull(), "turn", "role", "text", "tokens")
-    first = rows.groupBy("conv_id").agg(F.min(opening).alias("opening")).where("opening.role = 'system'").select(F.col("conv_id").alias("sys_conv"), F.struct("opening.turn", "opening.role", "opening.text", "opening.tokens").alias("system"))
-    blocks = rows.groupBy("conv_id", "block").agg(F.array_sort(F.collect_list(body)).alias("turns"))
-    # array_sort puts null turns last; they all are in a block of their own, so their order is by role and text.
-    blocks = blocks.join(first, F.col("conv_id").eqNullSafe(F.col("sys_conv")), "left").drop("sys_conv")
-    is_first = F.col("system").isNotNull() & (F.col("turns")[0] == F.col("system"))
-    free = F.greatest(F.lit(budget - history) - F.coalesce(F.col("system.tokens"), F.lit(0)), F.lit(1))
+    rows = rows.withColumn("tie", F.substring("text", 1, TIE)).withColumn("hash", F.xxhash64("text"))
+    blocks = _blocks(rows, block, history_turns)
+    head = F.col("turns")[0]
+    leads = (head["role"] == "system") & ((F.col("block") == 0) | (~head["own"] & (head["rank"] == 1)))
+    blocks = blocks.withColumn("lead", leads.cast("int")).withColumn("known", F.size(F.filter("turns", lambda t: ~t["own"])))
+    free = F.greatest(F.lit(budget - history) - F.when(F.col("lead") == 1, head["tokens"]).otherwise(0), F.lit(1))
     zero = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<bigint>").alias("sums"))
     summed = F.aggregate("turns", zero, lambda a, t: F.struct((a["sum"] + t["tokens"]).alias("sum"), F.concat(a["sums"], F.array(a["sum"] + t["tokens"])).alias("sums")), lambda a: F.concat(F.array(F.lit(0).cast("long")), a["sums"]))
-    blocks = blocks.select("conv_id", "block", "turns", "system", is_first.alias("leads"), free.alias("free"), summed.alias("sums"))
+    blocks = blocks.select("conv_id", "block", "turns", "lead", "known", free.alias("free"), summed.alias("sums"))
     # Starts of windows: the first turn whose prefix sum passes the last start's by more than the budget.
     begin = F.struct(F.lit(0).cast("long").alias("base"), F.array().cast("array<int>").alias("starts"))
 
@@ -79,15 +134,14 @@ def windows(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
         return F.when(new, F.struct(before.alias("base"), F.concat(acc["starts"], F.array(i)).alias("starts"))).otherwise(acc)
 
     n = F.size("turns")
-    lead = F.coalesce(F.col("leads").cast("int"), F.lit(0))
-    starts = F.aggregate(F.sequence(F.lit(0), n - 1), begin, step, lambda a: a["starts"])
-    blocks = blocks.withColumn("starts", starts).withColumn("lead", lead)
+    starts = F.aggregate(F.sequence(F.col("known"), n - 1), begin, step, lambda a: a["starts"])
+    blocks = blocks.withColumn("starts", starts)
     each = blocks.select("*", F.posexplode("starts").alias("window", "start"))
     stop = F.coalesce(F.try_element_at("starts", F.col("window") + 2), n)
     back = F.when(F.col("start") > F.col("lead"), F.sequence(F.greatest(F.col("lead"), F.col("start") - history_turns), F.col("start") - 1)).otherwise(F.array().cast("array<int>"))
     back = F.filter(back, lambda i: F.element_at("sums", F.col("start") + 1) - F.element_at("sums", i + 1) <= history)
     each = each.withColumn("past", F.size(back)).withColumn("stop", stop)
-    system = F.when(F.col("system").isNotNull() & ((F.col("lead") == 0) | (F.col("start") > 0)), F.array("system")).otherwise(F.slice("turns", F.lit(1), F.lit(0)))
+    system = F.slice("turns", F.lit(1), F.when(F.col("start") > 0, F.col("lead")).otherwise(0))
     shown = F.concat(system, F.slice("turns", F.col("start") - F.col("past") + 1, F.col("past")), F.slice("turns", F.col("start") + 1, F.col("stop") - F.col("start")))
     each = each.select("conv_id", "block", "window", (F.size(system) + F.col("past")).alias("context"), F.transform(shown, lambda t: F.struct(escape_role(t["role"]).alias("role"), escape(t["text"]).alias("text"), (t["role"] == "assistant").alias("target"))).alias("shown"))
     rendered = F.concat_ws("", F.transform("shown", lambda t: F.concat(F.lit(START), t["role"], F.lit("\n"), t["text"], F.lit(END))))
