@@ -10,7 +10,8 @@ Every text is read whole.  Training forbids entity tags on words without a digit
 `CONTEXT` words from such a word take part in no entity and are not decoded.  The runs of words that are left are
 decoded in parts, cut at words without a digit or @ only: as these can only be O, the best path is the whole run's.
 
-Defined results: null text is empty and has no spans.  Equal texts get equal spans.  Offsets are code
+Defined results: null text is empty and has no spans; an empty table gives an empty one; extra columns pass
+through, one called as `out` under the name `out`_input.  Equal texts get equal spans.  Offsets are code
 points, ends exclusive, ordered by start, then kind in the order of KINDS.
 """
 
@@ -29,12 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import cleared
+
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 CONTEXT = 3
-LONGEST = 80
 PIECE, BATCH = 256, 512_000
-SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("s", T.LongType()), T.StructField("e", T.LongType()), T.StructField("rule", T.BooleanType())]))
+SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("s", T.LongType()), T.StructField("e", T.LongType()), T.StructField("rule", T.BooleanType()), T.StructField("field", T.BooleanType())]))
 
 _ANCHOR = re.compile(r"[0-9@]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -87,7 +89,7 @@ def rule_spans(text: str) -> list[tuple[str, int, int]]:
 def shape(word: str) -> str:
     """Classes of characters, runs cut to four."""
     out: list[str] = []
-    for c in word[:LONGEST]:
+    for c in word:
         s = "9" if "0" <= c <= "9" else "X" if c.isupper() else "x" if c.isalpha() else c
         if out[-4:] != [s] * 4:
             out.append(s)
@@ -354,12 +356,12 @@ def batched(sizes: list[int]) -> list[tuple[int, int]]:
     return [*out, (lo, len(sizes))] if sizes else out
 
 
-def find_batch(texts: list[str | None], field: Field) -> list[list[tuple[str, int, int, bool]]]:
-    """All spans of each text."""
+def find_batch(texts: list[str | None], field: Field) -> list[list[tuple[str, int, int, bool, bool]]]:
+    """All spans of each text: (kind, start, end, found by a rule, found by the field); the field finds a rule's span if it decodes one of the kind that shares a character."""
     rules = [rule_spans(t) if t else [] for t in texts]
     jobs = [(i, p) for i, t in enumerate(texts) if t and _ANCHOR.search(t) for p in parts(t)]
     jobs.sort(key=lambda j: len(j[1]))
-    out = [[(k, a, b, True) for k, a, b in r] for r in rules]
+    out = [[(k, a, b, True, False) for k, a, b in r] for r in rules]
     for lo, hi in batched([len(p) for _, p in jobs]):
         part = jobs[lo:hi]
         for (i, p), path in zip(part, field.decode([p for _, p in part]), strict=True):
@@ -375,20 +377,25 @@ def find_batch(texts: list[str | None], field: Field) -> list[list[tuple[str, in
                     text = texts[i]
                     a = s[k][0] + trimmed(text[s[k][0] : s[k][1]])[0]
                     b = s[j - 1][0] + trimmed(text[s[j - 1][0] : s[j - 1][1]])[1]
-                    if a < b and _sound(kind, text[a:b]) and not any(x < b and a < y for _, x, y, _ in out[i]):
-                        out[i].append((kind, a, b, False))
+                    met = [n for n, (_, x, y, _, _) in enumerate(out[i]) if x < b and a < y] if a < b else []
+                    for n in met:
+                        if out[i][n][0] == kind:
+                            out[i][n] = (*out[i][n][:4], True)
+                    if a < b and not met and _sound(kind, text[a:b]):
+                        out[i].append((kind, a, b, False, True))
                 k = j
     return [sorted(o, key=lambda x: (x[1], KINDS.index(x[0]))) for o in out]
 
 
 def find_personal(docs: DataFrame, text_col: str = "text", out: str = "pii", rows: list[tuple[list[str], list[str]]] | None = None) -> DataFrame:
-    """docs with an array column `out` of spans (kind, s, e, rule)."""
+    """docs with an array column `out` of spans (kind, s, e, rule, field)."""
+    docs = cleared(docs, out)
     shipped = docs.sparkSession.sparkContext.broadcast(train(rows) if rows else default_field())
 
     def find(texts: pa.Array) -> pa.Array:
         spans = find_batch(texts.to_pylist(), shipped.value)
         flat = [x for s in spans for x in s]
-        inner = pa.StructArray.from_arrays([pa.array([x[0] for x in flat], pa.string()), pa.array([x[1] for x in flat], pa.int64()), pa.array([x[2] for x in flat], pa.int64()), pa.array([x[3] for x in flat], pa.bool_())], names=["kind", "s", "e", "rule"])
+        inner = pa.StructArray.from_arrays([pa.array([x[0] for x in flat], pa.string()), pa.array([x[1] for x in flat], pa.int64()), pa.array([x[2] for x in flat], pa.int64()), pa.array([x[3] for x in flat], pa.bool_()), pa.array([x[4] for x in flat], pa.bool_())], names=["kind", "s", "e", "rule", "field"])
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in spans])]).astype(np.int32)), inner)
 
     return docs.withColumn(out, F.arrow_udf(find, SPAN).asNondeterministic()(F.col(text_col)))
