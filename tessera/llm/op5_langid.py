@@ -10,7 +10,8 @@ reads every text whole.
 
 Defined results: null text, or text without a letter: `und`, score 0, rejected.  Ties between languages:
 the smaller name, score 0, rejected.  No labelled rows: `und` for all.  Repeated rows get equal answers;
-an empty table gives an empty one; extra columns pass through `identify` untouched.
+an empty table gives an empty one; extra columns pass through `identify`, one called as `out` under the name
+`out`_input.  A text of any length is scored in the same way, block by block.
 """
 
 from __future__ import annotations
@@ -22,13 +23,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import cleared
+
 DICT_BYTES = 48 << 10
 ROWS_PER_LANG = 400
 SAMPLE_CHARS = 4000
 BLOCK_BYTES = 4096
 MIN_MARGIN = 0.002
-#: Texts under so many bytes are encoded several times over: a frame of one alone would be stored as it is, whatever the dictionary.
-SHORT_BYTES, REPEATS = 256, 8
+#: Every block is encoded so many times over: one that saves nothing would be stored as it is, whatever the dictionary, and a copy always saves.
+COPIES = 4
 #: The lowest zstandard level whose match search tells close languages apart.
 LEVEL = 6
 
@@ -71,7 +74,7 @@ class Classifier:
         for lang in self.langs:
             raw = dictionaries[lang]
             d = z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT)
-            how = z.ZstdCompressionParameters.from_level(LEVEL, source_size=block_bytes, dict_size=len(raw), write_content_size=False, write_checksum=False, write_dict_id=False)
+            how = z.ZstdCompressionParameters.from_level(LEVEL, source_size=COPIES * (block_bytes + 1), dict_size=len(raw), write_content_size=False, write_checksum=False, write_dict_id=False)
             d.precompute_compress(compression_params=how)
             self.coders.append(z.ZstdCompressor(dict_data=d, compression_params=how))
 
@@ -79,9 +82,7 @@ class Classifier:
         if not self.langs or text is None or not _LETTER.search(text):
             return "und", 0.0, True
         raw = text.lower().encode("utf-8", "replace")
-        if len(raw) < SHORT_BYTES:
-            raw = (raw + b"\n") * REPEATS
-        blocks = [raw[i : i + self.block] for i in range(0, len(raw), self.block)]
+        blocks = [(raw[i : i + self.block] + b"\n") * COPIES for i in range(0, len(raw), self.block)]
         sizes = [sum(len(c.compress(b)) for b in blocks) for c in self.coders]
         order = sorted(range(len(sizes)), key=lambda k: (sizes[k], self.langs[k]))
         best, second = sizes[order[0]], sizes[order[1]] if len(order) > 1 else 2 * sizes[order[0]]
@@ -91,6 +92,7 @@ class Classifier:
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", out: str = "langid", *, block_bytes: int = BLOCK_BYTES, min_margin: float = MIN_MARGIN) -> DataFrame:
     """docs with a struct column `out` of (lang_pred, score, rejected).  The dictionaries are at most dict_bytes for each learned language."""
+    docs = cleared(docs, out)
     shipped = docs.sparkSession.sparkContext.broadcast(dictionaries)
     made: list[Classifier] = []
 
