@@ -8,7 +8,8 @@ by linear interpolation to `rate` and kept as 16-bit PCM.
 header) without loss; `load` reads the stored bytes back.
 
 Defined results: null text is the empty payload, padded to 64 zero bytes.  Equal texts get equal values.
-Extra columns pass through both functions; an empty table gives an empty one.
+Extra columns pass through both functions, one called as `out` under the name `out`_input; an empty table gives
+an empty one.  A long text is one file, whatever its length.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import cleared
 from .text import slices
 
 UNIT = 64
@@ -34,7 +36,7 @@ TAGS = {"alaw": 6, "mulaw": 7, "ima": 17}
 FORMATS = ("mulaw", "alaw", "ima")
 BATCH_BYTES = 2 << 20
 
-LOADED = T.StructType([T.StructField("payload", T.BinaryType()), T.StructField("samples", T.LongType()), T.StructField("rms", T.LongType()), T.StructField("peak", T.LongType()), T.StructField("crossings", T.LongType()), T.StructField("pcm_crc32", T.LongType()), T.StructField("pcm", T.BinaryType())])
+LOADED = T.StructType([T.StructField("payload", T.BinaryType()), T.StructField("samples", T.LongType()), T.StructField("rms", T.LongType()), T.StructField("peak", T.LongType()), T.StructField("crossings", T.LongType()), T.StructField("pcm", T.BinaryType())])
 
 
 def mulaw_table() -> np.ndarray:
@@ -137,6 +139,8 @@ def store(docs: DataFrame, text_col: str = "text", out: str = "media", kind: str
     Without a kind the payload's checksum chooses one of the three, so equal texts give equal files.
     """
 
+    docs = cleared(docs, out)
+
     def encode(texts: pa.Array) -> pa.Array:
         return pa.array([f for _, _, data, off in slices(texts, BATCH_BYTES) for f in _encode(data, off, kind)], pa.binary())
 
@@ -157,40 +161,27 @@ def _decode_many(files: list[bytes], rate: int) -> list[tuple[bytes, np.ndarray]
     return [got[k] if k in got else read(f, rate) for k, f in enumerate(files)]
 
 
-def _rows(files: list[bytes], rate: int, keep_pcm: bool) -> list[tuple]:
+def _rows(files: list[bytes], rate: int) -> list[tuple]:
     out = []
     for payload, pcm in _decode_many(files, rate):
         wide, sign = pcm.astype(np.int64), pcm >= 0
-        out.append((payload, len(pcm), int(np.sqrt((wide * wide).sum() // max(1, len(pcm)))), int(np.abs(wide).max(initial=0)), int((sign[1:] != sign[:-1]).sum()), zlib.crc32(pcm.tobytes()), pcm.astype("<i2").tobytes() if keep_pcm else None))
+        out.append((payload, len(pcm), int(np.sqrt((wide * wide).sum() // max(1, len(pcm)))), int(np.abs(wide).max(initial=0)), int((sign[1:] != sign[:-1]).sum()), pcm.astype("<i2").tobytes()))
     return out
 
 
-_KINDS = [pa.binary(), *[pa.int64()] * 5, pa.binary()]
+_KINDS = [pa.binary(), *[pa.int64()] * 4, pa.binary()]
 
 
-def load(docs: DataFrame, media_col: str = "media", out: str = "audio", *, rate: int = RATE_OUT, keep_pcm: bool = True) -> DataFrame:
+def load(docs: DataFrame, media_col: str = "media", out: str = "audio", *, rate: int = RATE_OUT) -> DataFrame:
     """docs with a struct column `out`: the payload read back, features of the resampled PCM, and the PCM itself (little-endian 16 bit)."""
 
+    docs = cleared(docs, out)
+
     def decode(media: pa.Array) -> pa.Array:
         rows = []
         for _, _, data, off in slices(media, BATCH_BYTES):
             raw = data.tobytes()
-            rows += _rows([raw[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], rate, keep_pcm)
+            rows += _rows([raw[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], rate)
         return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_KINDS)], names=LOADED.fieldNames())
 
     return docs.withColumn(out, F.arrow_udf(decode, LOADED).asNondeterministic()(F.col(media_col)))
-
-
-def store_and_load(docs: DataFrame, text_col: str = "text", out: str = "audio", kind: str | None = None, *, rate: int = RATE_OUT, keep_pcm: bool = True) -> DataFrame:
-    """Both in one pass: a struct column `out` of the stored file (`media`) and what `load` reads from it; one Python worker a task in place of two."""
-
-    def both(texts: pa.Array) -> pa.Array:
-        files, rows = [], []
-        for _, _, data, off in slices(texts, BATCH_BYTES):
-            made = _encode(data, off, kind)
-            rows += _rows(made, rate, keep_pcm)
-            files += made
-        return pa.StructArray.from_arrays([pa.array(files, pa.binary()), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(_KINDS))], names=["media", *LOADED.fieldNames()])
-
-    shape = T.StructType([T.StructField("media", T.BinaryType()), *LOADED.fields])
-    return docs.withColumn(out, F.arrow_udf(both, shape).asNondeterministic()(F.col(text_col)))

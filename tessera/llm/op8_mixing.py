@@ -2,18 +2,21 @@
 
 Each source has a target share of all words; no target exceeds `most` times its source's words, and what
 a capped source leaves is shared again by weight.  A document's expected copies are its source's target
-over its source's size.  Documents stand in a fixed random order within size classes; expected copies
-are prefix-summed along it, one random offset is added for the source, and a document is emitted once
-for each integer boundary that its own step crosses: floor or ceiling of its expected copies.
+over its source's size.  Documents stand from large to small: by classes of CLASSES an octave (exact sizes up to
+CLASSES words), inside a class by hash bucket, inside a bucket by exact size; expected copies are prefix-summed
+along it, one random offset is added for the source, and a document is emitted once for each integer boundary
+that its own step crosses: floor or ceiling of its expected copies.  Neighbours differ little in size, so what one
+gives too much the next gives too little.  Where a few large documents hold much of a source, whether they are
+emitted is left to the offset; so OFFSETS random offsets are tried for each source, in one pass of sums, and the
+one whose words come nearest to the target is the source's own.
 
-The order runs through size classes so that every class is taken at the same rate, which keeps a
-source's words near its target.  Prefix sums go over (source, size class, hash bucket): buckets are
-counted, the counts (buckets x 64 rows a source) are prefix-summed, and rows are ranked inside their
-bucket only, so a source with a third of all rows is spread over all buckets.
+Prefix sums go over (source, class, bucket): buckets are counted, the counts are prefix-summed (at most classes x
+buckets of them a source), and rows are ranked inside their bucket only, so a source with a third of all rows is
+spread over all buckets.  Targets are computed in the same plan from a row for each source; no row of it is collected.
 
 Defined results: null text has size 0.  A null source comes last and is a source like others.  A source
 whose documents hold no words has target 0 and gives nothing.  Equal rows are interchangeable.  Empty
-tables give empty ones.  Extra columns pass through `mix_copies`.
+tables give empty ones.  Columns of docs but the three are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,28 +29,30 @@ from .store import shuffle_buckets, written
 
 WEIGHTS = (5, 2, 1)
 MOST = 3.0
+CLASSES = 64
+OFFSETS = 32
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
-def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> list[tuple[str | None, int, float]]:
-    """(source, size, target): targets sum to all sizes, in shares by weight, none above `most` times its size.
+def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
+    """(source, source_size, target) from (source, source_size): targets sum to all sizes, in shares by weight, none above `most` times its size.
 
-    Sources go by code point, null last, with the weights repeating.
+    Sources go by code point, null last, with the weights repeating.  A source is capped where the level, the
+    target of a unit of weight, would pass its bound (most * size / weight); with the sources in the order of
+    their bounds, the level is what the ones before leave over the weight of the others.
     """
-    order = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
-    weight = {s: float(weights[k % len(weights)]) for k, (s, _) in enumerate(order)}
-    size = dict(order)
-    total = float(sum(size.values()))
-    fixed: dict[str | None, float] = {}
-    while True:
-        free = [s for s in size if s not in fixed]
-        left, mass = total - sum(fixed.values()), sum(weight[s] for s in free)
-        over = [s for s in free if left * weight[s] / mass > most * size[s]]
-        if not over:
-            return [(s, size[s], fixed[s] if s in fixed else left * weight[s] / mass) for s in size]
-        fixed |= {s: most * size[s] for s in over}
-        if len(fixed) == len(size):
-            return [(s, size[s], fixed[s]) for s in size]
+    everything = Window.partitionBy(F.lit(0))
+    place = F.row_number().over(everything.orderBy(F.col("source").asc_nulls_last())) - 1
+    rows = sizes.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int")))
+    rows = rows.withColumn("bound", most * F.col("source_size") / F.col("weight"))
+    in_turn = everything.orderBy("bound", F.col("source").asc_nulls_last())
+    spent = most * F.coalesce(F.sum("source_size").over(in_turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum("weight").over(in_turn.rowsBetween(0, Window.unboundedFollowing))
+    rows = rows.withColumn("turn", F.row_number().over(in_turn)).withColumn("level", (F.sum("source_size").over(everything) - spent) / rest)
+    # The level of the first source that it does not pass holds for all after it.
+    level = F.min(F.when(F.col("level") <= F.col("bound"), F.struct("turn", "level"))).over(everything)["level"]
+    target = F.coalesce(F.least(level * F.col("weight"), most * F.col("source_size")), most * F.col("source_size"))
+    return rows.select("source", "source_size", target.cast("double").alias("target"))
 
 
 def mix_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 7) -> DataFrame:
@@ -56,23 +61,31 @@ def mix_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n = shuffle_buckets(spark, 2)
     slim = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text_col).alias("hash"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"))
     slim = slim.withColumn("place", F.xxhash64(F.col("id").cast("string"), "hash", "source", F.lit(seed)))
-    slim = slim.withColumn("class", F.when(F.col("size") > 0, F.floor(4 * F.log2(F.col("size").cast("double")))).otherwise(-1).cast("int"))
+    size = F.col("size")
+    slim = slim.withColumn("class", F.when(size <= CLASSES, -size).otherwise(-CLASSES - F.floor(CLASSES * F.log2(size / CLASSES)) - 1).cast("int"))
     slim = written(slim.withColumn("bucket", F.pmod(F.shiftright("place", 20), F.lit(n)).cast("int")), "mixing-sizes")
     counts = slim.groupBy("source", "class", "bucket").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
-    by_source = {r["source"]: r["words"] for r in counts.groupBy("source").agg(F.sum("words").alias("words")).collect()}
-    if not by_source:
-        return slim.select("id", "source", "hash", "size", F.col("size").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("copies"))
-    plan = spark.createDataFrame(targets(list(by_source.items()), weights, most), "source string, source_size long, target double")
+    plan = targets(counts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
     plan = plan.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    plan = plan.withColumn("offset", F.pmod(F.xxhash64(F.coalesce("source", F.lit("\x00null")), F.lit(seed + 1)), F.lit(1 << 40)) / float(1 << 40))
     ahead = Window.partitionBy("source").orderBy("class", "bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("source", "class", "bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
-    inside = Window.partitionBy("source", "class", "bucket").orderBy("place", "id", "hash")
-    ranked = slim.withColumn("rank", F.row_number().over(inside))
     keyed = F.col("s.source").eqNullSafe(F.col("r.source"))
-    both = ranked.alias("r").join(starts.alias("s"), keyed & (F.col("s.class") == F.col("r.class")) & (F.col("s.bucket") == F.col("r.bucket"))).select("r.*", "s.ahead")
-    both = both.alias("r").join(F.broadcast(plan).alias("s"), keyed).select("r.*", "s.source_size", "s.target", "s.rate", "s.offset")
-    before = (F.col("ahead") + F.col("rank") - 1) * F.col("rate") + F.col("offset")
-    after = (F.col("ahead") + F.col("rank")) * F.col("rate") + F.col("offset")
-    copies = F.least(F.floor(after) - F.floor(before), F.lit(int(most) if most == int(most) else int(most) + 1))
-    return both.select("id", "source", "hash", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    starts = written(starts.alias("r").join(plan.alias("s"), keyed).select("r.*", "s.source_size", "s.target", "s.rate"), "mixing-starts")
+    inside = Window.partitionBy("source", "class", "bucket").orderBy(F.desc("size"), "place", "id", "hash")
+    ranked = slim.withColumn("rank", F.row_number().over(inside))
+    met = keyed & (F.col("s.class") == F.col("r.class")) & (F.col("s.bucket") == F.col("r.bucket"))
+    both = written(ranked.alias("r").join(starts.alias("s"), met).select("r.id", "r.source", "r.hash", "r.size", "r.class", "r.bucket", (F.col("s.ahead") + F.col("r.rank")).alias("rank"), "s.rate", "s.target"), "mixing-ranks")
+
+    def offset(k: int):
+        return F.pmod(F.xxhash64(F.coalesce("source", F.lit("\x00null")), F.lit(seed), F.lit(k)), F.lit(1 << 40)) / float(1 << 40)
+
+    def copies(at):
+        made = F.floor(F.col("rank") * F.col("rate") + at) - F.floor((F.col("rank") - 1) * F.col("rate") + at)
+        return F.least(made, F.lit(int(most) if most == int(most) else int(most) + 1)).cast("long")
+
+    tried = both.groupBy("source").agg(F.first("target").alias("target"), *[F.sum(copies(offset(k)) * F.col("size")).alias(f"w{k}") for k in range(OFFSETS)])
+    chosen = F.array_min(F.array(*[F.struct(F.abs(F.col(f"w{k}") - F.col("target")).alias("off"), F.lit(k).alias("k"), offset(k).alias("offset")) for k in range(OFFSETS)]))
+    best = tried.select("source", chosen["offset"].alias("offset"))
+    starts = starts.alias("r").join(best.alias("s"), keyed).select("r.source", "r.class", "r.bucket", "r.source_size", "s.offset")
+    out = both.alias("r").join(starts.alias("s"), met).select("r.*", "s.source_size", "s.offset")
+    return out.select("id", "source", "hash", "size", "source_size", "target", copies(F.col("offset")).alias("copies"))
