@@ -12,7 +12,8 @@ are taken for the benchmark's own words only, a block of at most `block_words` a
 
 Defined results: null text, or no words: n_words 0, no hits, not contaminated.  Null items have no
 windows; a null item_id is written as an empty string.  Repeated items count once.  An empty benchmark
-hits nothing.  Extra columns of documents pass through.
+hits nothing.  Extra columns of documents pass through; one called as `out` is kept as `out`_input.
+Words are compared as 64-bit hashes, window by window.  An empty table of documents gives an empty one.
 """
 
 from __future__ import annotations
@@ -27,13 +28,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as X
+from .columns import cleared, fresh
 
 WINDOW = 13
 BLOCK_WINDOWS = 1 << 18
 BLOCK_WORDS = 1 << 20
 MIN_PERMILLE = 50
 
-RESULT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.StructType([T.StructField("s", T.LongType()), T.StructField("e", T.LongType())]))), T.StructField("items", T.ArrayType(T.StringType()))])
+RESULT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.StructType([T.StructField("s", T.LongType()), T.StructField("e", T.LongType())]))), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("whole", T.BooleanType())])
 
 
 @dataclass
@@ -137,13 +139,14 @@ def search(docs: DataFrame, block: Block, window: int, text: Column, out: str) -
         if not made:
             table, first = np.unique(b.prefix, return_index=True)
             made.extend([Probe(table), np.append(first, len(b.prefix))])
-        counts, hits, hit_off, items, item_off = [], [], [0], [], [0]
+        counts, hits, hit_off, items, item_off, whole = [], [], [0], [], [0], []
         for lo, hi, data, off in X.slices(texts):
             n, doc, start, cand = _find(data, off, b, made[0], made[1], window) if len(b.prefix) else (X.words(data, off, X.NON_ALNUM, False).counts, *[np.zeros(0, np.int64)] * 3)
             counts.append(n)
             order = np.lexsort((start, doc))
             doc, start, end, item = doc[order], start[order], (start + b.lengths[cand])[order] if len(cand) else start, b.item[cand][order] if len(cand) else cand
             bounds = np.searchsorted(doc, np.arange(hi - lo + 1))
+            whole.append(np.bincount(doc, weights=end - start >= window, minlength=hi - lo) > 0)
             for k in range(hi - lo):
                 i, j = bounds[k], bounds[k + 1]
                 if i < j:
@@ -155,7 +158,7 @@ def search(docs: DataFrame, block: Block, window: int, text: Column, out: str) -
                 hit_off.append(len(hits))
                 item_off.append(len(items))
         spans = pa.StructArray.from_arrays([pa.array([h[0] for h in hits], pa.int64()), pa.array([h[1] for h in hits], pa.int64())], names=["s", "e"])
-        return pa.StructArray.from_arrays([pa.array(np.concatenate(counts) if counts else np.zeros(0), pa.int64()), pa.ListArray.from_arrays(pa.array(hit_off, pa.int32()), spans), pa.ListArray.from_arrays(pa.array(item_off, pa.int32()), pa.array(items, pa.string()))], names=RESULT.fieldNames())
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(counts) if counts else np.zeros(0), pa.int64()), pa.ListArray.from_arrays(pa.array(hit_off, pa.int32()), spans), pa.ListArray.from_arrays(pa.array(item_off, pa.int32()), pa.array(items, pa.string())), pa.array(np.concatenate(whole) if whole else np.zeros(0, bool), pa.bool_())], names=RESULT.fieldNames())
 
     return docs.withColumn(out, F.arrow_udf(scan, RESULT).asNondeterministic()(text))
 
@@ -189,15 +192,16 @@ def blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str,
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", out: str = "decon", *, window: int = WINDOW, min_permille: int = MIN_PERMILLE, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """docs with a struct column `out`: n_words, n_hit, items (sorted), hits (merged word spans, end exclusive) and contaminated."""
+    """docs with a struct column `out`: n_words, n_hit, items (sorted), hits (merged word spans, end exclusive), whole (holds a window of full length) and contaminated."""
+    docs = cleared(docs, out)
     found = list(blocks(docs, benchmark, item_col, text_col, window, block_windows)) or [Block(*[np.zeros(0, np.uint64), np.zeros((0, window), np.uint64)], *[np.zeros(0, np.int64)] * 3, [])]
-    names = [f"{out}_block_{k}" for k in range(len(found))]
+    names = [fresh(docs, f"{out}_block_{k}") for k in range(len(found))]
     for name, block in zip(names, found, strict=True):
         docs = search(docs, block, window, F.col(text_col), name)
     hits = F.array_sort(F.concat(*[F.col(n)["hits"] for n in names]))
     merged = F.aggregate(hits, F.array().cast("array<struct<s:bigint,e:bigint>>"), lambda done, h: F.when((F.size(done) > 0) & (h["s"] <= F.element_at(done, -1)["e"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["s"].alias("s"), F.greatest(F.element_at(done, -1)["e"], h["e"]).alias("e"))))).otherwise(F.concat(done, F.array(h)))) if len(names) > 1 else F.col(names[0])["hits"]
     items = F.array_sort(F.array_distinct(F.concat(*[F.col(n)["items"] for n in names])))
-    docs = docs.withColumn(out, F.struct(F.col(names[0])["n_words"].alias("n_words"), items.alias("items"), merged.alias("hits")))
+    docs = docs.withColumn(out, F.struct(F.col(names[0])["n_words"].alias("n_words"), items.alias("items"), merged.alias("hits"), F.greatest(*[F.col(n)["whole"] for n in names], F.lit(False)).alias("whole")))
     n_hit = F.aggregate(F.col(out)["hits"], F.lit(0).cast("long"), lambda s, h: s + h["e"] - h["s"])
     docs = docs.withColumn(out, F.col(out).withField("n_hit", n_hit))
     rule = (F.col(out)["n_hit"] > 0) & (1000 * F.col(out)["n_hit"] >= min_permille * F.col(out)["n_words"])

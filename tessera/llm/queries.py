@@ -47,13 +47,13 @@ def op2_suffix_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = op3_pii_crf.find_personal(table(spark, sf_dir, "documents").select("doc_id", "text"))
     rules = F.filter("pii", lambda s: s["rule"])
-    return docs.select("doc_id", *[_count(rules, k) for k in op3_pii_crf.KINDS], sha(_spans(rules)).alias("base_sha256"), _spans(F.col("pii")).alias("spans"), (F.size("pii") - F.size(rules)).cast("long").alias("n_added"))
+    return docs.select("doc_id", *[_count(rules, k) for k in op3_pii_crf.KINDS], sha(_spans(rules)).alias("base_sha256"), _spans(F.col("pii")).alias("spans"), (F.size("pii") - F.size(rules)).cast("long").alias("n_added"), F.size(F.filter("pii", lambda s: s["field"])).cast("long").alias("n_field"))
 
 
 def op4_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = op4_secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     rules = F.filter("secrets", lambda s: s["kind"] != "random")
-    return docs.select("doc_id", *[_count(rules, k) for k in op4_secrets.KINDS[:3]], sha(_spans(rules)).alias("base_sha256"), _spans(F.col("secrets")).alias("spans"), _count(F.col("secrets"), "random"))
+    return docs.select("doc_id", *[_count(rules, k) for k in op4_secrets.KINDS[:3]], sha(_spans(rules)).alias("base_sha256"), _spans(F.col("secrets")).alias("spans"), _count(F.col("secrets"), "random"), F.size(F.filter(rules, lambda s: s["random"])).cast("long").alias("n_rules_random"))
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,17 +69,15 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_telephony_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts are stored as audio files in a table; the files are read back from it, decoded and resampled."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    audio = op7_telephony.store_and_load(docs, keep_pcm=False)
-    payload, media = F.col("audio.payload"), F.col("audio.media")
+    stored = op7_telephony.store(docs).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "media")
+    audio = op7_telephony.load(written(stored, "telephony-media"))
+    payload, media = F.col("audio.payload"), F.col("media")
     kind = F.element_at(F.create_map(*[F.lit(x) for k, tag in op7_telephony.TAGS.items() for x in (f"{tag:02X}", k)]), F.hex(F.substring(media, 21, 1)))
-    feature = F.concat_ws(":", kind, *[F.col(f"audio.{k}").cast("string") for k in ("samples", "rms", "peak", "crossings", "pcm_crc32")])
-    return docs_columns(audio, payload, media, feature)
-
-
-def docs_columns(audio: DataFrame, payload: Column, media: Column, feature: Column) -> DataFrame:
+    feature = F.concat_ws(":", kind, *[F.col(f"audio.{k}").cast("string") for k in ("samples", "rms", "peak", "crossings")], F.crc32("audio.pcm").cast("string"))
     tail = F.substring(payload, -64, 64)
-    return audio.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"), F.octet_length(media).cast("long").alias("media_bytes"), F.sha2(media, 256).alias("media_sha256"), feature.alias("feature"))
+    return audio.select("doc_id", "n_bytes", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"), F.octet_length(media).cast("long").alias("media_bytes"), F.sha2(media, 256).alias("media_sha256"), feature.alias("feature"), F.octet_length("audio.pcm").cast("long").alias("pcm_bytes"))
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,8 +99,10 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
     bpe = op10_rollups.bpe_tokens(spark)
     fewer = F.array_join(F.array_distinct(F.split("text", "\n", -1)), "\n")
-    # Texts are counted where they are read; only the counts meet the labels.
-    slim = docs.select("doc_id", "source", "lang", op10_rollups.word_tokens(F.col("text")).alias("words"), op10_rollups.word_tokens(fewer).alias("fewer"), bpe(F.col("text")).alias("bpe"))
+    # Texts are counted where they are read, shortened ones a second time; only the counts meet the labels.
+    less = F.octet_length(fewer) < F.octet_length("text")
+    slim = docs.select("doc_id", "source", "lang", op10_rollups.word_tokens(F.col("text")).alias("words"), op10_rollups.word_tokens(fewer).alias("fewer_words"), bpe(F.col("text")).alias("bpe"), less.alias("less"), bpe(F.when(less, fewer)).alias("fewer_bpe"))
+    slim = slim.withColumn("fewer_bpe", F.when(F.col("less"), F.col("fewer_bpe")).otherwise(F.col("bpe")))
     counted = written(written(slim, "rollup-texts").join(labels, "doc_id", "left").drop("doc_id"), "rollup-counts")
     rollup = op10_rollups.Rollup(spark, f"{shared_dir(spark)}/tessera/rollup-{uuid.uuid4().hex}")
     by = (F.col("source"), F.col("lang"))
@@ -114,7 +114,9 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rollup.commit("1-insert", of(counted, "insert"))
     rollup.commit("2-delete", of(counted.where("toxic = 1"), "delete"))
-    rollup.commit("3-revise", op10_rollups.changes(counted.where("quality = 0 and coalesce(toxic, 0) <> 1"), "revise", *by, F.lit("words-1"), F.col("fewer"), F.col("words")))
+    low = counted.where("quality = 0 and coalesce(toxic, 0) <> 1")
+    revised = [op10_rollups.changes(low, "revise", *by, F.lit(v), F.col(f"fewer_{c}"), F.col(c)) for v, c in versions]
+    rollup.commit("3-revise", revised[0].unionByName(revised[1]))
     rollup.commit("2-delete", of(counted.where("toxic = 1"), "delete"))
     return rollup.totals().select("source", "lang", "tokenizer", F.col("docs").alias("n_docs"), F.col("tokens").alias("n_tokens"))
 

@@ -8,7 +8,7 @@ import zlib
 
 import pytest
 
-from tessera.llm import op3_pii_crf, op7_telephony, op8_mixing, queries
+from tessera.llm import op3_pii_crf, op7_telephony, queries
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
@@ -79,7 +79,10 @@ def test_mix(spark, docs):
     by = collections.Counter()
     for d, r in docs.items():
         by[r["source"]] += size[d]
-    want = {s: (n, t) for s, n, t in op8_mixing.targets(list(by.items()))}
+    from test_brute import plain_targets
+
+    target = plain_targets(by)
+    want = {s: (by[s], target[s]) for s in by}
     for g in got:
         n, t = want[docs[g["doc_id"]]["source"]]
         assert (g["size"], g["source_size"]) == (size[g["doc_id"]], n) and g["target"] == pytest.approx(t) and g["taken"] in [k * g["size"] for k in range(4)]
@@ -98,6 +101,12 @@ def test_sql(spark, name):
 
 
 def test_rollup(spark, docs):
+    tiktoken = pytest.importorskip("tiktoken")
+    tokenizers = pytest.importorskip("public_tokenizers")
+    import base64
+
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(tokenizers.path("byte_bpe_50k.tiktoken"), "rb") if line.strip())}
+    bpe = tiktoken.Encoding("t", pat_str=tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     labels = collections.defaultdict(lambda: (0, 1))
     for r in queries.table(spark, SF, "labels").collect():
         t, q = labels.get(r["doc_id"], (0, 1))
@@ -107,7 +116,8 @@ def test_rollup(spark, docs):
         toxic, quality = labels[d]
         if toxic == 1:
             continue
-        lines = list(dict.fromkeys(r["text"].split("\n"))) if quality == 0 else [r["text"]]
-        want[(r["source"], r["lang"])] += len("\n".join(lines).encode().split())
-    got = {(g["source"], g["lang"]): g["n_tokens"] for g in queries.op10_token_rollup(spark, SF).collect() if g["tokenizer"] == "words-1" and g["n_docs"]}
+        text = "\n".join(dict.fromkeys(r["text"].split("\n"))) if quality == 0 else r["text"]
+        want[(r["source"], r["lang"], "words-1")] += len(text.encode().split())
+        want[(r["source"], r["lang"], "byte-bpe-50k")] += len(bpe.encode_ordinary(text))
+    got = {(g["source"], g["lang"], g["tokenizer"]): g["n_tokens"] for g in queries.op10_token_rollup(spark, SF).collect() if g["n_docs"]}
     assert got == dict(want)
