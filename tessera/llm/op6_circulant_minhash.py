@@ -5,19 +5,23 @@ every signature coordinate: the first scatters a shingle, the second is applied
 circularly by k for coordinate k.  `bands` bands of `rows` coordinates give the candidate buckets, and
 candidates are confirmed by exact Jaccard similarity of the full sets.
 
-Documents of equal sets collapse to one class first, by a 128-bit digest, so thousands of exact copies
-are one node.  Within a bucket no pairs are enumerated: each member is compared with one hub, in even
+Documents of equal sets collapse to one class first, by both 64-bit halves of a digest, so thousands of exact
+copies are one node.  Shingles are compared as 64-bit hashes throughout.  Within a bucket no pairs are enumerated: each member is compared with one hub, in even
 bands the member that is smallest under the band's own hash, in odd bands the one that shares the largest
 buckets, which is the middle of a group of copies.  Different bands have different hubs, and they
 connect a group.  Members of buckets that still span several components go through an exact second
 pass, a similarity join on prefixes: shingles in one fixed order, rarest first, meet only where size and
 position still allow the threshold, so members that no one resembles cost no comparisons.
 
+Hot groups: keys that hold more than a ten-thousandth of the rows (so at most 10,000 of them) meet their one row
+on the other side by broadcast, all others by shuffle; a text that many pairs need is dealt to several tasks.
+
 A pair at the threshold of 0.8 shares no band with a chance of 3e-5 (20 bands of 4 rows).
 
 Defined results: null text, or text without words: n_shingles 0, linked with nothing.  Rows that repeat
 a doc_id are rows of their own and get the component of their set.  A null doc_id never becomes the
-component of others while they have one.  An empty table gives an empty one.
+component of others while they have one.  Very long texts are read whole.  An empty table gives an empty one;
+extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,8 +41,10 @@ from .store import written
 SHINGLE = 5
 BANDS, ROWS = 20, 4
 THRESHOLD = 80
-#: Counters of the shingle-frequency sketch that orders prefixes; any order gives right results.
-SLOTS = 1 << 18
+#: Bounds (powers of 2) of the counters of the shingle-frequency sketch that orders prefixes, four for each shingle; any order gives right results.
+LEAST_SLOTS, MOST_SLOTS = 16, 22
+#: Keys of more rows than this share of all are hot, if they hold more than FEW.
+HOT, FEW = 10_000, 64
 _SEEDS = np.random.default_rng(61).integers(1, 2**63, 4, dtype=np.uint64)
 
 
@@ -109,13 +115,13 @@ def _confirm(shingle: int, threshold: int):
     return confirm
 
 
-def _sketch_counts(shingle: int):
+def _sketch_counts(shingle: int, slots: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
+        total = np.zeros(slots, np.int64)
         for batch in batches:
             for _, _, data, off in X.slices(batch.column("text")):
                 values, _ = X.unique_per_doc(*X.grams(X.words(data, off), shingle))
-                total += np.bincount((values % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+                total += np.bincount((values % np.uint64(slots)).astype(np.int64), minlength=slots)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
 
@@ -133,7 +139,7 @@ def _prefixes(shingle: int, threshold: int, shipped):
                 values, ends = X.unique_per_doc(*X.grams(X.words(data, off), shingle))
                 sizes = np.diff(ends)
                 doc = np.repeat(np.arange(len(sizes)), sizes)
-                order = np.lexsort((values, counts[(values % np.uint64(SLOTS)).astype(np.int64)], doc))
+                order = np.lexsort((values, counts[(values % np.uint64(len(counts))).astype(np.int64)], doc))
                 place = np.arange(len(values)) - ends[:-1][doc]
                 keep = place < (sizes - (threshold * sizes + 99) // 100 + 1)[doc]
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[lo + doc[keep]]), pa.array(sizes[doc[keep]].astype(np.int32)), pa.array(values[order][keep].view(np.int64)), pa.array(place[keep].astype(np.int32))], names=["node", "size", "token", "place"])
@@ -141,24 +147,38 @@ def _prefixes(shingle: int, threshold: int, shipped):
     return cut
 
 
+def hot_bound(total: int) -> int:
+    """Rows above which a key is hot: so at most HOT keys of `total` rows are."""
+    return max(FEW, total // HOT)
+
+
+def met(left: DataFrame, right: DataFrame, keys: list[str], weight: str, bound: int) -> DataFrame:
+    """left joined to right's one row for each of its keys; weight counts the rows of left that a row of right meets."""
+    hot, rest = right.where(F.col(weight) > bound), right.where(F.col(weight) <= bound)
+    cool = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return left.join(F.broadcast(hot), keys).unionByName(cool.join(rest, keys))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: int = THRESHOLD) -> DataFrame:
-    """A row for each row of docs: id, hash (xxhash64 of the text), n_shingles, component_id and links (confirmed links of its class)."""
+    """A row for each row of docs: id, hash (xxhash64 of the text), n_shingles, component_id and links (confirmed links of its class: with hubs, and those of the exact pass)."""
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("hash", F.xxhash64("text"))
     sketches = written(source.mapInArrow(_sketcher(shingle, bands, rows), _SKETCH.format(id=source.schema["id"].dataType.simpleString())), "minhash-sketches")
-    # One node for each distinct set; `node` is 64 bits of the digest, a row of it lends its text.
+    # One node for each distinct set, numbered as it is written; a row of it lends its text.
     full = sketches.where("n > 0")
-    nodes = written(full.groupBy(F.xxhash64("d1", "d2").alias("node")).agg(F.min("id").alias("low"), F.min(F.struct("id", "hash")).alias("row"), F.first("bands").alias("bands")), "minhash-classes")
+    classes = full.groupBy("d1", "d2").agg(F.count("*").alias("copies"), F.min("id").alias("low"), F.min(F.struct("id", "hash")).alias("row"), F.first("bands").alias("bands"), F.first("n").alias("n"))
+    nodes = written(classes.withColumn("node", F.monotonically_increasing_id()), "minhash-classes")
+    total = nodes.count()
     # Buckets of two nodes or more, their members, and a hub for each.
-    member = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    buckets = member.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
-    member = written(member.join(buckets, ["band", "key"]), "minhash-buckets")
+    bound = hot_bound(total * bands)
+    member = nodes.select("node", "d1", F.posexplode("bands").alias("band", "key"))
+    buckets = written(member.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1"), "minhash-sizes")
+    member = written(met(member, buckets, ["band", "key"], "size", bound), "minhash-buckets")
     middle = member.groupBy("node").agg(F.sum("size").alias("share"))
-    mixed = F.xxhash64("node", "band")
-    order = F.struct(F.when(F.col("band") % 2 == 1, F.col("share")).otherwise(0).alias("share"), mixed.alias("mixed"), F.col("node").alias("hub"))
-    hubs = member.join(middle, "node").groupBy("band", "key").agg(F.max(order)["hub"].alias("hub"))
-    met = member.join(hubs, ["band", "key"]).where("node <> hub")
-    pairs = written(met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "minhash-pairs")
+    order = F.struct(F.when(F.col("band") % 2 == 1, F.col("share")).otherwise(0).alias("share"), F.xxhash64("d1", "band").alias("mixed"), F.col("node").alias("hub"))
+    hubs = written(member.join(middle, "node").groupBy("band", "key").agg(F.max(order)["hub"].alias("hub"), F.first("size").alias("size")), "minhash-hubs")
+    compared = met(member.drop("size"), hubs, ["band", "key"], "size", bound).where("node <> hub")
+    pairs = written(compared.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "minhash-pairs")
 
     def lent(wanted: DataFrame, tag: str) -> DataFrame:
         """One text of each wanted node; copies of a text share id and hash with no other class."""
@@ -166,11 +186,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = source.join(rows_of, (source["hash"] == rows_of["hash"]) & F.col("id").eqNullSafe(F.col("rid"))).select("node", "text")
         return written(found.groupBy("node").agg(F.first("text").alias("text")), tag)
 
+    def with_text(rows: DataFrame, pairs: DataFrame, texts: DataFrame, end: str, other: str, each: int) -> DataFrame:
+        """rows (of pairs) with the text of one end; a text that more than `each` pairs need goes to several tasks."""
+        busy = pairs.groupBy(F.col(end).alias("node")).agg(F.count("*").alias("n")).where(F.col("n") > each).select("node", F.ceil(F.col("n") / each).cast("int").alias("tasks"))
+        busy = F.broadcast(written(busy, "minhash-busy"))
+        dealt = rows.withColumnRenamed(end, "node").join(busy, "node", "left").withColumn("task", F.coalesce(F.pmod(F.xxhash64(other), F.col("tasks")), F.lit(0).cast("long")))
+        copies = texts.join(busy, "node", "left").withColumn("task", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("tasks", F.lit(1)).cast("long") - 1)))
+        both = dealt.drop("tasks").join(copies.drop("tasks").withColumnRenamed("text", f"t{end}"), ["node", "task"])
+        return both.drop("task").withColumnRenamed("node", end)
+
     def linked(pairs: DataFrame, texts: DataFrame, tag: str) -> DataFrame:
         """The pairs whose full sets are similar enough."""
-        with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-        both = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-        return written(both.mapInArrow(_confirm(shingle, threshold), "a long, b long"), tag)
+        each = hot_bound(pairs.count())
+        both = with_text(with_text(pairs, pairs, texts, "a", "b", each), pairs, texts, "b", "a", each)
+        return written(both.select("a", "b", "ta", "tb").mapInArrow(_confirm(shingle, threshold), "a long, b long"), tag)
 
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     texts = lent(ends, "minhash-texts")
@@ -178,11 +207,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(edges)
     # The exact way for the rest: members of buckets that still span several components.
     placed = member.where("size > 2").join(roots, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("root"))
-    split = placed.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "key")
-    rest = written(placed.join(split, ["band", "key"]).select("node", "root").distinct(), "minhash-rest")
+    split = placed.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("band", "key", "size")
+    rest = written(met(placed, written(split, "minhash-split"), ["band", "key"], "size", bound).select("node", "root").distinct(), "minhash-rest")
     left = rest.join(texts, "node")
-    counts = np.zeros(SLOTS, np.int64)
-    for r in left.select("text").mapInArrow(_sketch_counts(shingle), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
+    shingles = rest.join(nodes.select("node", "n"), "node").agg(F.sum("n")).collect()[0][0] or 0
+    slots = 1 << min(MOST_SLOTS, max(LEAST_SLOTS, int(4 * shingles).bit_length()))
+    counts = np.zeros(slots, np.int64)
+    for r in left.select("text").mapInArrow(_sketch_counts(shingle, slots), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r["slot"]] = r["n"]
     shipped = spark.sparkContext.broadcast(counts)
     prefix = left.select("node", "text").mapInArrow(_prefixes(shingle, threshold, shipped), "node long, size int, token long, place int").join(rest, "node")
@@ -204,8 +235,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         every = nodes.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         roots = every.join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     degree = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
-    known = nodes.select("node", "low").join(roots, "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = nodes.select("node", "d1", "d2", "copies", "low").join(roots, "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lows = known.groupBy("root").agg(F.min("low").alias("component_id"))
-    answer = known.join(lows, "root").select("node", "component_id", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
-    out = sketches.select("id", "hash", "n", F.when(F.col("n") > 0, F.xxhash64("d1", "d2")).alias("node")).join(answer, "node", "left")
-    return out.select("id", "hash", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+    answer = known.join(lows, "root").select("d1", "d2", "copies", "component_id", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+    out = met(full.select("id", "hash", "n", "d1", "d2"), written(answer, "minhash-answers"), ["d1", "d2"], "copies", hot_bound(total))
+    out = out.select("id", "hash", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), "links")
+    none = sketches.where("n = 0").select("id", "hash", F.lit(0).cast("long").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(0).cast("long").alias("links"))
+    return out.unionByName(none)
