@@ -236,8 +236,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         roots = every.join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     degree = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
     known = nodes.select("node", "d1", "d2", "copies", "low").join(roots, "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lows = known.groupBy("root").agg(F.min("low").alias("component_id"))
-    answer = known.join(lows, "root").select("d1", "d2", "copies", "component_id", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+    known = written(known, "minhash-known")
+    lows = written(known.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("size")), "minhash-lows")
+    answer = met(known, lows, ["root"], "size", hot_bound(total)).select("d1", "d2", "copies", "component_id", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
     out = met(full.select("id", "hash", "n", "d1", "d2"), written(answer, "minhash-answers"), ["d1", "d2"], "copies", hot_bound(total))
     out = out.select("id", "hash", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), "links")
     none = sketches.where("n = 0").select("id", "hash", F.lit(0).cast("long").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(0).cast("long").alias("links"))
