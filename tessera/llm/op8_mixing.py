@@ -10,9 +10,9 @@ gives too much the next gives too little.  Where a few large documents hold much
 emitted is left to the offset; so OFFSETS random offsets are tried for each source, in one pass of sums, and the
 one whose words come nearest to the target is the source's own.
 
-Prefix sums go over (source, class, bucket): buckets are counted, the counts are prefix-summed (at most classes x
-buckets of them a source), and rows are ranked inside their bucket only, so a source with a third of all rows is
-spread over all buckets.  Targets are computed in the same plan from a row for each source; no row of it is collected.
+Prefix sums go over a source's classes, of which there are CLASSES an octave however large it is, then over the
+buckets of a class, and rows are ranked inside their bucket only, so a source with a third of all rows is spread
+over all buckets.  Targets are computed in the same plan from a row for each source; no row of it is collected.
 
 Defined results: null text has size 0.  A null source comes last and is a source like others.  A source
 whose documents hold no words has target 0 and gives nothing.  Equal rows are interchangeable.  Empty
@@ -67,10 +67,14 @@ def mix_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts = slim.groupBy("source", "class", "bucket").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     plan = targets(counts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
     plan = plan.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    ahead = Window.partitionBy("source").orderBy("class", "bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("source", "class", "bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
     keyed = F.col("s.source").eqNullSafe(F.col("r.source"))
-    starts = written(starts.alias("r").join(plan.alias("s"), keyed).select("r.*", "s.source_size", "s.target", "s.rate"), "mixing-starts")
+    above = Window.partitionBy("source").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
+    by_class = counts.groupBy("source", "class").agg(F.sum("n").alias("n")).select("source", "class", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("above"))
+    by_class = by_class.alias("r").join(plan.alias("s"), keyed).select("r.*", "s.source_size", "s.target", "s.rate")
+    ahead = Window.partitionBy("source", "class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("source", "class", "bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    starts = starts.alias("r").join(by_class.alias("s"), keyed & (F.col("s.class") == F.col("r.class"))).select("r.source", "r.class", "r.bucket", (F.col("r.ahead") + F.col("s.above")).alias("ahead"), "s.source_size", "s.target", "s.rate")
+    starts = written(starts, "mixing-starts")
     inside = Window.partitionBy("source", "class", "bucket").orderBy(F.desc("size"), "place", "id", "hash")
     ranked = slim.withColumn("rank", F.row_number().over(inside))
     met = keyed & (F.col("s.class") == F.col("r.class")) & (F.col("s.bucket") == F.col("r.bucket"))
