@@ -66,8 +66,8 @@ def unique_bases(sequence: Column) -> Column:
 def umi_failure(umi: Column, length: int, *, max_fraction: float = 0.7, min_unique: int = 2, max_run: int = 4) -> Column:
     """The first reason why a barcode fails, or null."""
     return (
-        F.when(umi.isNull(), "missing").when(umi == "", "empty").when(F.length(umi) != length, "wrong_length").when(F.contains(umi, F.lit("N")), "contains_N")
-        .when(homopolymer_fraction(umi) > max_fraction, "high_homopolymer_fraction").when(unique_bases(umi) < min_unique, "low_complexity").when(umi.rlike("(.)\\1{%d,}" % max_run), "homopolymer_run")
+        F.when(umi.isNull(), "missing").when(umi == "", "empty").when(F.length(umi) != length, F.concat(F.lit("wrong_length_"), F.length(umi).cast("string"))).when(F.contains(umi, F.lit("N")), "contains_N")
+        .when(homopolymer_fraction(umi) > max_fraction, "high_homopolymer_fraction").when(unique_bases(umi) < min_unique, "low_complexity").when(umi.rlike("(.)\\1{%d,}" % max_run), f"homopolymer_run_gt{max_run}")
     )
 
 
@@ -125,3 +125,19 @@ def conversion_call(reference: Column, observed: Column, chemistry: str, strand:
     """1 for a modified (kept) base, 0 for a converted one, null elsewhere; footprinting chemistries set converted_is to 1."""
     source, made = CONVERSIONS[(chemistry, strand)]
     return F.when((reference == source) & (observed == made), converted_is).when((reference == source) & (observed == source), 1 - converted_is)
+
+
+def fuzzy_find(seq: Column, flank: str, most: int) -> Column:
+    """(distance, start, length) of the nearest place of a flank, by edits, leftmost and shortest first; null where more than `most` edits are needed.
+
+    A window of other lengths than the flank's by up to `most` holds every place within `most` edits.
+    """
+    sizes = [len(flank) + k for k in range(-most, most + 1) if len(flank) + k > 0]
+
+    def places(n: int) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.length(seq) - n, F.lit(0)))
+        found = F.transform(starts, lambda i: F.struct(F.levenshtein(F.substring(seq, i + 1, F.lit(n)), F.lit(flank)).alias("distance"), i.alias("start"), F.lit(n).alias("length")))
+        return F.filter(found, lambda x: x["start"] + n <= F.length(seq))
+
+    best = F.array_min(F.concat(*map(places, sizes)))
+    return F.when(best["distance"] <= most, best)

@@ -68,6 +68,22 @@ def near_duplicate_reads(calls: DataFrame, group: tuple[str, ...], width: int, *
     return found.distinct()
 
 
+def duplicate_reads(calls: DataFrame, group: tuple[str, ...], width: int, *, window: int = 50, least_overlap: int = 20, threshold: float = 0.07, passes: int = 4) -> DataFrame:
+    """A row for each read: its cluster (smallest read reached over pairs that agree), the cluster's size, and whether another read stands for it.
+
+    Reads of equal calls are one read in all passes, so copies use up no window; read ids are unique over groups.
+    """
+    rows = cut_lineage(packed(calls, (*group, "read_id"), "position", "call", width))
+    same = cut_lineage(rows.groupBy(*group, "bits", "valid").agg(F.min("read_id").alias("node"), F.count("*").alias("copies")))
+    whole = calls.join(same.select(F.col("node").alias("read_id")), "read_id", "left_semi")
+    pairs = near_duplicate_reads(whole, group, width, window=window, least_overlap=least_overlap, threshold=threshold, passes=passes).select("a", "b")
+    found = same.join(connected(same.select("node"), pairs), "node")
+    sizes = found.groupBy("component").agg(F.sum("copies").alias("cluster_size"))
+    known = found.join(sizes, "component").select(*group, "bits", "valid", "component", "cluster_size")
+    out = rows.join(known, [*group, "bits", "valid"])
+    return out.select(*group, "read_id", F.col("component").alias("cluster"), "cluster_size", (F.col("read_id") != F.col("component")).alias("is_duplicate"))
+
+
 def keepers(rows: DataFrame, cluster: str, order: list[Column]) -> DataFrame:
     """`is_duplicate`: false for the first row of each cluster in the order of preference."""
     k = F.row_number().over(Window.partitionBy(cluster).orderBy(*order))

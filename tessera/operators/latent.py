@@ -18,6 +18,35 @@ from tessera.sources.shared import cut_lineage
 QUERY_BYTES = 64 << 20
 
 
+def leaf_order(vectors: np.ndarray) -> list[int]:
+    """Rows in the order of the leaves of their average-linkage tree (Euclidean; the branch of the smaller row comes first); for a bounded set, as a plot shows."""
+    n = len(vectors)
+    d = np.sqrt(((vectors[:, None, :] - vectors[None, :, :]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    leaves, sizes = [[k] for k in range(n)], np.ones(n)
+    for _ in range(n - 1):
+        a, b = sorted(divmod(int(d.argmin()), n))
+        merged = (sizes[a] * d[a] + sizes[b] * d[b]) / (sizes[a] + sizes[b])
+        d[a], d[:, a] = merged, merged
+        d[a, a], d[b], d[:, b] = np.inf, np.inf, np.inf
+        leaves[a], sizes[a] = leaves[a] + leaves[b], sizes[a] + sizes[b]
+    return leaves[0] if n else []
+
+
+def ordered_rows(rows: DataFrame, label: str, key: str, vector: str, most: int, seed: int = 42) -> DataFrame:
+    """For a plot: `most` rows of each label by hash, with their place in the label's leaf order."""
+    share = F.xxhash64(key, F.lit(seed))
+    kinds = dict(rows.dtypes)
+
+    def order(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key)
+        places = leaf_order(np.array(pdf[vector].tolist(), float))
+        return pd.DataFrame({label: pdf[label].iloc[0], key: pdf[key].to_numpy()[places], "place": range(len(pdf))})
+
+    place = F.row_number().over(Window.partitionBy(label).orderBy(share, key))
+    return rows.withColumn("_p", place).where(F.col("_p") <= most).drop("_p").groupBy(label).applyInPandas(order, f"{label} {kinds[label]}, {key} {kinds[key]}, place long")
+
+
 def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y).cast("double") * (x - y).cast("double")), F.lit(0.0), lambda s, v: s + v)
 
@@ -152,7 +181,7 @@ def _nmf_step(x: np.ndarray, w: np.ndarray, h: np.ndarray) -> np.ndarray:
     return w * (v @ h.T) / np.maximum((seen * (w @ h)) @ h.T, 1e-12)
 
 
-def grouped_nmf(calls: DataFrame, group: tuple[str, ...], k: int, rounds: int = 200, width: int = 60, seed: int = 42, keep: int = 10) -> DataFrame:
+def grouped_nmf(calls: DataFrame, group: tuple[str, ...], k: int, rounds: int = 200, width: int | None = None, seed: int = 42, keep: int = 10) -> DataFrame:
     """Weights of every read on the factors of its group's read x position matrix.
 
     Factors are fitted on all reads by multiplicative updates.  A round sums the numerators and
@@ -160,6 +189,7 @@ def grouped_nmf(calls: DataFrame, group: tuple[str, ...], k: int, rounds: int =
     from hashes of the read's identity; they are written every `keep` rounds and replayed in between from
     the factors of the rounds since, so no read is left out and no row is held on the driver.
     """
+    width = width or 1 + int(calls.agg(F.max("position")).collect()[0][0] or 0)
     rows = calls.where("call is not null").groupBy(*group, "read_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("position").cast("int").alias("k"), F.col("call").cast("double").alias("v")))).alias("m"))
     start = F.array(*[(F.pmod(F.xxhash64("read_id", F.lit(seed), F.lit(i)), F.lit(1_000_003)) / 1_000_003.0 + 0.1) for i in range(k)])
     now = cut_lineage(rows.select(*group, "read_id", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.try_element_at("m", i)).alias("v"), start.alias("weights")))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.order import global_rank
+
 from tessera.operators import order
 from tessera.operators.qc import ratio
 
@@ -98,12 +100,19 @@ def class_weights(rows: DataFrame, label: str) -> DataFrame:
     return n.select(label, "n", (F.sum("n").over(w) / (F.count("*").over(w) * F.col("n"))).alias("weight"))
 
 
+def class_rank(rows: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
+    """rows with `_k`, their places in hash order within their class: ranks over the whole table, less the rows of the classes before."""
+    ranked = global_rank(rows.withColumn("_h", hash_share(F.col(key), seed)), label, "_h", key, out="_r")
+    ahead = Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = rows.groupBy(label).agg(F.count("*").alias("_a")).select(label, F.coalesce(F.sum("_a").over(ahead), F.lit(0)).alias("_a"))
+    return ranked.join(firsts, label).withColumn("_k", F.col("_r") - F.col("_a")).drop("_h", "_r", "_a")
+
+
 def resampled(rows: DataFrame, label: str, key: str, method: str, seed: int = 42) -> DataFrame:
     """Downsampling to the smallest class by hash order, or upsampling to the largest by whole copies and a remainder."""
     sizes = rows.groupBy(label).agg(F.count("*").alias("_n"))
     limit = sizes.agg((F.min if method == "down" else F.max)("_n").alias("_t"))
-    place = F.row_number().over(Window.partitionBy(label).orderBy(hash_share(F.col(key), seed), key))
-    marked = rows.join(F.broadcast(sizes), label).crossJoin(F.broadcast(limit)).withColumn("_k", place)
+    marked = class_rank(rows, label, key, seed).join(sizes, label).crossJoin(F.broadcast(limit))
     if method == "down":
         return marked.where("_k <= _t").drop("_n", "_t", "_k").withColumn("copy", F.lit(0))
     copies = F.floor(F.col("_t") / F.col("_n")) + (F.col("_k") <= F.col("_t") % F.col("_n")).cast("long")
@@ -113,8 +122,7 @@ def resampled(rows: DataFrame, label: str, key: str, method: str, seed: int = 42
 def to_prevalence(rows: DataFrame, label: str, key: str, share: float) -> DataFrame:
     """Positives cut down to a share of the result, in hash order."""
     negatives = rows.where(F.col(label) == 0).agg(F.count("*").alias("_n"))
-    place = F.row_number().over(Window.partitionBy(label).orderBy(hash_share(F.col(key)), key))
-    marked = rows.withColumn("_k", place).crossJoin(F.broadcast(negatives))
+    marked = class_rank(rows, label, key).crossJoin(F.broadcast(negatives))
     return marked.where((F.col(label) == 0) | (F.col("_k") <= F.floor(F.col("_n") * share / (1 - share) + 0.5 + 1e-9))).drop("_k", "_n")
 
 

@@ -122,8 +122,10 @@ def interval_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str],
 def point_in_span(points: DataFrame, spans: DataFrame, point: str, span: tuple[str, str], value: str, default: Any, on: tuple[str, ...] = (), bin_width: int = 64) -> DataFrame:
     """points with the value of the span that contains them, or a default; of several spans the one that starts last, then the greatest value."""
     s, e = span
+    keys = [*on, point]
     binned = spans.where(F.col(s) < F.col(e)).select(*on, F.col(s).alias("_s"), F.col(e).alias("_e"), F.col(value).alias("_v"), F.explode(F.sequence(F.floor(F.col(s) / bin_width), F.floor((F.col(e) - 1) / bin_width))).alias("_bin"))
-    rows = points.withColumn("_bin", F.floor(F.col(point) / bin_width)).withColumn("_row", F.struct(*points.columns))
-    joined = rows.join(binned, [*on, "_bin"], "left")
-    hit = F.when((F.col("_s") <= F.col(point)) & (F.col(point) < F.col("_e")), F.struct("_s", "_v"))
-    return joined.groupBy("_row").agg(F.max(hit)["_v"].alias("_v")).select("_row.*", F.coalesce("_v", F.lit(default)).alias(value))
+    # Each place is resolved once, whatever the number of points there; points then look their place up, repeated ones too.
+    places = points.select(*keys).distinct().withColumn("_bin", F.floor(F.col(point) / bin_width))
+    hits = places.join(binned, [*on, "_bin"]).where((F.col("_s") <= F.col(point)) & (F.col(point) < F.col("_e")))
+    found = hits.groupBy(*keys).agg(F.max(F.struct("_s", "_v"))["_v"].alias("_v"))
+    return points.join(found, keys, "left").select(*[F.col(c) for c in points.columns], F.coalesce("_v", F.lit(default)).alias(value))

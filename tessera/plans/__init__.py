@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.plans import registry
 
-MODULES = ("q_select", "q_agg", "q_window", "q_set", "q_stats", "q_models", "q_ml", "q_stream", "q_catalog", "q_more")
+MODULES = ("q_select", "q_agg", "q_window", "q_set", "q_stats", "q_models", "q_ml", "q_stream", "q_catalog", "q_more", "q_files")
 
 
 def _loaded() -> None:

@@ -115,11 +115,11 @@ def sink_zone_map(t: Tables):
     return io.zone_map(t.segments, 100, C.reference_length(F.col("cigar")))
 
 
-@query("SELECT read_id, reference, reference_start, cigar FROM $segments WHERE reference = 'refA' AND reference_start < 260 AND reference_start >= 100")
+@query("SELECT read_id, reference, reference_start, cigar FROM (SELECT *, list_sum(list_transform(regexp_extract_all(cigar, '(\\d+)[MD]', 1), lambda x: CAST(x AS BIGINT)))::BIGINT AS l FROM $segments) WHERE reference = 'refA' AND reference_start < 260 AND reference_start + l > 200")
 def sink_partitioned_store(t: Tables):
     path = _folder(t, "store")
-    io.write_store(t.segments, path, 100)
-    rows = io.read_store(t.spark, path, "refA", (200, 260), 100, 100)
+    io.write_store(t.segments, path, C.reference_length(F.col("cigar")), 10)
+    rows = io.read_store(t.spark, path, "refA", (200, 260))
     return rows.select("read_id", F.col("reference").cast("string").alias("reference"), "reference_start", "cigar")
 
 

@@ -221,11 +221,12 @@ def join_interval_map(t: Tables):
     return t.segments.join(F.broadcast(mapping), "reference").select("read_id", "reference", (F.col("sign") * F.col("reference_start") + F.col("shift")).alias("original"))
 
 
-@query("""SELECT c.read_id, c.position, coalesce(max_by(p.v, p.s), 'default') AS strand FROM (SELECT DISTINCT read_id, position FROM $calls) c
- LEFT JOIN (SELECT p_partkey * 11 % 60 AS s, min(p_partkey * 11 % 60 + p_size % 7) AS e, min(p_type) AS v FROM part GROUP BY 1) p ON p.s <= c.position AND c.position < p.e GROUP BY 1, 2""")
+@query("""WITH c AS (SELECT read_id, position, call FROM $calls UNION ALL SELECT read_id, position, call FROM $calls WHERE position % 7 = 0), p AS (SELECT p_partkey * 11 % 60 AS s, min(p_partkey * 11 % 60 + p_size % 7) AS e, min(p_type) AS v FROM part GROUP BY 1),
+h AS (SELECT q.position, max_by(p.v, p.s) AS v FROM (SELECT DISTINCT position FROM c) q JOIN p ON p.s <= q.position AND q.position < p.e GROUP BY 1) SELECT c.read_id, c.position, c.call, coalesce(h.v, 'default') AS strand FROM c LEFT JOIN h ON h.position = c.position""")
 def join_point_in_span(t: Tables):
     spans = t.part.select((F.col("p_partkey") * 11 % 60).alias("s"), (F.col("p_partkey") * 11 % 60 + F.col("p_size") % 7).alias("e"), F.col("p_type").alias("strand")).groupBy("s").agg(F.min("e").alias("e"), F.min("strand").alias("strand"))
-    points = t.calls.select("read_id", "position").distinct()
+    calls = t.calls.select("read_id", "position", "call")
+    points = calls.unionByName(calls.where("position % 7 = 0"))
     return select.point_in_span(points, spans, "position", ("s", "e"), "strand", "default")
 
 

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import cigar as C
 from tessera.operators.order import global_rank
 
 BED = "reference string, start long, stop long, name string, score string, strand string"
@@ -41,27 +42,49 @@ def read_calls_tsv(spark: SparkSession, path: str, references: list[str] | None
     return rows.select("read_id", F.col("chrom").alias("reference"), F.col("ref_position").alias("position"), p.alias("signal"))
 
 
+def read_sam(spark: SparkSession, path: str) -> DataFrame:
+    """Alignments from text SAM files: placement (from 0, half-open), flags as columns, program, bases, qualities, and tags by name."""
+    f = F.split(F.col("value"), "\t", -1)
+    rows = spark.read.text(path).where("value <> '' and not startswith(value, '@')").select(f.alias("f"))
+    flag = F.col("f")[1].cast("int")
+    on = lambda bit: flag.bitwiseAND(F.lit(bit)) != 0
+    cigar = F.when(F.col("f")[5] != "*", F.col("f")[5])
+    start = F.col("f")[3].cast("long") - 1
+    tags = F.map_from_entries(F.transform(F.slice("f", F.lit(12), F.greatest(F.size("f") - 11, F.lit(0))), lambda t: F.struct(F.substring(t, 1, 2).alias("k"), F.substring(t, F.lit(6), F.length(t)).alias("v"))))
+    mapped = ~on(4)
+    return rows.select(
+        F.col("f")[0].alias("read_id"), F.when(mapped, F.col("f")[2]).alias("reference"), F.when(mapped, start).alias("reference_start"), F.when(mapped, start + C.reference_length(cigar)).alias("reference_end"),
+        F.when(on(16), "-").otherwise("+").alias("strand"), on(256).alias("is_secondary"), on(2048).alias("is_supplementary"), mapped.alias("is_mapped"), F.col("f")[4].cast("int").alias("mapping_quality"), cigar.alias("cigar"),
+        F.when(F.col("f")[9] != "*", F.col("f")[9]).alias("sequence"), F.when(F.col("f")[10] != "*", F.col("f")[10]).alias("qualities"), tags.alias("tags"),
+    )
+
+
 def read_manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Content-addressed inputs: path, bytes and digest of every file that matches."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("content_id"))
 
 
-def write_store(segments: DataFrame, path: str, bin_size: int = 1_000_000, rows_per_file: int = 100_000) -> None:
-    """Segments by (reference, start bin), sorted inside, files bounded; the bins prune window reads and the sort gives row groups tight bounds."""
-    rows = segments.withColumn("start_bin", F.floor(F.col("reference_start") / bin_size))
+def write_store(segments: DataFrame, path: str, aligned: Column, bin_size: int = 1_000_000, rows_per_file: int = 100_000) -> None:
+    """Segments with their reference_end, by (reference, start bin), sorted inside, files bounded; the sort gives row groups tight bounds, and the zones say how far a bin's segments reach."""
+    rows = segments.withColumn("start_bin", F.floor(F.col("reference_start") / bin_size)).withColumn("reference_end", F.col("reference_start") + aligned)
     rows = rows.repartition("reference", "start_bin", F.pmod(F.xxhash64("read_id"), F.lit(16))).sortWithinPartitions("reference", "start_bin", "reference_start", "read_id")
-    rows.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy("reference", "start_bin").parquet(path)
+    rows.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy("reference", "start_bin").parquet(f"{path}/segments")
+    stored = segments.sparkSession.read.parquet(f"{path}/segments")
+    zone_map(stored, bin_size, F.col("reference_end") - F.col("reference_start")).coalesce(1).write.mode("overwrite").parquet(f"{path}/zones")
 
 
-def read_store(spark: SparkSession, path: str, reference: str | None = None, window: tuple[int, int] | None = None, bin_size: int = 1_000_000, longest: int = 1_000_000) -> DataFrame:
-    """Segments back, with partitions pruned by reference and by the bins that a window can touch."""
-    rows = spark.read.parquet(path)
+def read_store(spark: SparkSession, path: str, reference: str | None = None, window: tuple[int, int] | None = None) -> DataFrame:
+    """Segments that overlap a window, however long they are; bins that do not reach it are pruned by the store's zones."""
+    rows = spark.read.parquet(f"{path}/segments")
     if reference is not None:
         rows = rows.where(F.col("reference") == reference)
     if window is not None:
         lo, hi = window
-        rows = rows.where((F.col("start_bin") >= (lo - longest) // bin_size) & (F.col("start_bin") <= hi // bin_size) & (F.col("reference_start") < hi))
+        zones = spark.read.parquet(f"{path}/zones").where((F.col("min_start") < hi) & (F.col("max_end") > lo))
+        zones = zones if reference is None else zones.where(F.col("reference") == reference)
+        first, last = zones.agg(F.min("start_bin"), F.max("start_bin")).collect()[0]
+        rows = rows.where(F.col("start_bin").between(first if first is not None else 0, last if last is not None else -1) & (F.col("reference_start") < hi) & (F.col("reference_end") > lo))
     return rows
 
 

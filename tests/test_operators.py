@@ -308,15 +308,59 @@ def test_text_sources(spark, tmp_path):
     assert tables.read_manifest(spark, f"file://{tmp_path}", "*.bed").count() == 1
 
 
-def test_window_pushdown_reaches_the_scan(spark, tmp_path):
+def test_window_reads_overlap_and_prune(spark, tmp_path):
     path = f"file://{tmp_path}/store"
-    rows = spark.range(1000).select((F.col("id") % 2).cast("string").alias("reference"), F.col("id").alias("read_id"), (F.col("id") * 10).alias("reference_start"), F.lit("5M").alias("cigar"))
-    tables.write_store(rows, path, 1000)
-    df = tables.read_store(spark, path, "1", (2000, 2500), 1000, 100).select("read_id")
+    n = F.when(F.col("id") == 1, 3000).otherwise(5)
+    rows = spark.range(1000).select((F.col("id") % 2).cast("string").alias("reference"), F.col("id").alias("read_id"), (F.col("id") * 10).alias("reference_start"), n.alias("n"))
+    tables.write_store(rows, path, F.col("n"), 1000)
+    df = tables.read_store(spark, path, "1", (2002, 2500)).select("read_id")
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters" in plan and "start_bin" in plan and "PushedFilters: [IsNotNull(reference_start), LessThan(reference_start,2500)]" in plan
-    want = [i for i in range(1000) if i % 2 and 1000 <= i * 10 < 2500]
-    assert sorted(r[0] for r in df.collect()) == want
+    assert "PartitionFilters" in plan and "start_bin" in plan.split("PartitionFilters")[1] and "LessThan(reference_start,2500)" in plan and "GreaterTha" in plan.split("PushedFilters")[1]
+    # Read 1 is long and comes from far before the window; the read at 1990 to 1995 does not reach it.
+    assert sorted(r[0] for r in df.collect()) == sorted([1, *(i for i in range(1000) if i % 2 and i * 10 < 2500 and i * 10 + 5 > 2002)])
+    assert tables.read_store(spark, path).count() == 1000 and tables.read_store(spark, path, "1", (10_000, 10_001)).count() == 0
+
+
+def test_points_in_spans_keep_repeated_rows(spark):
+    points = spark.createDataFrame([("a", 5, "x"), ("a", 5, "x"), ("a", 9, "y"), ("b", 5, None), ("a", None, "z")], "k string, p long, extra string")
+    spans = spark.createDataFrame([("a", 0, 7, "wide"), ("a", 4, 6, "inner"), ("b", 6, 9, "no"), ("a", 4, 6, "also")], "k string, s long, e long, v string")
+    got = sorted(map(str, select.point_in_span(points, spans, "p", ("s", "e"), "v", "none", on=("k",), bin_width=4).select("k", "p", "extra", "v").collect()))
+    assert got == sorted(f"Row(k={k!r}, p={p}, extra={x!r}, v={v!r})" for k, p, x, v in [("a", 5, "x", "inner"), ("a", 5, "x", "inner"), ("a", 9, "y", "none"), ("b", 5, None, "none"), ("a", None, "z", "none")])
+
+
+def test_duplicate_reads_recall_with_copies(spark):
+    """Production window and passes on groups with many copies: every pair that brute force links is in one cluster."""
+    rng = random.Random(15)
+    vectors = {}
+    for g in range(30):
+        base = [rng.choice([0, 1]) for _ in range(60)]
+        for _ in range(rng.choice([1, 2, 4])):
+            vectors[len(vectors)] = [rng.choice([x] * 24 + [1 - x, None]) for x in base]
+    for _ in range(150):
+        vectors[len(vectors)] = vectors[0]
+    rows = [("s", i, p, x) for i, v in vectors.items() for p, x in enumerate(v)]
+    got = {r["read_id"]: r for r in dedup.duplicate_reads(spark.createDataFrame(rows, "sample string, read_id long, position long, call int"), ("sample",), 60, threshold=0.2).collect()}
+    linked = [(a, b) for a, b in itertools.combinations(vectors, 2) for both in [[(x, y) for x, y in zip(vectors[a], vectors[b], strict=True) if None not in (x, y)]] if len(both) >= 20 and sum(x != y for x, y in both) < 0.2 * len(both)]
+    assert len(got) == len(vectors) and sum(got[a]["cluster"] == got[b]["cluster"] for a, b in linked) >= 0.98 * len(linked)
+    assert got[0]["cluster_size"] >= 151 and not got[0]["is_duplicate"] and got[200]["is_duplicate"]
+    pairs = set(linked)
+    for r in got.values():
+        assert r["cluster"] == r["read_id"] or any(r["read_id"] in p for p in pairs)
+
+
+def test_leaf_order_keeps_blocks_together():
+    rng = np.random.default_rng(3)
+    block = rng.permutation(40) % 4
+    vectors = np.eye(4)[block] * 10 + rng.normal(0, 0.1, (40, 4))
+    order = latent.leaf_order(vectors)
+    seen = block[order]
+    assert sorted(order) == list(range(40)) and (seen[1:] != seen[:-1]).sum() == 3 and latent.leaf_order(vectors[:0]) == []
+
+
+def test_fuzzy_flanks(spark):
+    rows = [("TTGACTACAAA",), ("TTGACACAAAA",), ("TTGAGCTACAA",), ("TTTTTTTT",), ("",), (None,), ("GA",)]
+    got = [r["f"] and tuple(r["f"]) for r in spark.createDataFrame(rows, "s string").coalesce(1).select(sequences.fuzzy_find(F.col("s"), "GACTAC", 1).alias("f")).collect()]
+    assert got == [(0, 2, 6), (1, 2, 5), (1, 2, 7), None, None, None, None]
 
 
 def test_top_segments_skip_overlaps(spark):
