@@ -231,3 +231,29 @@ def naive_bayes_scores(rows: DataFrame, model: DataFrame, key: str, label: str,
     for f in features:
         total = total + F.when(F.col(f) == 1, F.col(f"on_{f}")).otherwise(F.col(f"off_{f}"))
     return rows.select(key, *features).crossJoin(F.broadcast(model)).select(key, label, total.alias("log_joint"))
+
+
+def fit_model(rows: DataFrame, vector: str, label: str, family: str, seed: int = 42, layers: tuple[int, ...] = (16,), rounds: int = 60):
+    """A model of an array column, fitted on all rows by Spark's distributed trainers: logistic, forest or perceptron (layers between input and output)."""
+    from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+    from pyspark.ml.functions import array_to_vector
+
+    train = rows.where(F.col(vector).isNotNull() & F.col(label).isNotNull()).select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"), F.col(label).cast("double").alias("label"))
+    if family == "logistic":
+        made = LogisticRegression(maxIter=rounds, regParam=0.01)
+    elif family == "forest":
+        made = RandomForestClassifier(numTrees=20, maxDepth=5, seed=seed)
+    elif family == "perceptron":
+        width = train.select("features").head()["features"].size
+        made = MultilayerPerceptronClassifier(layers=[width, *layers, 2], maxIter=rounds, seed=seed)
+    else:
+        raise ValueError(f"unknown family {family}")
+    return made.fit(train)
+
+
+def predict(model, rows: DataFrame, vector: str, out: str = "score") -> DataFrame:
+    """rows with the model's probability of class 1."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    made = model.transform(rows.withColumn("features", array_to_vector(F.col(vector).cast("array<double>"))))
+    return made.withColumn(out, vector_to_array("probability")[1]).select(*rows.columns, out)

@@ -157,6 +157,13 @@ def estimate_bytes(reads: int, width: int, layers: int) -> int:
     return reads * width * layers * 8 * 2
 
 
+def batch_rows(positions: int, arrays: int = 1, memory_mb: int = 512) -> int:
+    """Rows of an Arrow batch for a projection's width: 4 bytes a cell, twice for the copy; for spark.sql.execution.arrow.maxRecordsPerBatch."""
+    if memory_mb <= 0:
+        raise ValueError("memory must be positive")
+    return max(1, memory_mb * (1 << 20) // (max(1, positions) * max(1, arrays) * 8))
+
+
 def refuse_over(size: int, most: int) -> None:
     if size > most:
         raise MemoryError(f"the selection needs {size} bytes, over the limit of {most}")

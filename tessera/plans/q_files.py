@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import sequences as S
-from tessera.operators import latent
+from tessera.operators import latent, ml
+from tessera.plans import catalog, workflow
 from tessera.plans.q_catalog import _folder
 from tessera.plans.registry import Tables, query
+from tessera.sources import adapters
 from tessera.sources import tables as io
 
 
@@ -63,7 +65,7 @@ def scan_sam_file(t: Tables):
     text = [r, flag, F.col("reference"), F.col("reference_start") + 1, r % 60, F.col("cigar"), F.lit("*"), F.lit(0), F.lit(0), F.col("sequence"), F.lit("*"), F.concat(F.lit("NM:i:"), (r % 9).cast("string"))]
     line = F.concat_ws("\t", *[c.cast("string") for c in text], F.when(r % 5 == 0, F.concat(F.lit("BC:Z:bc:"), F.col("sample"))))
     t.spark.createDataFrame([("@HD\tVN:1.6",), ("@SQ\tSN:refA\tLN:600",)], "value string").unionByName(t.segments.select(line.alias("value"))).write.text(path)
-    rows = io.read_sam(t.spark, path)
+    rows = adapters.get("sam").read(t.spark, path)
     return rows.select("read_id", "reference", "reference_start", "reference_end", "strand", "is_secondary", "is_supplementary", F.try_element_at("tags", F.lit("NM")).cast("long").alias("mismatches"), "sequence", F.try_element_at("tags", F.lit("BC")).alias("barcode"))
 
 
@@ -114,3 +116,72 @@ def topk_leaf_order(t: Tables):
     """Forty embeddings of each remainder by seven, in the leaf order of their average-linkage tree; a plot's bounded rows, tested against block structure."""
     rows = t.embeddings.select("vec_id", (F.col("vec_id") % 7).alias("label"), "embedding")
     return latent.ordered_rows(rows, "label", "vec_id", "embedding", 40)
+
+
+@query("""SELECT m.read_id, CASE WHEN s.n IS NULL THEN 'missing_source' WHEN s.n > 1 THEN 'ambiguous_source' ELSE 'ready' END AS status, CASE WHEN s.n = 1 THEN s.s END AS source FROM (SELECT read_id FROM $molecules WHERE read_quality >= 20 AND status <> 'P') m
+LEFT JOIN (SELECT l_orderkey AS read_id, count(DISTINCT l_suppkey % 3) AS n, min('file' || CAST(l_suppkey % 3 AS VARCHAR)) AS s FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) s ON s.read_id = m.read_id""")
+def catalog_rebasecall_plan(t: Tables):
+    """Reads of good quality to be basecalled again, with the file that holds their signal."""
+    sources = t.lineitem.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("read_id"), F.concat(F.lit("file"), (F.col("l_suppkey") % 3).cast("string")).alias("source"))
+    return workflow.rebasecall_plan(t.molecules.where("read_quality >= 20 and status <> 'P'"), sources)
+
+
+@query("SELECT CAST(r_regionkey AS VARCHAR) AS name, CASE WHEN r_regionkey = 3 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN r_regionkey <> 3 THEN (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) END AS rows FROM region")
+def catalog_batch_summary(t: Tables):
+    """A count for each region, of which one fails by design; the others still run."""
+
+    def task(name: str):
+        if name == "3":
+            raise ValueError("no such region")
+        return t.nation.where(F.col("n_regionkey") == int(name))
+
+    names = [str(r[0]) for r in t.region.select("r_regionkey").orderBy("r_regionkey").collect()]
+    return workflow.run_batch(t.spark, names, task).select("name", "status", "rows")
+
+
+@query("""SELECT 'preprocess' AS node, 'missing' AS first_run, 'dependent_recompute' AS second_run, (SELECT count(DISTINCT o_custkey) FROM orders) AS rows UNION ALL SELECT 'raw', 'missing', 'stale_config', (SELECT count(*) FROM orders) UNION ALL SELECT 'spatial', 'missing', 'dependent_recompute', (SELECT count(DISTINCT c_nationkey) FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders))""")
+def catalog_workflow_run(t: Tables):
+    """Three analyses that write tables, run twice with other settings of the first; the result is validated before it is read."""
+    root, states = _folder(t, "workflow"), []
+    for setting in ("1", "2"):
+        flow = workflow.Workflow(t.spark, root)
+        flow.add(catalog.Node("raw", settings=(("depth", setting),)), lambda w: t.orders.select("o_orderkey", "o_custkey"))
+        flow.add(catalog.Node("preprocess", ("raw",)), lambda w: w.table("raw").groupBy("o_custkey").agg(F.count("*").alias("n")))
+        flow.add(catalog.Node("spatial", ("preprocess",)), lambda w: t.customer.join(w.table("preprocess"), F.col("c_custkey") == F.col("o_custkey")).groupBy("c_nationkey").agg(F.sum("n").alias("n")))
+        states.append(flow.run(["spatial"]))
+    if wrong := flow.validate():
+        raise RuntimeError("; ".join(wrong))
+    done = flow.result()["nodes"]
+    return t.spark.createDataFrame([(n, states[0][n], states[1][n], done[n]["rows"]) for n in sorted(done)], "node string, first_run string, second_run string, rows long")
+
+
+@query("SELECT p_partkey, CAST(greatest(1, floor(64 * 1048576 / (greatest(p_size, 1) * 2 * 8))) AS BIGINT) AS rows FROM part")
+def catalog_batch_rows(t: Tables):
+    """Rows of a batch of 64 MB for projections of two layers and as many positions as a part's size."""
+    sizes = {r[0]: catalog.batch_rows(r[0], 2, 64) for r in t.part.select("p_size").distinct().collect()}
+    found = t.spark.createDataFrame(sorted(sizes.items()), "p_size int, rows long")
+    return t.part.join(found, "p_size").select("p_partkey", "rows")
+
+
+def _trained(t: Tables, family: str):
+    rows = t.embeddings.select("vec_id", "embedding").withColumn("y", (F.col("embedding")[0] + F.col("embedding")[1] > 0).cast("int"))
+    model = ml.fit_model(rows.where("vec_id % 5 <> 0"), "embedding", "y", family)
+    return ml.predict(model, rows.where("vec_id % 5 = 0"), "embedding").select("vec_id", "y", F.round("score", 6).alias("score"))
+
+
+@query()
+def ml_logistic_regression(t: Tables):
+    """Scores of held-out embeddings by a logistic regression; accuracy is tested."""
+    return _trained(t, "logistic")
+
+
+@query()
+def ml_random_forest(t: Tables):
+    """Scores of held-out embeddings by a forest; accuracy is tested."""
+    return _trained(t, "forest")
+
+
+@query()
+def ml_perceptron(t: Tables):
+    """Scores of held-out embeddings by a network of one hidden layer; accuracy is tested."""
+    return _trained(t, "perceptron")

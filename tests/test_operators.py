@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import cigar, sequences
 from tessera.operators import dedup, hmm, islands, latent, ml, order, qc, select, stats, variants
-from tessera.plans import catalog
+from tessera.plans import catalog, workflow
+from tessera.sources import adapters
 from tessera.sources import tables
 
 
@@ -357,6 +358,60 @@ def test_leaf_order_keeps_blocks_together():
     assert sorted(order) == list(range(40)) and (seen[1:] != seen[:-1]).sum() == 3 and latent.leaf_order(vectors[:0]) == []
 
 
+def test_workflow_is_taken_up_and_validated(spark, tmp_path):
+    root, ran = f"file://{tmp_path}/flow", []
+    flow = workflow.Workflow(spark, root)
+
+    def make(name, n):
+        return lambda w: ran.append(name) or spark.range(n)
+
+    flow.add(catalog.Node("a"), make("a", 3))
+    flow.add(catalog.Node("b", ("a",)), lambda w: ran.append("b") or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        flow.run(["b"])
+    flow.made["b"] = make("b", 5)
+    assert flow.run(["b"]) == {"a": "compatible", "b": "missing"} and ran == ["a", "b", "b"] and flow.validate() == []
+    assert flow.run(["b"]) == {"a": "compatible", "b": "compatible"} and ran == ["a", "b", "b"]
+    other = workflow.Workflow(spark, root)
+    other.add(catalog.Node("a", version="2"), make("a", 3))
+    assert sorted(other.validate()) == ["a: not what the plan makes", "b: not what the plan makes"]
+
+
+def test_rebasecall_plans_are_frozen_as_accepted(spark, tmp_path):
+    reads = spark.createDataFrame([(1,), (2,), (2,), (3,)], "read_id long")
+    sources = spark.createDataFrame([(1, "f"), (1, "f"), (2, "f"), (2, "g")], "read_id long, source string")
+    plan = workflow.rebasecall_plan(reads, sources)
+    assert {r["read_id"]: (r["status"], r["source"]) for r in plan.collect()} == {1: ("ready", "f"), 2: ("ambiguous_source", None), 3: ("missing_source", None)}
+    root = f"file://{tmp_path}/frozen"
+    with pytest.raises(ValueError, match="accepted"):
+        workflow.freeze(plan, root, "0")
+    with pytest.raises(ValueError, match="source"):
+        workflow.freeze(plan, root, workflow.plan_id(plan))
+    ready = workflow.rebasecall_plan(reads.where("read_id = 1"), sources)
+    assert workflow.plan_id(ready) == workflow.plan_id(ready.repartition(3))
+    workflow.freeze(ready, root, workflow.plan_id(ready))
+    assert tables.read_current(spark, root).count() == 1
+
+
+def test_alignment_sources(spark, tmp_path):
+    (tmp_path / "x.sam").write_text("@HD\tVN:1.6\nr1\t16\tchr1\t5\t60\t2S4M1D3M\t*\t0\t0\tACGTACGTA\t*\tNM:i:2\tCO:Z:a:b\nr2\t4\t*\t0\t0\t*\t*\t0\t0\t*\t*\n")
+    rows = {r["read_id"]: r for r in adapters.get("sam").read(spark, f"file://{tmp_path}/x.sam").collect()}
+    r = rows["r1"]
+    assert (r["reference_start"], r["reference_end"], r["strand"], r["tags"], r["qualities"]) == (4, 12, "-", {"NM": "2", "CO": "a:b"}, None)
+    assert (rows["r2"]["reference"], rows["r2"]["cigar"], rows["r2"]["is_mapped"], rows["r2"]["tags"]) == (None, None, False, {})
+    with pytest.raises(KeyError):
+        adapters.get("cram")
+
+
+@pytest.mark.parametrize("family", ["logistic", "forest", "perceptron"])
+def test_models_learn(spark, family):
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(400)]
+    df = spark.createDataFrame([(i, v, int(v[0] + v[1] > 0)) for i, v in rows], "i long, v array<double>, y int")
+    got = ml.predict(ml.fit_model(df.where("i < 300"), "v", "y", family), df.where("i >= 300"), "v").collect()
+    assert sum((r["score"] > 0.5) == (r["y"] == 1) for r in got) >= 80
+
+
 def test_fuzzy_flanks(spark):
     rows = [("TTGACTACAAA",), ("TTGACACAAAA",), ("TTGAGCTACAA",), ("TTTTTTTT",), ("",), (None,), ("GA",)]
     got = [r["f"] and tuple(r["f"]) for r in spark.createDataFrame(rows, "s string").coalesce(1).select(sequences.fuzzy_find(F.col("s"), "GACTAC", 1).alias("f")).collect()]
