@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from typing import Any
 
 import numpy as np
@@ -9,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.operators.order import global_rank
-
 from tessera.operators import order
+from tessera.operators.order import global_rank
 from tessera.operators.qc import ratio
+from tessera.sources.shared import shared_dir
 
 ROLES = ("train", "validation", "test")
 
@@ -248,7 +249,11 @@ def fit_model(rows: DataFrame, vector: str, label: str, family: str, seed: int =
         made = MultilayerPerceptronClassifier(layers=[width, *layers, 2], maxIter=rounds, seed=seed)
     else:
         raise ValueError(f"unknown family {family}")
-    return made.fit(train)
+    # The stored model, without the trainer's summary, which would hang the training table on every task.
+    model = made.fit(train)
+    path = f"{shared_dir(rows.sparkSession)}/tessera/model-{uuid.uuid4().hex}"
+    model.write().save(path)
+    return type(model).load(path)
 
 
 def predict(model, rows: DataFrame, vector: str, out: str = "score") -> DataFrame:
