@@ -1,6 +1,6 @@
 """Hidden Markov models of Bernoulli calls along reads: decoding, posteriors, expectation-maximisation.
 
-Reads are independent, so decoding is one pass over reads, and each round of fitting is one pass whose
+Reads are independent, so decoding is one pass over reads, which step through positions together in padded blocks, and each round of fitting is one pass whose
 expected counts are summed by Spark; only the parameters (a few dozen numbers) are on the driver.
 Missing positions add nothing to the likelihood, and transitions are counted between observed neighbours only.
 """
@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 EPS = 1e-8
+#: Padded positions of a block of reads.
+CELLS = 1_000_000
 
 
 @dataclass
@@ -34,62 +36,115 @@ class Model:
         return cls(np.asarray(start, float), t if t.ndim == 3 else np.repeat(t[None], len(gaps) + 1, axis=0), e, list(gaps))
 
     def log_emission(self, obs: np.ndarray) -> np.ndarray:
-        """(positions x k) from (positions x channels); NaN is missing."""
+        """(... x positions x k) from (... x positions x channels); NaN is missing."""
         seen = ~np.isnan(obs)
-        o = np.where(seen, obs, 0.0)[:, :, None]
-        each = o * np.log(self.emit + EPS)[None] + (1 - o) * np.log1p(-self.emit + EPS)[None]
-        return (each * seen[:, :, None]).sum(axis=1)
+        o = np.where(seen, obs, 0.0)[..., None]
+        each = o * np.log(self.emit + EPS) + (1 - o) * np.log1p(-self.emit + EPS)
+        return (each * seen[..., None]).sum(axis=-2)
 
     def bins(self, coords: np.ndarray) -> np.ndarray:
         return np.digitize(np.diff(coords), self.gaps, right=True)
 
-    def passes(self, obs: np.ndarray, coords: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        """Scaled forward and backward tables in log space, and the log-likelihood."""
-        b, t = self.log_emission(obs), np.log(self.trans + EPS)[self.bins(coords)]
-        n, k = b.shape
-        alpha, beta = np.empty((n, k)), np.zeros((n, k))
-        alpha[0] = np.log(self.start + EPS) + b[0]
-        for i in range(1, n):
-            alpha[i] = np.logaddexp.reduce(alpha[i - 1][:, None] + t[i - 1], axis=0) + b[i]
-        for i in range(n - 2, -1, -1):
-            beta[i] = np.logaddexp.reduce(t[i] + (b[i + 1] + beta[i + 1])[None], axis=1)
-        return alpha, beta, float(np.logaddexp.reduce(alpha[-1]))
+    def passes(self, r: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Forward and backward tables in log space, and the log-likelihood of each read; all reads take a position at once."""
+        b, t, bins = self.log_emission(r.obs), np.log(self.trans + EPS), self.bins(r.coords)
+        alpha, beta = np.full(b.shape, -np.inf), np.zeros(b.shape)
+        alpha[:, 0] = np.log(self.start + EPS) + b[:, 0]
+        for i in range(1, b.shape[1]):
+            m = r.alive[i]
+            alpha[:m, i] = np.logaddexp.reduce(alpha[:m, i - 1, :, None] + t[bins[:m, i - 1]], axis=1) + b[:m, i]
+        for i in range(b.shape[1] - 2, -1, -1):
+            m = r.alive[i + 1]
+            beta[:m, i] = np.logaddexp.reduce(t[bins[:m, i]] + (b[:m, i + 1] + beta[:m, i + 1])[:, None, :], axis=2)
+        return alpha, beta, np.logaddexp.reduce(alpha[np.arange(len(b)), r.lengths - 1], axis=1)
+
+    def posteriors(self, r: Block) -> np.ndarray:
+        alpha, beta, ll = self.passes(r)
+        return np.exp(alpha + beta - ll[:, None, None])
+
+    def paths(self, r: Block) -> np.ndarray:
+        """Viterbi states, reads x positions."""
+        b, t, bins = self.log_emission(r.obs), np.log(self.trans + EPS), self.bins(r.coords)
+        best, back = np.log(self.start + EPS) + b[:, 0], np.zeros(b.shape, np.int16)
+        for i in range(1, b.shape[1]):
+            m = r.alive[i]
+            reach = best[:m, :, None] + t[bins[:m, i - 1]]
+            back[:m, i] = reach.argmax(axis=1)
+            best[:m] = reach.max(axis=1) + b[:m, i]
+        now, out = best.argmax(axis=1), np.zeros(b.shape[:2], np.int64)
+        for i in range(b.shape[1] - 1, -1, -1):
+            m = r.alive[i]
+            out[:m, i] = now[:m]
+            now[:m] = back[np.arange(m), i, now[:m]]
+        return out
 
     def posterior(self, obs: np.ndarray, coords: np.ndarray) -> np.ndarray:
-        alpha, beta, ll = self.passes(obs, coords)
-        return np.exp(alpha + beta - ll)
+        """Posteriors of one read."""
+        return self.posteriors(Block.of([coords], [[x] for x in obs.T]))[0]
 
     def viterbi(self, obs: np.ndarray, coords: np.ndarray) -> np.ndarray:
-        b, t = self.log_emission(obs), np.log(self.trans + EPS)[self.bins(coords)]
-        best, back = np.log(self.start + EPS) + b[0], []
-        for i in range(1, len(b)):
-            reach = best[:, None] + t[i - 1]
-            back.append(reach.argmax(axis=0))
-            best = reach.max(axis=0) + b[i]
-        path = [int(best.argmax())]
-        for prev in reversed(back):
-            path.append(int(prev[path[-1]]))
-        return np.array(path[::-1])
-
-    def expected(self, obs: np.ndarray, coords: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Start counts, transition counts, emission numerators and denominators, and the log-likelihood of a read."""
-        alpha, beta, ll = self.passes(obs, coords)
-        gamma = np.exp(alpha + beta - ll)
-        seen = ~np.isnan(obs)
-        o = np.where(seen, obs, 0.0)
-        b, bins = self.log_emission(obs), self.bins(coords)
+        """States of one read."""
+        return self.paths(Block.of([coords], [[x] for x in obs.T]))[0]
+
+    def expected(self, r: Block) -> tuple[np.ndarray, ...]:
+        """Start counts, transition counts, emission numerators and denominators, and the log-likelihood, summed over reads."""
+        alpha, beta, ll = self.passes(r)
+        gamma = np.exp(alpha + beta - ll[:, None, None])
+        seen = ~np.isnan(r.obs)
+        b, bins = self.log_emission(r.obs), self.bins(r.coords)
         trans = np.zeros_like(self.trans)
-        any_seen = seen.any(axis=1)
-        for i in np.flatnonzero(any_seen[:-1] & any_seen[1:]):
-            trans[bins[i]] += np.exp(alpha[i][:, None] + np.log(self.trans[bins[i]] + EPS) + (b[i + 1] + beta[i + 1])[None] - ll)
-        return gamma[0], trans, o.T @ gamma, seen.T.astype(float) @ gamma, np.array([ll])
+        any_seen = seen.any(axis=2)
+        x, i = np.nonzero(any_seen[:, :-1] & any_seen[:, 1:])
+        steps = np.exp(alpha[x, i][:, :, None] + np.log(self.trans + EPS)[bins[x, i]] + (b[x, i + 1] + beta[x, i + 1])[:, None, :] - ll[x][:, None, None])
+        for g in range(len(trans)):
+            trans[g] = steps[bins[x, i] == g].sum(axis=0)
+        return gamma[:, 0].sum(axis=0), trans, np.einsum("rpc,rpk->ck", np.where(seen, r.obs, 0.0), gamma), np.einsum("rpc,rpk->ck", seen.astype(float), gamma), np.array([ll.sum()])
+
+
+@dataclass
+class Block:
+    """Reads of like length, longest first and padded with NaN, so the reads that reach a position are the first alive[position]."""
+
+    at: np.ndarray
+    lengths: np.ndarray
+    alive: np.ndarray
+    coords: np.ndarray
+    obs: np.ndarray
+
+    @classmethod
+    def of(cls, coords: list[np.ndarray], channels: list[list[np.ndarray]], at: np.ndarray | None = None) -> Block:
+        """The reads `at`, given longest first; channels holds a list of reads for each channel."""
+        at = np.arange(len(coords)) if at is None else at
+        lengths = np.array([len(coords[i]) for i in at])
+        valid = np.arange(lengths[0]) < lengths[:, None]
+        made = cls(at, lengths, valid.sum(axis=0), np.zeros(valid.shape), np.full((*valid.shape, len(channels)), np.nan))
+        made.coords[valid] = np.concatenate([np.asarray(coords[i], float) for i in at])
+        for c, reads in enumerate(channels):
+            made.obs[..., c][valid] = np.concatenate([np.asarray(reads[i], float) for i in at])
+        return made
+
 
+def blocks(coords: list[np.ndarray], channels: list[list[np.ndarray]]) -> Iterator[Block]:
+    """All reads, in blocks of at most CELLS padded positions (or one read) and of lengths within a factor of two."""
+    n = np.array([len(c) for c in coords], np.int64)
+    order = np.argsort(-n, kind="stable")
+    order = order[n[order] > 0]
+    while len(order):
+        longest = n[order[0]]
+        size = min(max(1, CELLS // longest), int(np.count_nonzero(2 * n[order] >= longest)))
+        yield Block.of(coords, channels, order[:size])
+        order = order[size:]
 
-def _arrays(calls: DataFrame, key: str, position: str, channels: list[str]) -> DataFrame:
+
+def _arrays(calls: DataFrame, key: str, position: str, channels: list[str], *by: str) -> DataFrame:
     """One row for each read: its positions and channel values in order."""
     item = F.struct(F.col(position).cast("double").alias("p"), *[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(channels)])
-    rows = calls.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("a"))
-    return rows.select(key, F.transform("a", lambda x: x["p"]).alias("p"), *[F.col(f"a.c{k}").alias(f"c{k}") for k in range(len(channels))])
+    rows = calls.groupBy(key, *by).agg(F.array_sort(F.collect_list(item)).alias("a"))
+    return rows.select(key, F.transform("a", lambda x: x["p"]).alias("p"), *[F.col(f"a.c{k}").alias(f"c{k}") for k in range(len(channels))], *by)
+
+
+def _blocks(pdf: pd.DataFrame, channels: int) -> Iterator[Block]:
+    return blocks(list(pdf.iloc[:, 1]), [list(pdf.iloc[:, 2 + j]) for j in range(channels)])
 
 
 def decode(calls: DataFrame, model: Model, key: str = "read_id", position: str = "position", channels: tuple[str, ...] = ("call",), how: str = "marginal") -> DataFrame:
@@ -98,45 +153,58 @@ def decode(calls: DataFrame, model: Model, key: str = "read_id", position: str =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                coords, obs = np.asarray(row[1], float), np.column_stack([np.asarray(row[2 + j], float) for j in range(k)])
-                post = model.posterior(obs, coords)
-                state = post.argmax(axis=1) if how == "marginal" else model.viterbi(obs, coords)
-                out.append(pd.DataFrame({key: row[0], position: coords.astype(np.int64), "state": state, "posterior": post[np.arange(len(state)), state]}))
-            yield pd.concat(out) if out else pd.DataFrame(columns=[key, position, "state", "posterior"])
+            for r in _blocks(pdf, k):
+                post = model.posteriors(r)
+                state = post.argmax(axis=2) if how == "marginal" else model.paths(r)
+                valid = np.arange(r.coords.shape[1]) < r.lengths[:, None]
+                mass = np.take_along_axis(post, state[:, :, None], axis=2)[:, :, 0]
+                yield pd.DataFrame({key: np.repeat(pdf.iloc[:, 0].to_numpy()[r.at], r.lengths), position: r.coords[valid].astype(np.int64), "state": state[valid], "posterior": mass[valid]})
 
     return _arrays(calls, key, position, list(channels)).mapInPandas(run, f"{key} {kinds[key]}, {position} long, state long, posterior double")
 
 
-def fit(calls: DataFrame, model: Model, key: str = "read_id", position: str = "position", channels: tuple[str, ...] = ("call",), *, rounds: int = 10, tol: float = 1e-4, update: tuple[str, ...] = ("start", "trans", "emit")) -> tuple[Model, list[float]]:
-    """Expectation-maximisation; `update` freezes the rest (emissions alone adapt a shared model to one sample)."""
-    reads = _arrays(calls, key, position, list(channels)).cache()
-    k, history = len(channels), []
+def _updated(now: Model, parts: list[np.ndarray], update: tuple[str, ...]) -> Model:
+    start, trans, num, den = parts[0], parts[1].reshape(now.trans.shape), parts[2].reshape(now.emit.shape), parts[3].reshape(now.emit.shape)
+    rows = trans.sum(axis=2, keepdims=True)
+    return Model(start / start.sum() if "start" in update and start.sum() else now.start, np.where(rows > 0, (trans + EPS) / (rows + EPS * trans.shape[2]), now.trans) if "trans" in update else now.trans, (num + EPS) / (den + 2 * EPS) if "emit" in update else now.emit, now.gaps)
+
+
+def fit_groups(calls: DataFrame, model: Model, group: str | None, key: str = "read_id", position: str = "position", channels: tuple[str, ...] = ("call",), *, rounds: int = 10, tol: float = 1e-4, update: tuple[str, ...] = ("start", "trans", "emit")) -> dict[object, tuple[Model, list[float]]]:
+    """Expectation-maximisation of a model for each value of `group` (samples: a dimension), all in one pass a round, and their log-likelihoods; a settled model stays."""
+    by = F.col(group).cast("string") if group else F.lit("")
+    reads = _arrays(calls.withColumn("_by", by), key, position, list(channels), "_by").cache()
+    k, made, open_ = len(channels), {}, None
     for _ in range(rounds):
-        now = model
+        now = {g: m for g, (m, _) in made.items()}
 
-        def run(batches: Iterator[pd.DataFrame], now: Model = now) -> Iterator[pd.DataFrame]:
-            sums: list[np.ndarray] | None = None
+        def run(batches: Iterator[pd.DataFrame], now: dict = now) -> Iterator[pd.DataFrame]:
+            sums: dict[object, list[np.ndarray]] = {}
             for pdf in batches:
-                for row in pdf.itertuples(index=False):
-                    got = now.expected(np.column_stack([np.asarray(row[2 + j], float) for j in range(k)]), np.asarray(row[1], float))
-                    sums = [a + b for a, b in zip(sums, got, strict=True)] if sums else list(got)
+                for g, part in pdf.groupby("_by", dropna=False):
+                    g = None if pd.isna(g) else g
+                    for r in _blocks(part, k):
+                        got = now.get(g, model).expected(r)
+                        sums[g] = [a + b for a, b in zip(sums[g], got, strict=True)] if g in sums else list(got)
             if sums:
-                yield pd.DataFrame([(i, j, float(v)) for i, a in enumerate(sums) for j, v in enumerate(a.reshape(-1))], columns=["part", "at", "value"])
-
-        total = reads.mapInPandas(run, "part int, at int, value double").groupBy("part", "at").agg(F.sum("value").alias("value")).collect()
-        parts = [np.zeros(s) for s in (now.start.size, now.trans.size, now.emit.size, now.emit.size, 1)]
-        for r in total:
-            parts[r["part"]][r["at"]] = r["value"]
-        start, trans, num, den = parts[0], parts[1].reshape(now.trans.shape), parts[2].reshape(now.emit.shape), parts[3].reshape(now.emit.shape)
-        rows = trans.sum(axis=2, keepdims=True)
-        model = Model(start / start.sum() if "start" in update and start.sum() else now.start, np.where(rows > 0, (trans + EPS) / (rows + EPS * trans.shape[2]), now.trans) if "trans" in update else now.trans, (num + EPS) / (den + 2 * EPS) if "emit" in update else now.emit, now.gaps)
-        history.append(float(parts[4][0]))
-        if len(history) > 1 and abs(history[-1] - history[-2]) < tol * max(abs(history[-2]), 1):
+                yield pd.DataFrame([(g, i, j, float(v)) for g, arrays in sums.items() for i, a in enumerate(arrays) for j, v in enumerate(a.reshape(-1))], columns=["by", "part", "at", "value"])
+
+        left = reads if open_ is None else reads.where(F.coalesce("_by", F.lit("\0")).isin([g if g is not None else "\0" for g in open_]))
+        parts: dict[object, list[np.ndarray]] = {}
+        for r in left.mapInPandas(run, "by string, part int, at int, value double").groupBy("by", "part", "at").agg(F.sum("value").alias("value")).collect():
+            parts.setdefault(r["by"], [np.zeros(s) for s in (model.start.size, model.trans.size, model.emit.size, model.emit.size, 1)])[r["part"]][r["at"]] = r["value"]
+        for g, sums in parts.items():
+            history = [*(made[g][1] if g in made else []), float(sums[4][0])]
+            made[g] = _updated(now.get(g, model), sums, update), history
+        open_ = [g for g in parts if len(h := made[g][1]) < 2 or abs(h[-1] - h[-2]) >= tol * max(abs(h[-2]), 1)]
+        if not open_:
             break
     reads.unpersist()
-    return model, history
+    return made
+
+
+def fit(calls: DataFrame, model: Model, key: str = "read_id", position: str = "position", channels: tuple[str, ...] = ("call",), *, rounds: int = 10, tol: float = 1e-4, update: tuple[str, ...] = ("start", "trans", "emit")) -> tuple[Model, list[float]]:
+    """One model of all reads; `update` freezes the rest (emissions alone adapt a shared model to one sample)."""
+    return fit_groups(calls, model, None, key, position, channels, rounds=rounds, tol=tol, update=update).get("", (model, []))
 
 
 def saved(model: Model) -> str:

@@ -144,3 +144,26 @@ def base_ranges(moves: DataFrame, keys: tuple[str, ...], at: str, move: str) ->
     w = track(keys, at)
     marked = moves.withColumn("base", F.sum(F.col(move).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.where("base > 0")
+
+
+def window_autocorrelation(calls: DataFrame, group: tuple[str, ...], molecule: str, position: str, value: str, *, size: int, step: int, first: int, last: int, max_lag: int, least: int = 10) -> DataFrame:
+    """Mean autocorrelation by lag within each sliding window, weighted by pairs; windows with fewer than `least` usable molecules are left out."""
+    keys = (*group, "window_start")
+    ac = autocorrelation(sliding(calls, position, size, step, first, last), (*keys, molecule), position, value, max_lag, pearson=True)
+    per = ac.groupBy(*keys, "lag").agg(F.sum("pairs").alias("weight"), (F.sum(F.col("ac") * F.col("pairs")) / F.sum("pairs")).alias("mean"), F.count("*").alias("_n"))
+    # Every usable molecule has one row of lag 0.
+    counted = per.withColumn("molecules", F.max(F.when(F.col("lag") == 0, F.col("_n"))).over(Window.partitionBy(*keys)))
+    return counted.where(F.col("molecules") >= least).drop("_n")
+
+
+def resampled_trace(bases: DataFrame, keys: tuple[str, ...], at: str, value: str, k: int, out: str = "trace") -> DataFrame:
+    """Samples of each base drawn out linearly to k points, first and last kept; a base of one sample repeats it."""
+    made = bases.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("p"), F.col(value).cast("double").alias("v")))).alias("_s"))
+
+    def point(j: Column) -> Column:
+        x = j * (F.size("_s") - 1) / F.lit(float(max(k - 1, 1)))
+        lo = F.floor(x).cast("int")
+        a, b = F.get("_s", lo)["v"], F.get("_s", F.least(lo + 1, F.size("_s") - 1))["v"]
+        return a + (b - a) * (x - lo)
+
+    return made.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(k - 1)), point).alias(out))

@@ -62,11 +62,12 @@ def pearson_matrix(calls: DataFrame, group: tuple[str, ...], value: str = "call"
 def fisher_exact(a: int, b: int, c: int, d: int) -> float:
     """Two-sided p of a 2 x 2 table: the mass of tables no likelier than this one."""
     n, r, k = a + b + c + d, a + b, a + c
-    logs = lambda x: math.lgamma(x + 1)
-    const = logs(r) + logs(n - r) + logs(k) + logs(n - k) - logs(n)
-    mass = lambda x: math.exp(const - logs(x) - logs(r - x) - logs(k - x) - logs(n - r - k + x))
-    seen = mass(a)
-    return min(1.0, sum(p for p in map(mass, range(max(0, r + k - n), min(r, k) + 1)) if p <= seen * (1 + 1e-7)))
+    x = np.arange(max(0, r + k - n), min(r, k) + 1, dtype=float)
+    # Masses from the ratios of neighbours, relative to this table's.
+    steps = np.log((r - x[:-1]) * (k - x[:-1])) - np.log((x[:-1] + 1) * (n - r - k + x[:-1] + 1))
+    logs = np.concatenate([[0.0], np.cumsum(steps)])
+    mass = np.exp(logs - logs.max())
+    return min(1.0, float(mass[mass <= mass[a - int(x[0])] * (1 + 1e-7)].sum() / mass.sum()))
 
 
 def with_fisher(tables: DataFrame, out: str = "p") -> DataFrame:

@@ -44,12 +44,8 @@ def hmm_fit_em(t: Tables):
 def hmm_adapt_emissions(t: Tables):
     """One shared model, emissions adapted to each sample."""
     shared, _ = hmm.fit(t.calls, hmm.single(0.8, 0.2, 0.8), rounds=2)
-    out = None
-    for sample in ("bc01", "bc02", "bc03"):
-        model, history = hmm.fit(t.calls.where(F.col("sample") == sample), shared, rounds=2, update=("emit",))
-        row = t.spark.createDataFrame([(sample, *[round(float(x), 6) for x in model.emit[0]])], "sample string, low double, high double")
-        out = row if out is None else out.unionByName(row)
-    return out
+    adapted = hmm.fit_groups(t.calls, shared, "sample", rounds=2, update=("emit",))
+    return t.spark.createDataFrame([(g, *[round(float(x), 6) for x in m.emit[0]]) for g, (m, _) in adapted.items()], "sample string, low double, high double")
 
 
 @query()

@@ -43,12 +43,17 @@ def stat_activity_risk(t: Tables):
     return stats.activity_risk(t.calls, F.col("read_id") % 3 == 0, ("reference",)).withColumn("risk", F.round("risk", 6))
 
 
-@query()
+FISHER = f"""(SELECT *, least(1.0, (SELECT sum(exp(m)) FROM (SELECT w - lgamma(x + 1) - lgamma(r - x + 1) - lgamma(k - x + 1) - lgamma(n - r - k + x + 1) AS m FROM (SELECT unnest(range(greatest(0, r + k - n), least(r, k) + 1)) AS x)) WHERE exp(m) <= exp(o) * (1 + 1e-7))) AS p FROM
+(SELECT *, w - lgamma(a + 1) - lgamma(b + 1) - lgamma(c + 1) - lgamma(d + 1) AS o FROM (SELECT *, lgamma(r + 1) + lgamma(n - r + 1) + lgamma(k + 1) + lgamma(n - k + 1) - lgamma(n + 1) AS w FROM (SELECT *, a + b AS r, a + c AS k, a + b + c + d AS n FROM {ACTIVITY}) WHERE b > 0 AND a + b > 0 AND c + d > 0 AND a + c > 0)))"""
+
+
+@query(f"""SELECT reference, position, round(p, 9) AS p, round(q, 9) AS q, round(log2(greatest((a / (a + c)) * ((a + c) / n) / ((a + b) / n) / nullif((1 - a / (a + c)) * ((a + c) / n) / (1 - (a + b) / n), 0), 1e-300)), 6) + 0.0 AS log2_risk, round(-log10(greatest(q, 1e-300)), 6) + 0.0 AS neg_log10_q
+FROM (SELECT *, least(min(raw) OVER (PARTITION BY reference ORDER BY i DESC), 1.0) AS q FROM (SELECT *, p * count(*) OVER (PARTITION BY reference) / row_number() OVER (PARTITION BY reference ORDER BY p, position) AS raw, row_number() OVER (PARTITION BY reference ORDER BY p, position) AS i FROM {FISHER}))""")
 def stat_activity_fisher(t: Tables):
-    """Fisher p-values of the same tables with their adjusted values and log ratios; tested against an enumeration."""
+    """Fisher p-values of the same tables with their adjusted values and log ratios."""
     rows = stats.with_fisher(stats.activity_risk(t.calls, F.col("read_id") % 3 == 0, ("reference",)))
     adjusted = stats.benjamini_hochberg(rows, ("reference",))
-    return adjusted.select("reference", "position", "p", "q", F.log2(F.greatest("risk", F.lit(1e-300))).alias("log2_risk"), (-F.log10(F.greatest("q", F.lit(1e-300)))).alias("neg_log10_q"))
+    return adjusted.select("reference", "position", F.round("p", 9).alias("p"), F.round("q", 9).alias("q"), (F.round(F.log2(F.greatest("risk", F.lit(1e-300))), 6) + 0.0).alias("log2_risk"), (F.round(-F.log10(F.greatest("q", F.lit(1e-300))), 6) + 0.0).alias("neg_log10_q"))
 
 
 @query("SELECT sample, position, p, least(min(raw) OVER (PARTITION BY sample ORDER BY k DESC), 1.0) AS q FROM (SELECT *, p * count(*) OVER (PARTITION BY sample) / row_number() OVER (PARTITION BY sample ORDER BY p, position) AS raw, row_number() OVER (PARTITION BY sample ORDER BY p, position) AS k FROM (SELECT c_mktsegment AS sample, c_custkey AS position, ((c_custkey * 7919) % 1000 + 1) / 1000.0::DOUBLE AS p FROM customer))".replace("least(min(raw) OVER (PARTITION BY sample ORDER BY k DESC), 1.0)", "round(least(min(raw) OVER (PARTITION BY sample ORDER BY k DESC), 1.0), 9)"))

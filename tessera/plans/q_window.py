@@ -122,6 +122,23 @@ def win_sliding_windows(t: Tables):
     return rows.groupBy("reference", "window_start").agg(F.count("call").alias("n_valid"), F.round(F.avg("call"), 9).alias("mean"))
 
 
+@query("""WITH w AS (SELECT c.reference, c.read_id, c.position, c.call, s.range * 10 AS window_start FROM $calls c JOIN range(4) s ON c.position >= s.range * 10 AND c.position < s.range * 10 + 30 WHERE call IS NOT NULL),
+c AS (SELECT *, call - avg(call) OVER (PARTITION BY read_id, window_start) AS x FROM w), s AS (SELECT reference, read_id, window_start, sum(x * x) AS ss, count(*) AS n FROM c GROUP BY ALL HAVING count(*) >= 2 AND sum(x * x) > 1e-12),
+p AS (SELECT a.reference, a.read_id, a.window_start, b.position - a.position AS lag, count(*) AS pairs, (sum(a.x * b.x) / count(*)) / (max(ss) / max(n)) AS ac FROM c a JOIN c b ON a.read_id = b.read_id AND a.window_start = b.window_start AND b.position - a.position BETWEEN 1 AND 15 JOIN s ON s.read_id = a.read_id AND s.window_start = a.window_start GROUP BY ALL UNION ALL SELECT reference, read_id, window_start, 0, n, 1.0 FROM s),
+m AS (SELECT reference, window_start, count(*) AS molecules FROM s GROUP BY ALL HAVING count(*) >= 10)
+SELECT p.reference, p.window_start, lag, molecules, CAST(sum(pairs) AS BIGINT) AS weight, round(sum(ac * pairs) / sum(pairs), 6) + 0.0 AS mean FROM p JOIN m ON m.reference = p.reference AND m.window_start = p.window_start GROUP BY ALL""")
+def win_sliding_autocorrelation(t: Tables):
+    made = islands.window_autocorrelation(t.calls, ("reference",), "read_id", "position", "call", size=30, step=10, first=0, last=60, max_lag=15)
+    return made.withColumn("mean", F.round("mean", 6) + 0.0)
+
+
+@query("""SELECT user_id, base, point, round(v[lo + 1] + (v[least(lo + 2, n)] - v[lo + 1]) * (x - lo), 6) + 0.0 AS value FROM (SELECT *, CAST(floor(x) AS BIGINT) AS lo FROM (SELECT *, point * (n - 1) / 4.0::DOUBLE AS x FROM (SELECT user_id, base, list(value ORDER BY position) AS v, count(*) AS n FROM (SELECT *, CAST(sum(CASE WHEN value > 30 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY position) AS BIGINT) AS base FROM $track) WHERE base > 0 GROUP BY 1, 2), range(5) j(point)))""")
+def win_signal_trace(t: Tables):
+    rows = islands.base_ranges(t.track.withColumn("move", F.col("value") > 30), KEY, "position", "move")
+    made = islands.resampled_trace(rows, ("user_id", "base"), "position", "value", 5)
+    return made.select("user_id", "base", F.posexplode("trace").alias("point", "value")).withColumn("point", F.col("point").cast("long")).withColumn("value", F.round("value", 6) + 0.0)
+
+
 @query("""SELECT user_id, base, min(position) AS start, count(*) AS dwell, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM (SELECT *, CAST(sum(CASE WHEN value > 30 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY position) AS BIGINT) AS base FROM $track) WHERE base > 0 GROUP BY 1, 2""")
 def win_signal_features(t: Tables):
     rows = islands.base_ranges(t.track.withColumn("move", F.col("value") > 30), KEY, "position", "move")

@@ -142,6 +142,43 @@ def test_hmm_against_all_paths(model):
     assert np.allclose(model.posterior(obs, coords), post, atol=1e-6)
 
 
+def test_hmm_blocks_are_read_by_read(monkeypatch):
+    monkeypatch.setattr(hmm, "CELLS", 60)
+    rng = np.random.default_rng(4)
+    model = hmm.Model.of([0.6, 0.4], [[[0.85, 0.15], [0.3, 0.7]], [[0.6, 0.4], [0.45, 0.55]]], [[0.15, 0.8], [0.3, 0.6]], (2,))
+    coords = [np.cumsum(rng.integers(1, 5, n)).astype(float) for n in (7, 1, 0, 30, 12, 80, 30, 2)]
+    obs = [np.where(rng.random((len(c), 2)) < 0.3, np.nan, rng.integers(0, 2, (len(c), 2))) for c in coords]
+    made = list(hmm.blocks(coords, [[o[:, c] for o in obs] for c in (0, 1)]))
+    assert sorted(np.concatenate([r.at for r in made])) == [0, 1, 3, 4, 5, 6, 7] and len(made) > 2
+    sums = [np.zeros(1)] * 5
+    alone = [np.zeros(1)] * 5
+    for r in made:
+        sums = [a + b for a, b in zip(sums, model.expected(r), strict=True)]
+        for row, i in enumerate(r.at):
+            n = len(coords[i])
+            assert np.array_equal(model.paths(r)[row, :n], model.viterbi(obs[i], coords[i]))
+            assert np.allclose(model.posteriors(r)[row, :n], model.posterior(obs[i], coords[i]))
+            alone = [a + b for a, b in zip(alone, model.expected(hmm.Block.of([coords[i]], [[x] for x in obs[i].T])), strict=True)]
+    assert all(np.allclose(a, b) for a, b in zip(sums, alone, strict=True))
+
+
+def test_hmm_groups_are_fitted_apart(spark):
+    rows = [(r, p, "xy"[r % 2] if r % 5 else None, int((r * 7 + p * p) % (2 + r % 3) == 0)) for r in range(20) for p in range(12)]
+    calls = spark.createDataFrame(rows, "read_id long, position long, sample string, call int")
+    made = hmm.fit_groups(calls, hmm.single(0.8, 0.2, 0.8), "sample", rounds=2)
+    assert set(made) == {"x", "y", None}
+    for g, (model, history) in made.items():
+        one, other = hmm.fit(calls.where("sample is null" if g is None else f"sample = '{g}'"), hmm.single(0.8, 0.2, 0.8), rounds=2)
+        assert np.allclose(model.trans, one.trans) and np.allclose(model.emit, one.emit) and np.allclose(history, other)
+
+
+def test_fisher_against_factorials():
+    for a, b, c, d in [(0, 5, 5, 0), (3, 1, 2, 9), (1, 1, 1, 1), (12, 5, 7, 30), (0, 0, 4, 2), (0, 0, 0, 0)]:
+        n, r, k = a + b + c + d, a + b, a + c
+        mass = {x: math.comb(k, x) * math.comb(n - k, r - x) for x in range(max(0, r + k - n), min(r, k) + 1)}
+        assert stats.fisher_exact(a, b, c, d) == pytest.approx(sum(m for m in mass.values() if m <= mass[a]) / sum(mass.values()))
+
+
 def test_hmm_fit_raises_the_likelihood(spark):
     rng = np.random.default_rng(2)
     rows = []
