@@ -83,13 +83,13 @@ def latent_transfer_labels(t: Tables):
 @query()
 def latent_connectivities(t: Tables):
     """Symmetric weights of the neighbour graph of all vectors."""
-    return latent.connectivities(latent.knn(t.embeddings, t.embeddings, 15)).withColumn("w", F.round("w", 6))
+    return latent.connectivities(latent.neighbour_graph(t.embeddings, 15)).withColumn("w", F.round("w", 6))
 
 
 @query()
 def latent_communities(t: Tables):
     """Label propagation on the neighbour graph."""
-    return latent.label_propagation(latent.connectivities(latent.knn(t.embeddings, t.embeddings, 15)), 5)
+    return latent.label_propagation(latent.connectivities(latent.neighbour_graph(t.embeddings, 15)), 5)
 
 
 @query()

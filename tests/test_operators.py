@@ -269,6 +269,31 @@ def test_every_read_has_a_part_in_the_factors(spark):
     assert len(got) == 30_000 and min(got[i] for i in late) > 1e-3
 
 
+def test_neighbour_graph_recall_and_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    x = np.round(rng.normal(size=(12, 6))[rng.integers(0, 12, 600)] * 2 + rng.normal(size=(600, 6)), 4)
+    x[100:300] = x[100]  # a third of all rows in one place
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None)], "vec_id long, embedding array<double>").repartition(3)
+    d = np.round(latent._distances(x, x), 9)
+    np.fill_diagonal(d, np.inf)
+    exact = [np.lexsort((np.arange(600), r))[:5].tolist() for r in d]
+
+    def found():
+        got = {}
+        for r in sorted(latent.neighbour_graph(df, 5).collect(), key=lambda r: (r["q"], r["rank"])):
+            got.setdefault(r["q"], []).append(r["p"])
+        return got
+
+    got = found()
+    assert len(got) == 600 and all(got[i] == exact[i] for i in got)
+    monkeypatch.setattr(latent, "LIST_ROWS", 30)
+    monkeypatch.setattr(latent, "BLOCK_ROWS", 50)
+    got = found()
+    assert len(got) == 600 and np.mean([len(set(got[i]) & set(exact[i])) / 5 for i in got]) >= 0.9
+    assert got[150] == exact[150] and len(set(map(tuple, got.values()))) > 300
+    assert latent.neighbour_graph(df.limit(0), 5).count() == 0
+
+
 def test_knn_in_blocks_and_partitions(spark, monkeypatch):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 4))
