@@ -382,7 +382,7 @@ def coverage_filter(calls: DataFrame, least_column: float, least_row: float) ->
     """Columns by coverage first, then rows by coverage of the columns that are left."""
     n_rows = calls.select("read_id").distinct().count()
     cols = calls.groupBy("position").agg(F.count("call").alias("n")).where(F.col("n") >= least_column * n_rows).select("position")
-    kept = calls.join(F.broadcast(cols), "position", "left_semi")
+    kept = calls.join(cols, "position", "left_semi")
     n_cols = cols.count()
     rows = kept.groupBy("read_id").agg(F.count("call").alias("n")).where(F.col("n") >= least_row * n_cols).select("read_id")
     return kept.join(rows, "read_id", "left_semi")

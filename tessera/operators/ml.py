@@ -67,11 +67,11 @@ def group_roles(counts: list[tuple[Any, Any, int]], shares: dict[str, float], at
 
 
 def stratified_group_split(rows: DataFrame, group: str, label: str, shares: dict[str, float], seed: int = 42) -> DataFrame:
-    """Group-disjoint roles: the counts of groups and classes go to the driver, roles come back as a broadcast join."""
+    """Group-disjoint roles: the counts of groups and classes go to the driver, roles come back by a join."""
     counts = [(r[group], r[label], r["n"]) for r in rows.groupBy(group, label).agg(F.count("*").alias("n")).collect()]
     roles = group_roles(counts, shares, seed=seed)
     table = rows.sparkSession.createDataFrame(list(roles.items()), f"{group} {dict(rows.dtypes)[group]}, role string")
-    return rows.join(F.broadcast(table), group)
+    return rows.join(table, group)
 
 
 def leave_one_group_out(rows: DataFrame, group: str) -> DataFrame:

@@ -27,7 +27,7 @@ def informative_sites(pairs: DataFrame, strand: str = "top") -> DataFrame:
 
 def site_calls(observed: DataFrame, sites: DataFrame, strand: str = "top") -> DataFrame:
     """Observed bases at callable sites: 1 or 2 for a member's accepted base, 0 for neither."""
-    rows = observed.join(F.broadcast(sites.where("status = 'callable'").select("position", "a", "b")), "position")
+    rows = observed.join(sites.where("status = 'callable'").select("position", "a", "b"), "position")
     first, second = F.contains(accepted(F.col("a"), strand), F.col("base")), F.contains(accepted(F.col("b"), strand), F.col("base"))
     return rows.withColumn("variant", F.when(F.col("base") == "N", F.lit(None)).when(first, 1).when(second, 2).otherwise(0))
 

@@ -218,7 +218,7 @@ def join_reference_tiles(t: Tables):
 @query("SELECT s.read_id, s.reference, CASE WHEN s.reference = 'refA' THEN s.reference_start + 10000 ELSE 50000 - s.reference_start END AS original FROM $segments s")
 def join_interval_map(t: Tables):
     mapping = t.spark.createDataFrame([("refA", 1, 10000), ("refB", -1, 50000)], "reference string, sign long, shift long")
-    return t.segments.join(F.broadcast(mapping), "reference").select("read_id", "reference", (F.col("sign") * F.col("reference_start") + F.col("shift")).alias("original"))
+    return t.segments.join(mapping, "reference").select("read_id", "reference", (F.col("sign") * F.col("reference_start") + F.col("shift")).alias("original"))
 
 
 @query("""WITH c AS (SELECT read_id, position, call FROM $calls UNION ALL SELECT read_id, position, call FROM $calls WHERE position % 7 = 0), p AS (SELECT p_partkey * 11 % 60 AS s, min(p_partkey * 11 % 60 + p_size % 7) AS e, min(p_type) AS v FROM part GROUP BY 1),
@@ -233,7 +233,7 @@ def join_point_in_span(t: Tables):
 @query("SELECT c.read_id, c.position, c.call FROM $calls c ANTI JOIN (SELECT p_partkey % 60 AS position FROM part GROUP BY 1 HAVING avg(p_size) > 26) x ON x.position = c.position WHERE c.call IS NOT NULL")
 def join_exclude_positions(t: Tables):
     excluded = t.part.groupBy((F.col("p_partkey") % 60).alias("position")).agg(F.avg("p_size").alias("m")).where("m > 26").select("position")
-    return t.calls.where("call is not null").join(F.broadcast(excluded), "position", "left_anti").select("read_id", "position", "call")
+    return t.calls.where("call is not null").join(excluded, "position", "left_anti").select("read_id", "position", "call")
 
 
 @query("SELECT coalesce(a.k, b.k) AS molecule, CASE WHEN a.k IS NULL THEN 'descendant_only' WHEN b.k IS NULL THEN 'parent_only' WHEN b.n > 1 THEN 'split' ELSE 'matched' END AS status, coalesce(b.n, 0) AS children FROM (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 10 <> 3) a FULL JOIN (SELECT l_orderkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) b ON a.k = b.k")

@@ -54,7 +54,7 @@ def set_masked_hamming(t: Tables):
     rows = dedup.packed(t.calls, ("reference", "sample", "read_id"), "position", "call", 60)
     differ, shared = dedup.masked_hamming("x", "y")
     first = rows.groupBy("reference", "sample").agg(F.min(F.struct("read_id", "bits", "valid")).alias("f")).select("reference", "sample", "f.*")
-    pairs = rows.alias("y").join(F.broadcast(first).alias("x"), (F.col("x.reference") == F.col("y.reference")) & (F.col("x.sample") == F.col("y.sample")) & (F.col("x.read_id") < F.col("y.read_id")))
+    pairs = rows.alias("y").join(first.alias("x"), (F.col("x.reference") == F.col("y.reference")) & (F.col("x.sample") == F.col("y.sample")) & (F.col("x.read_id") < F.col("y.read_id")))
     return pairs.select(F.col("x.read_id").alias("a"), F.col("y.read_id").alias("b"), differ.alias("mismatches"), shared.alias("overlap")).where("overlap >= 3")
 
 
@@ -133,7 +133,7 @@ def scalar_scatter_window(t: Tables):
 @query(f"""SELECT reference, position, covered, round(matched / CAST(covered AS DOUBLE), 9) AS identity FROM (SELECT b.reference, position, count(*) AS covered, count(*) FILTER (substr(b.sequence, query_position + 1, 1) = substr(r.sequence, position + 1, 1)) AS matched FROM {BLOCKS} b JOIN $references r ON r.reference = b.reference WHERE position < 600 GROUP BY 1, 2)""")
 def scalar_reference_identity(t: Tables):
     bases = grid.bases(t.references).select("reference", "position", F.col("base").alias("expected"))
-    rows = C.scatter(t.segments).join(F.broadcast(bases), ["reference", "position"])
+    rows = C.scatter(t.segments).join(bases, ["reference", "position"])
     per = rows.groupBy("reference", "position").agg(F.count("*").alias("covered"), F.sum((F.col("base") == F.col("expected")).cast("long")).alias("matched"))
     return per.select("reference", "position", "covered", F.round(F.col("matched") / F.col("covered"), 9).alias("identity"))
 
@@ -191,7 +191,7 @@ def scalar_base_context(t: Tables):
 
 @query(f"SELECT c.read_id, c.position, CASE WHEN x.site_type IN ('GpC', 'ambiguous_GpC_CpG') THEN c.call END AS gpc, CASE WHEN x.site_type IN ('CpG', 'ambiguous_GpC_CpG') THEN c.call END AS cpg, CASE WHEN x.site_type = 'other_C' THEN c.call END AS other_c FROM $calls c JOIN {CONTEXT} x ON x.reference = c.reference AND x.position = c.position")
 def scalar_site_type_layers(t: Tables):
-    sites = F.broadcast(grid.base_context(t.references).select("reference", "position", "site_type"))
+    sites = grid.base_context(t.references).select("reference", "position", "site_type")
     rows = t.calls.join(sites, ["reference", "position"])
     on = lambda *k: F.when(F.col("site_type").isin(*k), F.col("call"))
     return rows.select("read_id", "position", on("GpC", "ambiguous_GpC_CpG").alias("gpc"), on("CpG", "ambiguous_GpC_CpG").alias("cpg"), on("other_C").alias("other_c"))
@@ -205,7 +205,7 @@ def scalar_binarize(t: Tables):
 @query("WITH th AS (SELECT reference, position, round(avg(signal), 9) AS threshold, avg(signal) > 0.05 AS ok FROM $calls GROUP BY 1, 2) SELECT c.read_id, c.position, CASE WHEN th.ok THEN CASE WHEN c.signal > th.threshold THEN 1 ELSE 0 END END AS binary FROM $calls c JOIN th ON th.reference = c.reference AND th.position = c.position")
 def scalar_binarize_thresholds(t: Tables):
     th = t.calls.groupBy("reference", "position").agg(F.round(F.avg("signal"), 9).alias("threshold"), (F.avg("signal") > 0.05).alias("ok"))
-    return t.calls.join(F.broadcast(th), ["reference", "position"]).select("read_id", "position", F.when(F.col("ok"), (F.col("signal") > F.col("threshold")).cast("int")).alias("binary"))
+    return t.calls.join(th, ["reference", "position"]).select("read_id", "position", F.when(F.col("ok"), (F.col("signal") > F.col("threshold")).cast("int")).alias("binary"))
 
 
 @query("SELECT reference, position, CASE reference WHEN 'refA' THEN position - 30 ELSE -(position - 12) END AS reindexed, max(position) OVER (PARTITION BY reference) + min(position) OVER (PARTITION BY reference) - position AS inverted FROM (SELECT DISTINCT reference, position FROM $calls)")
@@ -264,7 +264,7 @@ def scalar_normalized_mean(t: Tables):
 
 @query("SELECT reference, position, substr('ACGT', CAST(l_suppkey % 4 + 1 AS INT), 1) AS observed, base, CASE WHEN base = 'C' AND substr('ACGT', CAST(l_suppkey % 4 + 1 AS INT), 1) = 'T' THEN 0 WHEN base = 'C' AND substr('ACGT', CAST(l_suppkey % 4 + 1 AS INT), 1) = 'C' THEN 1 END AS call, count(*) AS n FROM lineitem JOIN " + CONTEXT + " ON position = l_partkey % 600 WHERE reference = 'refA' GROUP BY ALL")
 def scalar_conversion_calls(t: Tables):
-    bases = F.broadcast(grid.base_context(t.references).where("reference = 'refA'").select("reference", "position", "base"))
+    bases = grid.base_context(t.references).where("reference = 'refA'").select("reference", "position", "base")
     rows = t.lineitem.select((F.col("l_partkey") % 600).alias("position"), F.substring(F.lit("ACGT"), (F.col("l_suppkey") % 4 + 1).cast("int"), F.lit(1)).alias("observed")).join(bases, "position")
     rows = rows.withColumn("call", S.conversion_call(F.col("base"), F.col("observed"), "conversion", "top"))
     return rows.groupBy("reference", "position", "observed", "base", "call").agg(F.count("*").alias("n"))
