@@ -202,9 +202,9 @@ def scalar_binarize(t: Tables):
     return t.calls.select("read_id", "position", F.when(F.col("signal") > 0.055, 1).when(F.col("signal").isNotNull(), 0).alias("binary"))
 
 
-@query("WITH th AS (SELECT reference, position, round(avg(signal), 9) AS threshold, avg(signal) > 0.05 AS ok FROM $calls GROUP BY 1, 2) SELECT c.read_id, c.position, CASE WHEN th.ok THEN CASE WHEN c.signal > th.threshold THEN 1 ELSE 0 END END AS binary FROM $calls c JOIN th ON th.reference = c.reference AND th.position = c.position")
+@query("WITH th AS (SELECT reference, position, round(avg(signal), 9) AS threshold, round(avg(signal), 9) > 0.05 AS ok FROM $calls GROUP BY 1, 2) SELECT c.read_id, c.position, CASE WHEN th.ok THEN CASE WHEN c.signal > th.threshold THEN 1 ELSE 0 END END AS binary FROM $calls c JOIN th ON th.reference = c.reference AND th.position = c.position")
 def scalar_binarize_thresholds(t: Tables):
-    th = t.calls.groupBy("reference", "position").agg(F.round(F.avg("signal"), 9).alias("threshold"), (F.avg("signal") > 0.05).alias("ok"))
+    th = t.calls.groupBy("reference", "position").agg(F.round(F.avg("signal"), 9).alias("threshold"), (F.round(F.avg("signal"), 9) > 0.05).alias("ok"))
     return t.calls.join(th, ["reference", "position"]).select("read_id", "position", F.when(F.col("ok"), (F.col("signal") > F.col("threshold")).cast("int")).alias("binary"))
 
 
