@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions import cigar as C
 from tessera.functions import sequences as S
 from tessera.sources.shared import shared_dir
-from tessera.plans import catalog
+from tessera.plans import catalog, projects
 from tessera.plans.registry import Tables, query
 from tessera.sources import tables as io
 
@@ -37,6 +37,15 @@ def catalog_saved_set(t: Tables):
     return c.select(canonical="F", set_name="chosen").select("experiment", "canonical_reference").distinct()
 
 
+REGISTRATIONS = "SELECT o_orderkey AS seq, CAST(o_custkey AS STRING) AS experiment, CASE WHEN o_orderkey % 7 = 0 THEN 'remove' WHEN o_orderkey % 5 = 0 THEN 'activate' ELSE 'add' END AS action, CASE WHEN o_orderkey % 3 = 0 THEN 'redo' ELSE 'original' END AS lineage, o_orderpriority AS stage, 'run-' || CAST(o_orderkey AS STRING) AS path FROM {orders}"
+
+
+@query(f"""WITH l AS ({REGISTRATIONS.format(orders="orders")}), s AS (SELECT experiment, arg_max(action, seq) FILTER (action <> 'activate') AS last, coalesce(arg_max(lineage, seq) FILTER (action = 'activate'), arg_min(lineage, seq) FILTER (action = 'add')) AS lineage FROM l GROUP BY 1),
+p AS (SELECT experiment, lineage, stage, arg_max(path, seq) AS path FROM l WHERE action = 'add' GROUP BY ALL) SELECT p.* FROM p JOIN s ON s.experiment = p.experiment AND s.lineage = p.lineage WHERE s.last = 'add'""")
+def catalog_experiments(t: Tables):
+    return projects.experiments(t.spark.sql(REGISTRATIONS, orders=t.orders))
+
+
 @query("WITH RECURSIVE r AS (SELECT 0 AS d, n_nationkey AS k FROM nation WHERE n_nationkey = 0 UNION ALL SELECT d + 1, (k * 7 + 3) % 25 FROM r WHERE d < 10) SELECT d, k, n_name FROM r JOIN nation ON n_nationkey = k")
 def catalog_recursive_sql(t: Tables):
     c = catalog.Catalog(t.spark, nation=t.nation)

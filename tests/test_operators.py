@@ -501,3 +501,39 @@ def test_global_rank_and_tiles(spark):
     assert [got[k] for k, _ in sorted(rows, key=lambda x: (x[1], x[0]))] == list(range(1, 501))
     tiles = spark.range(1, 24).select(order.tile(F.col("id"), F.lit(23), 5).alias("t")).groupBy("t").count().orderBy("t").collect()
     assert [r["count"] for r in tiles] == [5, 5, 5, 4, 4]
+
+
+def test_registered_experiments(spark, tmp_path):
+    from tessera.plans.projects import Projects
+
+    p = Projects(spark, f"file://{tmp_path}/log")
+    p.add("a", {"raw": "a0", "pre": "a1"})
+    p.add("b", {"raw": "b0"})
+    p.add("a", {"pre": "a2"})
+    p.add("a", {"raw": "a9"}, lineage="redo")
+    listed = lambda **k: sorted((r["experiment"], r["lineage"], r["stage"], r["path"]) for r in p.list(**k).collect())
+    assert listed() == [("a", "original", "pre", "a2"), ("a", "original", "raw", "a0"), ("b", "original", "raw", "b0")]
+    p.activate("a", "redo")
+    p.remove("b")
+    assert listed() == [("a", "redo", "raw", "a9")]
+    assert listed(active_only=False)[-1] == ("b", "original", "raw", "b0")
+    assert listed(lineage="original")[0] == ("a", "original", "pre", "a2")
+    with pytest.raises(ValueError, match="no lineage redo: b"):
+        p.list(active_only=False, lineage="redo")
+    with pytest.raises(ValueError, match="no lineage third"):
+        p.activate("a", "third")
+    p.add("b", {"raw": "b1"})
+    assert listed()[-1] == ("b", "original", "raw", "b1")
+
+
+def test_training_plans():
+    from tessera.plans.projects import training_plan
+
+    raw = {"datasets": {"d": {"set": "s", "features": ["x"], "label": "y"}}, "splits": {"p": {"dataset": "d", "kind": "hash", "shares": {"train": 0.8, "test": 0.2}}}, "models": {"m": {"family": "forest", "settings": {"trees": 10, "depth": 3}}}, "jobs": {"j": {"split": "p", "model": "m"}}}
+    plan, digest = training_plan(raw)
+    assert plan["balancing"] == {} and training_plan(dict(reversed(raw.items())))[1] == digest
+    over, other = training_plan(raw, {"models": {"m": {"settings": {"depth": 5}}}})
+    assert over["models"]["m"]["settings"] == {"trees": 10, "depth": 5} and other != digest and raw["models"]["m"]["settings"]["depth"] == 3
+    for bad, place in (({"more": {}}, "unknown sections"), ({"jobs": {"j": {"model": "n"}}}, "jobs.j.model"), ({"splits": {"p": {"kind": "odd"}}}, "splits.p.kind"), ({"splits": {"p": {"shares": {"train": 0.9}}}}, "splits.p.shares"), ({"datasets": {"d": {"experiments": ["e"]}}}, "datasets.d"), ({"models": {"m": {"colour": 1}}}, "models.m: unknown"), ({"models": {"n": {}}}, "models.n: fields missing")):
+        with pytest.raises(ValueError, match=place):
+            training_plan(raw, bad)
