@@ -21,12 +21,20 @@ Counts travel as sorted numpy blobs, one for each task and bucket; buckets follo
 partitions.  A word below p_head has at most that share of all tokens, so no bucket is hot; a bucket of
 runs gets each run's distinct key only.
 
+A worker's memory has to fit beside its executor's heap, so what it holds besides its Arrow batch does not
+grow with its partition: texts are taken in slices of SLICE bytes (a longer one is a slice of its own), counts
+are merged in place after each PENDING new ones, and FLUSH distinct counts, or words and runs that look for
+theirs, leave in blobs that are made a few MB at a time.  At a partition's end freed memory goes back to the
+system, as workers outlive their tasks.
+
 Defined results: null text is empty and scores its end symbol alone; an id whose crc32 is null trains
 and is not held out; repeated rows get equal scores, a row each; no training rows: the uniform model.
 """
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -43,6 +51,8 @@ TRUNK = 2
 P_RUN = 5e-7
 P_HEAD = 1e-6
 MIN_COUNT = 8
+SLICE = 1 << 18
+PENDING = 400_000
 FLUSH = 2_000_000
 PAD, GAP = 10, 32
 
@@ -110,16 +120,25 @@ def counted(keys: np.ndarray, vals: np.ndarray | None = None) -> tuple[np.ndarra
 
 
 def _blobs(kind: int, keys: np.ndarray, vals: np.ndarray, where: np.ndarray, n: int, wide: int = 8) -> Iterator[pa.RecordBatch]:
-    """A row for each bucket; rows leave in batches of at most about 16 MB."""
+    """A row for each bucket; rows leave in batches of at most about 4 MB."""
     order = np.argsort(where, kind="stable")
-    keys, vals = keys[order], vals[order]
-    ends = np.cumsum(np.bincount(where, minlength=n))
-    step = max(1, int(n * (16 << 20) / max(1, len(keys) * (8 + wide))))
+    ends = np.concatenate([[0], np.cumsum(np.bincount(where, minlength=n))])
+    step = max(1, int(n * (4 << 20) / max(1, len(keys) * (8 + wide))))
     for lo in range(0, n, step):
-        rows = [b for b in range(lo, min(n, lo + step)) if ends[b] > (ends[b - 1] if b else 0)]
-        cut = [(int(ends[b - 1]) if b else 0, int(ends[b])) for b in rows]
+        rows = [b for b in range(lo, min(n, lo + step)) if ends[b + 1] > ends[b]]
+        cut = [(int(ends[b] - ends[lo]), int(ends[b + 1] - ends[lo])) for b in rows]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([kind] * len(rows), pa.int32()), pa.array([keys[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([vals[a:b].tobytes() for a, b in cut], pa.binary())], names=["bucket", "kind", "keys", "vals"])
+            at = order[ends[lo] : ends[min(n, lo + step)]]
+            x, y = keys[at], vals[at]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([kind] * len(rows), pa.int32()), pa.array([x[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([y[a:b].tobytes() for a, b in cut], pa.binary())], names=["bucket", "kind", "keys", "vals"])
+
+
+def _freed(made: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; then what numpy and Arrow have freed, but their allocators keep, goes back to the system (numpy's where the C library is glibc)."""
+    yield from made
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError, TypeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def _branch_bucket(codes: np.ndarray, n: int) -> np.ndarray:
@@ -130,42 +149,71 @@ def _word_bucket(h: np.ndarray, n: int) -> np.ndarray:
     return (h % np.uint64(n)).astype(np.int64)
 
 
+class Tally:
+    """Sums by key, sorted; what is added waits in pieces of PENDING entries, so a merge needs little beside the result."""
+
+    def __init__(self) -> None:
+        self.keys, self.vals = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.pieces: list[tuple[np.ndarray, np.ndarray]] = []
+        self.pending = 0
+
+    def add(self, keys: np.ndarray, vals: np.ndarray) -> None:
+        self.pieces.append((keys, vals))
+        self.pending += len(keys)
+        if self.pending > PENDING:
+            self.merge()
+
+    def merge(self) -> None:
+        if not self.pieces:
+            return
+        keys, vals = counted(np.concatenate([p[0] for p in self.pieces]), np.concatenate([p[1] for p in self.pieces]))
+        self.pieces, self.pending = [], 0
+        at, found = _find(self.keys, keys)
+        self.vals[at[found]] += vals[found]
+        keys, vals = keys[~found], vals[~found]
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.vals = np.insert(self.vals, at, vals)
+
+    def taken(self) -> tuple[np.ndarray, np.ndarray]:
+        """All sums; none stay."""
+        self.merge()
+        out = self.keys, self.vals
+        self.__init__()
+        return out
+
+
 def _gather(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """Counts of a partition's words (kind -1) and runs of DEPTH + 1 symbols (kind DEPTH), in blobs by bucket."""
-    held: dict[int, list] = {-1: [], DEPTH: []}
-    size = 0
-
-    def merged(k: int) -> tuple[np.ndarray, np.ndarray]:
-        parts = held[k]
-        return counted(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    words, runs = Tally(), Tally()
 
     def flush() -> Iterator[pa.RecordBatch]:
-        h, c = merged(-1)
+        h, c = words.taken()
         yield from _blobs(-1, h, c, _word_bucket(h, n), n)
-        g, c = merged(DEPTH)
+        g, c = runs.taken()
         yield from _blobs(DEPTH, g, c, _branch_bucket(g, n), n)
 
     for batch in batches:
-        for _, _, data, off in X.slices(batch.column(0)):
+        for _, _, data, off in X.slices(batch.column(0), SLICE):
             w = X.words(data, off)
-            held[-1].append(counted(w.hashes))
+            words.add(*counted(w.hashes))
             symbols, scored, _ = spelled(w, off)
-            held[DEPTH].append(counted(codes(symbols, scored)))
-            size += len(held[-1][-1][0]) + len(held[DEPTH][-1][0])
-            if size > 2 * FLUSH:
-                held[-1], held[DEPTH] = [merged(-1)], [merged(DEPTH)]
-                size = len(held[-1][0][0]) + len(held[DEPTH][0][0])
-                if size > FLUSH:
-                    yield from flush()
-                    held[-1], held[DEPTH], size = [], [], 0
+            runs.add(*counted(codes(symbols, scored)))
+            if len(words.keys) + len(runs.keys) > FLUSH:
+                yield from flush()
     yield from flush()
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[bytes], list[bytes]]]:
+def _blob_rows(batch: pa.RecordBatch) -> Iterator[tuple[int, int, pa.Buffer, pa.Buffer]]:
+    """(bucket, kind, keys, vals) of each row; the blobs are not copied."""
+    return zip(batch.column("bucket").to_pylist(), batch.column("kind").to_pylist(), (x.as_buffer() for x in batch.column("keys")), (y.as_buffer() for y in batch.column("vals")), strict=True)
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[pa.Buffer], list[pa.Buffer]]]:
     """Runs of rows of equal (bucket, kind)."""
     now, keys, vals = None, [], []
     for batch in batches:
-        for b, k, x, y in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for b, k, x, y in _blob_rows(batch):
             if now is not None and now != (b, k):
                 yield *now, keys, vals
                 keys, vals = [], []
@@ -339,8 +387,8 @@ def fit(texts: DataFrame, text_col: str = "text", *, p_run: float = P_RUN, p_hea
     """Count all rows of texts and grow the tree."""
     spark = texts.sparkSession
     n = shuffle_buckets(spark)
-    gathered = texts.select(F.col(text_col).alias("text")).mapInArrow(lambda it: _gather(it, n), _SCHEMA)
-    counts = written(gathered.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_summed, _SCHEMA), "suffix-counts")
+    gathered = texts.select(F.col(text_col).alias("text")).mapInArrow(lambda it: _freed(_gather(it, n)), _SCHEMA)
+    counts = written(gathered.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(lambda it: _freed(_summed(it)), _SCHEMA), "suffix-counts")
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -377,7 +425,7 @@ def fit(texts: DataFrame, text_col: str = "text", *, p_run: float = P_RUN, p_hea
             yield _row(now, 30, often, tree.score(often, TRUNK + 1))
 
         for batch in batches:
-            for b, k, x, y in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for b, k, x, y in _blob_rows(batch):
                 if now is not None and b != now:
                     yield from made()
                     levels = {}
@@ -386,11 +434,11 @@ def fit(texts: DataFrame, text_col: str = "text", *, p_run: float = P_RUN, p_hea
         if now is not None:
             yield from made()
 
-    tree = written(counts.where(F.col("kind") > TRUNK).repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(grow, _SCHEMA), "suffix-tree")
+    tree = written(counts.where(F.col("kind") > TRUNK).repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(lambda it: _freed(grow(it)), _SCHEMA), "suffix-tree")
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b, k, x, y in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for b, k, x, y in _blob_rows(batch):
                 h, c = np.frombuffer(x, np.uint64), np.frombuffer(y, np.int64)
                 keep = c >= p_head * tokens
                 if keep.any():
@@ -420,66 +468,69 @@ def _part(kind: int, ids: pa.Array, **cols: np.ndarray | list) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array([kind] * size, pa.int32()), *(pa.array(cols[k], t) if k in cols else pa.nulls(size, t) for k, t in _TYPES.items()), ids], names=["kind", *_TYPES, "id"])
 
 
+def _measure(batches: Iterator[pa.RecordBatch], broadcast: tuple[np.ndarray, ...], n: int, norm: float, ends: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a partition (kind 0) with what the frequent words and runs tell, then the other words and runs in blobs by bucket."""
+    often, often_log, head, head_log = broadcast
+    end_log, end_known = float(np.log10(ends + 0.5)), int(ends > 0)
+    late: dict[int, list] = {_WORDS: [], _RUNS: []}
+    size, id_type = 0, [pa.null()]
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for kind, where in ((_WORDS, _word_bucket), (_RUNS, _branch_bucket)):
+            x, r = np.concatenate([p[0] for p in late[kind]]), np.concatenate([p[1] for p in late[kind]])
+            late[kind] = []
+            for b in _blobs(kind, x, r, where(x, n), n):
+                yield _part(kind, pa.nulls(b.num_rows, id_type[0]), bucket=b.column("bucket"), keys=b.column("keys"), vals=b.column("vals"))
+
+    for batch in batches:
+        rid, ids = batch.column("rid").to_numpy(zero_copy_only=False), batch.column("id")
+        id_type[0] = ids.type
+        for lo, hi, data, off in X.slices(batch.column("text"), SLICE):
+            w = X.words(data, off)
+            docs_of = w.docs
+            order = np.argsort(w.hashes)
+            h, d = w.hashes[order], docs_of[order]
+            u, c = counted(h)
+            at, found = _find(head, u)
+            logs = np.repeat(np.where(found, head_log[at] if len(head) else 0.0, 0.0), c)
+            is_head = np.repeat(found, c)
+            m = hi - lo
+            base = np.bincount(d, weights=logs, minlength=m)
+            known = np.bincount(d[is_head], minlength=m)
+            symbols, scored, doc = spelled(w, off)
+            packed = np.sort(codes(symbols, scored) << np.uint64(16) | doc[scored].astype(np.uint64))
+            u, c = counted(packed >> np.uint64(16))
+            at, found = _find(often, u)
+            logs = np.repeat(np.where(found, often_log[at] if len(often) else 0.0, 0.0), c)
+            is_often = np.repeat(found, c)
+            d_run = (packed & np.uint64(0xFFFF)).astype(np.int64)
+            total = np.bincount(d_run, weights=logs, minlength=m)
+            yield _part(0, ids.slice(lo, m), rid=rid[lo:hi], n=w.counts + 1, known=known + end_known, base=base + end_log - (w.counts + 1) * norm, score=total)
+            late[_WORDS].append((h[~is_head], rid[lo:hi][d[~is_head]]))
+            late[_RUNS].append((packed[~is_often] >> np.uint64(16), rid[lo:hi][d_run[~is_often]]))
+            size += len(late[_WORDS][-1][0]) + len(late[_RUNS][-1][0])
+            if size > FLUSH:
+                yield from flush()
+                size = 0
+    if late[_WORDS]:
+        yield from flush()
+
+
 def score(docs: DataFrame, fitted: Fitted, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: its id as `id`, n_tokens, n_known, base_score and score."""
     spark, n, norm = docs.sparkSession, fitted.buckets, float(np.log10(fitted.tokens + 0.5 * (fitted.types + 1)))
     shipped = spark.sparkContext.broadcast((fitted.often, fitted.often_logs, fitted.head, np.log10(fitted.head_counts + 0.5)))
     trunk_of = spark.sparkContext.broadcast(fitted.model)
-    end_log = float(np.log10(fitted.ends + 0.5))
-    end_known = int(fitted.ends > 0)
+    ends = fitted.ends
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("rid", F.monotonically_increasing_id())
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, often_log, head, head_log = shipped.value
-        late: dict[int, list] = {_WORDS: [], _RUNS: []}
-        size, id_type = 0, [pa.null()]
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for kind, where in ((_WORDS, _word_bucket), (_RUNS, _branch_bucket)):
-                x, r = np.concatenate([p[0] for p in late[kind]]), np.concatenate([p[1] for p in late[kind]])
-                for b in _blobs(kind, x, r, where(x, n), n):
-                    yield _part(kind, pa.nulls(b.num_rows, id_type[0]), bucket=b.column("bucket"), keys=b.column("keys"), vals=b.column("vals"))
-
-        for batch in batches:
-            rid, ids = batch.column("rid").to_numpy(zero_copy_only=False), batch.column("id")
-            id_type[0] = ids.type
-            for lo, hi, data, off in X.slices(batch.column("text")):
-                w = X.words(data, off)
-                docs_of = w.docs
-                order = np.argsort(w.hashes)
-                h, d = w.hashes[order], docs_of[order]
-                u, c = counted(h)
-                at, found = _find(head, u)
-                logs = np.repeat(np.where(found, head_log[at] if len(head) else 0.0, 0.0), c)
-                is_head = np.repeat(found, c)
-                m = hi - lo
-                base = np.bincount(d, weights=logs, minlength=m)
-                known = np.bincount(d[is_head], minlength=m)
-                symbols, scored, doc = spelled(w, off)
-                packed = np.sort(codes(symbols, scored) << np.uint64(16) | doc[scored].astype(np.uint64))
-                u, c = counted(packed >> np.uint64(16))
-                at, found = _find(often, u)
-                logs = np.repeat(np.where(found, often_log[at] if len(often) else 0.0, 0.0), c)
-                is_often = np.repeat(found, c)
-                d_run = (packed & np.uint64(0xFFFF)).astype(np.int64)
-                total = np.bincount(d_run, weights=logs, minlength=m)
-                yield _part(0, ids.slice(lo, m), rid=rid[lo:hi], n=w.counts + 1, known=known + end_known, base=base + end_log - (w.counts + 1) * norm, score=total)
-                late[_WORDS].append((h[~is_head], rid[lo:hi][d[~is_head]]))
-                late[_RUNS].append((packed[~is_often] >> np.uint64(16), rid[lo:hi][d_run[~is_often]]))
-                size += len(late[_WORDS][-1][0]) + len(late[_RUNS][-1][0])
-                if size > FLUSH:
-                    yield from flush()
-                    late, size = {_WORDS: [], _RUNS: []}, 0
-        if late[_WORDS]:
-            yield from flush()
-
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Counts of a bucket's words and its branches, then the words and runs that look for theirs, summed by row."""
         top = trunk_of.value
         keys, logs, tree, bucket = np.zeros(0, np.uint64), np.zeros(0), {}, None
         model = top
         for batch in batches:
-            for b, kind, x, y in zip(*(batch.column(i).to_pylist() for i in ("bucket", "kind", "keys", "vals")), strict=True):
+            for b, kind, x, y in _blob_rows(batch):
                 if b != bucket:
                     keys, logs, tree, bucket, model = np.zeros(0, np.uint64), np.zeros(0), {}, b, top
                 if kind < 0:
@@ -505,9 +556,9 @@ def score(docs: DataFrame, fitted: Fitted, id_col: str = "doc_id", text_col: str
 
     # The measuring pass is written once: its rows by document and its words and runs by bucket are read apart.
     kind = rows.schema["id"].dataType.simpleString()
-    parts = written(rows.select("rid", "id", "text").mapInArrow(measure, f"{_PART}, id {kind}"), "suffix-parts")
+    parts = written(rows.select("rid", "id", "text").mapInArrow(lambda it: _freed(_measure(it, shipped.value, n, norm, ends)), f"{_PART}, id {kind}"), "suffix-parts")
     late = parts.where("kind > 0").select("bucket", "kind", "keys", "vals").unionByName(fitted.counts.where("kind = -1")).unionByName(fitted.tree)
-    settled = late.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(settle, "rid long, known long, base double, score double")
+    settled = late.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(lambda it: _freed(settle(it)), "rid long, known long, base double, score double")
     whole = parts.where("kind = 0").select("rid", "id", "n", "known", "base", "score")
     both = whole.unionByName(settled, allowMissingColumns=True)
     return both.groupBy("rid").agg(F.max("id").alias("id"), F.max("n").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.round(F.sum("score"), 9).alias("score")).drop("rid")

@@ -6,9 +6,11 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,6 +180,84 @@ def plain_tree(texts):
     return score
 
 
+def random_texts(size, docs=4000):
+    """An Arrow batch of random words: nearly every word and run of six symbols is a new one."""
+    symbols = np.random.default_rng(5).choice(np.frombuffer(b"abcdefghijklmnopqrstuvwxyz    ", np.uint8), size).tobytes().decode()
+    each = size // docs
+    texts = [symbols[i * each : (i + 1) * each] for i in range(docs)]
+    return texts, pa.RecordBatch.from_arrays([pa.array(range(docs), pa.int64()), pa.array(range(docs), pa.int64()), pa.array(texts)], names=["rid", "id", "text"])
+
+
+def traced(batches):
+    """(batches, the most MB that numpy and Python held meanwhile; what comes out is memory of Arrow and does not count)."""
+    tracemalloc.start()
+    try:
+        out = list(batches)
+        return out, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_suffix_tree_gathers_all_counts_in_bounded_memory():
+    texts, batch = random_texts(16_000_000)
+    out, peak = traced(op2_suffix_tree._gather(iter([batch.select(["text"])]), 48))
+    assert peak < 130
+    got = {-1: [], op2_suffix_tree.DEPTH: []}
+    for x in out:
+        assert x.nbytes < 6 << 20
+        for b, k, keys, vals in zip(*(x.column(i).to_pylist() for i in range(4)), strict=True):
+            got[k].append((np.frombuffer(keys, np.uint64), np.frombuffer(vals, np.int64)))
+    w = X.words(*X.buffers(batch.column("text")))
+    symbols, scored, _ = op2_suffix_tree.spelled(w, X.buffers(batch.column("text"))[1])
+    for k, want in ((-1, w.hashes), (op2_suffix_tree.DEPTH, op2_suffix_tree.codes(symbols, scored))):
+        keys, counts = op2_suffix_tree.counted(np.concatenate([x for x, _ in got[k]]), np.concatenate([y for _, y in got[k]]))
+        plain, plain_counts = np.unique(want, return_counts=True)
+        assert (keys == plain).all() and (counts == plain_counts).all()
+
+
+def test_suffix_tree_measures_in_bounded_memory():
+    texts, batch = random_texts(16_000_000)
+    none = np.zeros(0, np.uint64), np.zeros(0)
+    out, peak = traced(op2_suffix_tree._measure(iter([batch]), (*none, *none), 48, 0.0, 1))
+    assert peak < 130
+    found = {op2_suffix_tree._WORDS: 0, op2_suffix_tree._RUNS: 0}
+    for x in out:
+        for k, keys in zip(x.column("kind").to_pylist(), x.column("keys").to_pylist(), strict=True):
+            if k:
+                found[k] += len(keys) // 8
+    assert found == {op2_suffix_tree._WORDS: sum(len(t.split()) for t in texts), op2_suffix_tree._RUNS: sum(max(1, len(" ".join(t.split())) + 1) for t in texts)}
+
+
+def test_suffix_tree_hands_freed_memory_back():
+    last = []
+
+    def work():
+        held = [np.full(100_000, 1.0) for _ in range(200)]
+        last.append(held[-1])  # it keeps the allocator from giving the others back by itself
+        yield from (pa.RecordBatch.from_arrays([pa.array([i])], names=["i"]) for i in range(3))
+
+    def anonymous():
+        with open("/proc/self/smaps_rollup") as f:
+            return next(int(x.split()[1]) for x in f if x.startswith("Pss_Anon")) / 1024
+
+    np.zeros(4_000_000).sum()  # from now on glibc takes arrays of that size from its heap
+    before = anonymous()
+    assert [b.column(0).to_pylist() for b in op2_suffix_tree._freed(work())] == [[0], [1], [2]]
+    assert anonymous() < before + 20
+
+
+def test_suffix_tree_tally_sums_by_key(monkeypatch):
+    monkeypatch.setattr(op2_suffix_tree, "PENDING", 7)
+    rng, want, tally = np.random.default_rng(2), collections.Counter(), op2_suffix_tree.Tally()
+    for _ in range(50):
+        x, c = op2_suffix_tree.counted(rng.integers(0, 60, rng.integers(0, 20)).astype(np.uint64) << np.uint64(58))
+        want.update(dict(zip(x.tolist(), c.tolist(), strict=True)))
+        tally.add(x, c)
+    keys, vals = tally.taken()
+    assert list(zip(keys.tolist(), vals.tolist(), strict=True)) == sorted(want.items())
+    assert not len(tally.taken()[0])
+
+
 @pytest.mark.parametrize("p_run", [5e-7, 1e-3, 1.0])
 def test_suffix_tree_matches_plain_tree(spark, docs, p_run):
     fitted = op2_suffix_tree.fit(docs, p_run=p_run)
