@@ -259,6 +259,29 @@ def test_grouped_factors_match_plain_updates(spark):
         assert np.allclose([got[i] for i in range(g, 40, 2)], w, rtol=1e-9)
 
 
+def test_grouped_factors_take_bytes_and_no_shuffle_a_round(spark, monkeypatch):
+    """Blocks of a few reads, fractions as well as marks, sums combined by a shuffle or not: the same weights; small whole values are stored as bytes."""
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 3, (30, 5)).astype(float)
+    x[rng.random(x.shape) < 0.3] = np.nan
+
+    def weights(scale):
+        calls = spark.createDataFrame([(None if i % 2 else "a", f"r{i}", p, None if np.isnan(v) else float(v) * scale) for i, row in enumerate(x) for p, v in enumerate(row)], "g string, read_id string, position long, call double")
+        return {r["read_id"]: r["weights"] for r in latent.grouped_nmf(calls, ("g",), 2, rounds=5, keep=2).collect()}
+
+    jobs, whole = [], latent.cut_lineage
+    monkeypatch.setattr(latent, "cut_lineage", lambda df: jobs.append(dict(df.dtypes)) or whole(df))
+    got = weights(1.0)
+    assert all(d.get("x", "binary") == "binary" for d in jobs) and sum("x" in d for d in jobs) == 4
+    monkeypatch.setattr(latent, "NMF_ROWS", 4)
+    monkeypatch.setattr(latent, "SUMS_BYTES", 0)
+    again = weights(1.0)
+    half = weights(0.5)
+    assert set(got) == set(again) == set(half) and all(np.allclose(got[k], again[k], rtol=1e-9) for k in got)
+    seen = ~np.isnan(x)
+    assert len(got) == int(seen.any(axis=1).sum()) and all(min(half[k]) >= 0 for k in half)
+
+
 def test_every_read_has_a_part_in_the_factors(spark):
     """Reads after the 20,000th in hash order have a pattern of their own, which the factors must know."""
     order = [r[0] for r in spark.range(30_000).orderBy(F.xxhash64("id"), "id").collect()]
