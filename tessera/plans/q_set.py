@@ -132,9 +132,11 @@ def scalar_scatter_window(t: Tables):
 
 @query(f"""SELECT reference, position, covered, round(matched / CAST(covered AS DOUBLE), 9) AS identity FROM (SELECT b.reference, position, count(*) AS covered, count(*) FILTER (substr(b.sequence, query_position + 1, 1) = substr(r.sequence, position + 1, 1)) AS matched FROM {BLOCKS} b JOIN $references r ON r.reference = b.reference WHERE position < 600 GROUP BY 1, 2)""")
 def scalar_reference_identity(t: Tables):
+    # Bases are counted before they meet the reference: the optimizer takes expanded segments for as small as their file, and would broadcast them.
+    seen = C.scatter(t.segments).groupBy("reference", "position", "base").agg(F.count("*").alias("n"))
     bases = grid.bases(t.references).select("reference", "position", F.col("base").alias("expected"))
-    rows = C.scatter(t.segments).join(bases, ["reference", "position"])
-    per = rows.groupBy("reference", "position").agg(F.count("*").alias("covered"), F.sum((F.col("base") == F.col("expected")).cast("long")).alias("matched"))
+    rows = seen.hint("merge").join(bases, ["reference", "position"])
+    per = rows.groupBy("reference", "position").agg(F.sum("n").alias("covered"), F.sum(F.when(F.col("base") == F.col("expected"), F.col("n")).otherwise(0)).alias("matched"))
     return per.select("reference", "position", "covered", F.round(F.col("matched") / F.col("covered"), 9).alias("identity"))
 
 

@@ -41,3 +41,9 @@ def test_query(spark, con, name):
         names = [d[0] for d in res.description]
         assert sorted(names) == cols
         assert got == sorted((tuple(plain(r[names.index(c)]) for c in cols) for r in res.fetchall()), key=repr)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
+def test_expanded_segments_are_not_broadcast(spark):
+    """The estimate of expanded segments is their file's size, so a plan must not broadcast them (or anything else by that estimate)."""
+    assert "Broadcast" not in QUERIES["scalar_reference_identity"](spark, SF)._jdf.queryExecution().sparkPlan().toString()
