@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,20 +36,40 @@ def masked_hamming(a: str, b: str) -> tuple[Column, Column]:
     return count(diff), count(both)
 
 
-def sorted_neighbours(reads: DataFrame, group: tuple[str, ...], key: Column, identity: str, window: int, block: int = 4096) -> DataFrame:
-    """Pairs at most `window` places apart in the order of key within a group.
+def sorted_neighbours(reads: DataFrame, group: tuple[str, ...], key: Column, identity: str, words: int, window: int, least_overlap: int, threshold: float, block: int = 4096) -> DataFrame:
+    """Pairs (a, b, mismatches, overlap) that agree and lie at most `window` places apart in the order of key within a group.
 
     Ranks run through all groups, numbered range by range, so a group of any size is ranked by many tasks.
-    They fall into blocks; a row meets the rows of its own block and of the next, so the join is an equi-join
-    on (group, block) and no block holds more than `block` rows, whatever the group's size.
+    They fall into blocks of `block` rows, each with the first `window` rows of the next, and a block is
+    compared place by place, a shift at a time: work is rows times window, and no task holds more than a block.
     """
-    ranked = global_rank(reads.withColumn("_o", key), *group, "_o", identity, out="_r").withColumn("_k", F.floor(F.col("_r") / block))
-    left = ranked.select("*", F.explode(F.array(F.col("_k"), F.col("_k") + 1)).alias("_t")).alias("x")
-    right = ranked.withColumn("_t", F.col("_k")).alias("y")
-    same = F.col("x._t") == F.col("y._t")
-    for g in group:
-        same = same & (F.col(f"x.{g}") == F.col(f"y.{g}"))
-    return left.join(right, same & (F.col("y._r") > F.col("x._r")) & (F.col("y._r") <= F.col("x._r") + window))
+    block = max(block, window)
+    flat = [F.col(c)[k].alias(f"{c[0]}{k}") for c in ("bits", "valid") for k in range(words)]
+    ranked = global_rank(reads.dropna(subset=list(group)).select(*group, identity, *flat, key.alias("_o")), *group, "_o", identity, out="_r")
+    at = F.floor((F.col("_r") - 1) / block)
+    shared = F.when(((F.col("_r") - 1) % block < window) & (at > 0), F.array(at, at - 1)).otherwise(F.array(at))
+    dealt = ranked.drop("_o").withColumn("_k", F.explode(shared))
+    kind = dict(reads.dtypes)[identity]
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_r")
+        ids, of = pdf[identity].to_numpy(), pdf.groupby(list(group), sort=False).ngroup().to_numpy()
+        bits, valid = (pdf[[f"{c}{k}" for k in range(words)]].to_numpy(np.int64).view(np.uint64) for c in "bv")
+        own = int(((pdf["_r"].to_numpy() - 1) // block == pdf["_k"].iloc[0]).sum())
+        found = []
+        for d in range(1, window + 1):
+            n = min(own, len(ids) - d)
+            if n <= 0:
+                break
+            both = valid[:n] & valid[d : n + d]
+            overlap = np.bitwise_count(both).sum(axis=1, dtype=np.int32)
+            differ = np.bitwise_count((bits[:n] ^ bits[d : n + d]) & both).sum(axis=1, dtype=np.int32)
+            i = np.flatnonzero((of[:n] == of[d : n + d]) & (overlap >= least_overlap) & (differ < threshold * overlap))
+            x, y = ids[i], ids[i + d]
+            found.append(pd.DataFrame({"a": np.where(x < y, x, y), "b": np.where(x < y, y, x), "mismatches": differ[i], "overlap": overlap[i]}))
+        return pd.concat(found) if found else pd.DataFrame({c: [] for c in ("a", "b", "mismatches", "overlap")})
+
+    return dealt.groupBy("_k").applyInPandas(compare, f"a {kind}, b {kind}, mismatches int, overlap int")
 
 
 def near_duplicate_reads(calls: DataFrame, group: tuple[str, ...], width: int, *, window: int = 50, least_overlap: int = 20, threshold: float = 0.07, passes: int = 4) -> DataFrame:
@@ -61,9 +83,7 @@ def near_duplicate_reads(calls: DataFrame, group: tuple[str, ...], width: int, *
         step = (2 * k + 1) * 7919 if k else 1
         moved = F.array_sort(F.transform("s", lambda x: F.struct((x["position"] * F.lit(step) % 1000003).alias("o"), x["position"].alias("p"), x["c"].alias("c"))))
         order = F.array_join(F.transform(moved, lambda x: F.concat(x["p"].cast("string"), x["c"])), "")
-        pairs = sorted_neighbours(rows.select(*group, "read_id", "bits", "valid", order.alias("_key")), group, F.col("_key"), "read_id", window)
-        differ, shared = masked_hamming("x", "y")
-        got = pairs.select(F.least("x.read_id", "y.read_id").alias("a"), F.greatest("x.read_id", "y.read_id").alias("b"), differ.alias("mismatches"), shared.alias("overlap")).where((F.col("overlap") >= least_overlap) & (F.col("mismatches") < threshold * F.col("overlap")))
+        got = sorted_neighbours(rows, group, order, "read_id", -(-width // 63), window, least_overlap, threshold)
         found = got if found is None else found.unionByName(got)
     return found.distinct()
 
@@ -73,6 +93,7 @@ def duplicate_reads(calls: DataFrame, group: tuple[str, ...], width: int, *, win
 
     Reads of equal calls are one read in all passes, so copies use up no window; read ids are unique over groups.
     """
+    calls = cut_lineage(calls.select(*group, "read_id", "position", "call"))
     rows = cut_lineage(packed(calls, (*group, "read_id"), "position", "call", width))
     same = cut_lineage(rows.groupBy(*group, "bits", "valid").agg(F.min("read_id").alias("node"), F.count("*").alias("copies")))
     whole = calls.join(same.select(F.col("node").alias("read_id")), "read_id", "left_semi")

@@ -560,3 +560,22 @@ def test_training_plans():
     for bad, place in (({"more": {}}, "unknown sections"), ({"jobs": {"j": {"model": "n"}}}, "jobs.j.model"), ({"splits": {"p": {"kind": "odd"}}}, "splits.p.kind"), ({"splits": {"p": {"shares": {"train": 0.9}}}}, "splits.p.shares"), ({"datasets": {"d": {"experiments": ["e"]}}}, "datasets.d"), ({"models": {"m": {"colour": 1}}}, "models.m: unknown"), ({"models": {"n": {}}}, "models.n: fields missing")):
         with pytest.raises(ValueError, match=place):
             training_plan(raw, bad)
+
+
+@pytest.mark.parametrize("block", [1, 7, 4096])
+def test_sorted_neighbours_meet_across_blocks(spark, block):
+    """Pairs within the window of a group's order, over block and group borders, against all pairs; no join makes candidates."""
+    rng = random.Random(block)
+    rows = [(rng.choice("ab") if i % 9 else None, i, rng.randrange(1 << 40), (1 << 63) - 1 - (1 << rng.randrange(60)), rng.randrange(1000)) for i in range(80)]
+    df = spark.createDataFrame([(g, i, [b], [v], k) for g, i, b, v, k in rows], "g string, read_id long, bits array<long>, valid array<long>, k long").repartition(3)
+    pairs = dedup.sorted_neighbours(df, ("g",), F.col("k"), "read_id", 1, 4, 20, 0.3, block)
+    assert "SortMergeJoin" not in pairs._jdf.queryExecution().sparkPlan().toString()
+    want = set()
+    for g in "ab":
+        order = sorted((k, i, b, v) for h, i, b, v, k in rows if h == g)
+        for x, y in itertools.combinations(range(len(order)), 2):
+            both = order[x][3] & order[y][3]
+            differ = bin((order[x][2] ^ order[y][2]) & both).count("1")
+            if y - x <= 4 and both.bit_count() >= 20 and differ < 0.3 * both.bit_count():
+                want.add((*sorted((order[x][1], order[y][1])), differ, both.bit_count()))
+    assert {tuple(r) for r in pairs.collect()} == want and want
