@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.sources.shared import cut_lineage
+
+#: Patterns of a window in a block that meets others.
+PATTERN_ROWS = 16_384
 #: Bases that a reference base may be read as, by chemistry strand.
 ACCEPTED = {"top": {"A": "A", "C": "CT", "G": "G", "T": "T"}, "bottom": {"A": "A", "C": "C", "G": "AG", "T": "T"}}
 
@@ -104,17 +109,44 @@ def rolling_neighbours(calls: DataFrame, group: tuple[str, ...], width: int, win
     lo, hi = F.greatest(F.lit(0), F.ceil((F.col("position") - window + 1) / step) * step), F.least(F.floor(F.col("position") / step) * step, F.lit((width - window) // step * step))
     rows = seen.where(lo <= hi).withColumn("start", F.explode(starts))
     reads = rows.groupBy(*group, "start", "read_id").agg(F.bit_or("_b").alias("v"), F.bit_or(F.when(F.col("call") > 0, F.col("_b")).otherwise(F.lit(0).cast("long"))).alias("b"))
-    patterns = reads.groupBy(*group, "start", "v", "b").agg(F.count("*").alias("n"))
-    x, y = patterns.alias("x"), patterns.alias("y")
-    same = F.col("x.start") == F.col("y.start")
-    for g in group:
-        same = same & (F.col(f"x.{g}") == F.col(f"y.{g}"))
-    shared = F.bit_count(F.col("x.v").bitwiseAND(F.col("y.v")))
-    itself = (F.col("x.v") == F.col("y.v")) & (F.col("x.b") == F.col("y.b"))
-    differ = F.bit_count(F.col("x.b").bitwiseXOR(F.col("y.b")).bitwiseAND(F.col("x.v")).bitwiseAND(F.col("y.v")))
-    met = x.join(y, same & (shared >= least) & (~itself | (F.col("x.n") > 1)))
-    best = met.groupBy(*[F.col(f"x.{g}").alias(g) for g in group], F.col("x.start").alias("start"), F.col("x.v").alias("v"), F.col("x.b").alias("b")).agg(F.min(differ / shared).alias("distance"))
-    return reads.join(best, [*group, "start", "v", "b"]).select(*group, "read_id", "start", "distance")
+    reads = cut_lineage(reads)
+    keys = (*group, "start")
+    patterns = cut_lineage(reads.groupBy(*keys, "v", "b").agg(F.count("*").alias("n")).where(F.bit_count("v") >= least))
+    # A pattern of two reads or more is at no distance of itself; the others are searched for, in blocks that all meet.
+    alone = patterns.where("n = 1")
+    parts = lambda x: F.ceil(x / PATTERN_ROWS).cast("int")
+    sizes = patterns.groupBy(*keys).agg(parts(F.count("*")).alias("hb"), parts(F.sum((F.col("n") == 1).cast("long"))).alias("sb")).where("sb > 0")
+    every = lambda x: F.explode(F.sequence(F.lit(0), F.col(x) - 1))
+    dealt = lambda x: F.pmod(F.xxhash64("v", "b"), F.col(x)).cast("int")
+    home = patterns.join(sizes, [*keys]).select(*keys, dealt("hb").alias("hp"), every("sb").alias("sp"), "v", "b")
+    seek = alone.join(sizes, [*keys]).select(*keys, every("hb").alias("hp"), dealt("sb").alias("sp"), "v", "b")
+    seek = seek.select(*[F.col(c).alias(c) for c in seek.columns])  # columns of its own beside home's
+    kinds = dict(seek.dtypes)
+
+    def nearest(seek: pd.DataFrame, home: pd.DataFrame) -> pd.DataFrame:
+        if not len(seek) or not len(home):
+            return pd.DataFrame({c: [] for c in (*keys, "v", "b", "distance")})
+        v, b, hv, hb = (x.to_numpy(np.int64).view(np.uint64) for x in (seek["v"], seek["b"], home["v"], home["b"]))
+        if window <= 16:  # turned so that the window's bits are the lowest
+            r = int(seek["start"].iloc[0]) % 64
+            v, b, hv, hb = (((x >> np.uint64(r)) | (x << np.uint64((64 - r) % 64))).astype(np.uint16) for x in (v, b, hv, hb))
+        # Shares by rank: a cell's shared and differing calls name its rank.
+        share = np.array([[d / n if n >= max(least, 1) and d <= n else np.inf for d in range(65)] for n in range(65)]).reshape(-1)
+        values, rank = np.unique(share, return_inverse=True)
+        rank, best = rank.astype(np.uint16), np.zeros(len(v), np.uint16)
+        for i in range(0, len(v), 64):
+            part = slice(i, i + 64)
+            both = v[part, None] & hv
+            cell = rank[np.bitwise_count(both).astype(np.uint16) * np.uint16(65) + np.bitwise_count((b[part, None] ^ hb) & both)]
+            cell[(v[part, None] == hv) & (b[part, None] == hb)] = len(values) - 1
+            best[part] = cell.min(axis=1)
+        at = np.flatnonzero(np.isfinite(values[best]))
+        return pd.DataFrame({c: seek[c].to_numpy(object)[at] for c in (*keys, "v", "b")} | {"distance": values[best][at]})
+
+    by = (*keys, "hp", "sp")
+    found = seek.groupBy(*by).cogroup(home.groupBy(*by)).applyInPandas(nearest, ", ".join(f"{c} {kinds[c]}" for c in (*keys, "v", "b")) + ", distance double")
+    best = found.groupBy(*keys, "v", "b").agg(F.min("distance").alias("distance")).unionByName(patterns.where("n > 1").select(*keys, "v", "b", F.lit(0.0).alias("distance")))
+    return reads.join(best, [*keys, "v", "b"]).select(*group, "read_id", "start", "distance")
 
 
 def top_segments(segments: DataFrame, key: str, partner: str, most: int, overlap: int, least: int) -> DataFrame:

@@ -579,3 +579,21 @@ def test_sorted_neighbours_meet_across_blocks(spark, block):
             if y - x <= 4 and both.bit_count() >= 20 and differ < 0.3 * both.bit_count():
                 want.add((*sorted((order[x][1], order[y][1])), differ, both.bit_count()))
     assert {tuple(r) for r in pairs.collect()} == want and want
+
+
+@pytest.mark.parametrize("rows_of_block", [3, 10_000])
+def test_rolling_neighbours_in_blocks(spark, monkeypatch, rows_of_block):
+    """Patterns in blocks that all meet, a window beyond the 64th position too, against all pairs of reads."""
+    monkeypatch.setattr(variants, "PATTERN_ROWS", rows_of_block)
+    rng = random.Random(5)
+    reads = {i: {p: rng.choice([0, 1, 1]) for p in range(80) if rng.random() < 0.6} for i in range(25)}
+    reads[25], reads[26] = dict(reads[0]), {3: 1}
+    calls = spark.createDataFrame([("g" if i % 3 else "h", i, p, c) for i, r in reads.items() for p, c in r.items()], "g string, read_id long, position long, call int")
+    got = {(r["read_id"], r["start"]): r["distance"] for r in variants.rolling_neighbours(calls, ("g",), 80, 10, 10, 4).collect()}
+    want = {}
+    for i, j in itertools.permutations(reads, 2):
+        for start in range(0, 80, 10):
+            both = [p for p in range(start, start + 10) if p in reads[i] and p in reads[j]]
+            if bool(i % 3) == bool(j % 3) and len(both) >= 4:
+                want[i, start] = min(want.get((i, start), 1.0), sum(reads[i][p] != reads[j][p] for p in both) / len(both))
+    assert got == want
