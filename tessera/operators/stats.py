@@ -7,10 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.ragged import flat, numbers
+
 
 def position_pairs(calls: DataFrame, group: tuple[str, ...], value: str = "call") -> DataFrame:
     """Co-observed calls of every ordered pair of positions of a read, counted: n11, n10, n01, n00 by (group, i, j).
@@ -181,16 +184,38 @@ def periodicity(curves: DataFrame, keys: tuple[str, ...], lag: str, value: str,
 
 
 def detrend(rows: DataFrame, keys: tuple[str, ...], position: str, value: str, degree: int = 2) -> DataFrame:
-    """Each read's values minus a fitted polynomial of its positions; a read is a bounded group."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf[position].to_numpy(float), pdf[value].to_numpy(float)
-        d = max(0, min(degree, len(set(x)) - 1))
-        scale = max(1.0, np.abs(x).max(initial=1.0))
-        return pdf.assign(detrended=y - np.polyval(np.polyfit(x / scale, y, d), x / scale))
+    """Each read's values minus a fitted polynomial of its positions; a read is one row of arrays, and reads of a batch are fitted together.
 
+    Polynomials are orthogonal over the read's own positions (Forsythe's recurrence), so a fit is a projection
+    for each degree, of which a read has at most as many as distinct positions less one.
+    """
     kept = rows.where(F.col(value).isNotNull()).select(*keys, position, value)
-    return kept.groupBy(*keys).applyInPandas(one, f"{', '.join(f'{n} {t}' for n, t in kept.dtypes)}, detrended double")
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, items = flat(batch["a"])
+            x, rest, n = numbers(items, "p"), numbers(items, "v"), len(batch)
+            total = lambda z: np.bincount(at, z, n)  # noqa: E731, B023
+            ratio = lambda u, d: np.divide(u, d, out=np.zeros(n), where=d > 0)  # noqa: E731, B023
+            order = np.lexsort((x, at))
+            fresh = np.ones(len(x), bool)
+            fresh[1:] = (np.diff(x[order]) != 0) | (np.diff(at[order]) != 0)
+            most = np.minimum(degree, np.bincount(at[order][fresh], minlength=n) - 1)
+            x = x - ratio(total(x), np.bincount(at, minlength=n).astype(float))[at]
+            widest = np.zeros(n)
+            np.maximum.at(widest, at, np.abs(x))
+            x = x / np.maximum(widest, 1e-300)[at]
+            before, now, norm_before = np.zeros(len(x)), np.ones(len(x)), np.zeros(n)
+            for j in range(degree + 1):
+                norm = total(now * now)
+                rest = rest - np.where(most >= j, ratio(total(rest * now), norm), 0.0)[at] * now
+                turn = (x - ratio(total(x * now * now), norm)[at]) * now - ratio(norm, norm_before)[at] * before
+                before, now, norm_before = now, turn, norm
+            place = pa.array(at)
+            yield pa.RecordBatch.from_arrays([*[batch[k].take(place) for k in keys], items.field("p"), items.field("v"), pa.array(rest)], [*keys, position, value, "detrended"])
+
+    listed = kept.groupBy(*keys).agg(F.collect_list(F.struct(F.col(position).alias("p"), F.col(value).alias("v"))).alias("a"))
+    return listed.mapInArrow(fitted, f"{', '.join(f'{n} {t}' for n, t in kept.dtypes)}, detrended double")
 
 
 def needleman_wunsch(a: str, b: str, match: int = 1, mismatch: int = -1, gap: int = -1) -> list[tuple[str, int, int, str, str]]:

@@ -597,3 +597,21 @@ def test_rolling_neighbours_in_blocks(spark, monkeypatch, rows_of_block):
             if bool(i % 3) == bool(j % 3) and len(both) >= 4:
                 want[i, start] = min(want.get((i, start), 1.0), sum(reads[i][p] != reads[j][p] for p in both) / len(both))
     assert got == want
+
+
+def test_detrended_reads_of_a_batch_against_polyfit(spark):
+    """Reads of one to thirty positions, some repeated, fitted together: each as by itself; no Python call for each read."""
+    rng = np.random.default_rng(8)
+    reads = {f"r{i}": (rng.integers(0, 1 + i * 40, 1 + i), rng.normal(size=1 + i)) for i in range(30)}
+    df = spark.createDataFrame([(k, int(p), float(v)) for k, (x, y) in reads.items() for p, v in zip(x, y, strict=True)] + [("none", 1, None)], "read_id string, position long, signal double")
+    made = stats.detrend(df, ("read_id",), "position", "signal")
+    assert "FlatMapGroupsInPandas" not in made._jdf.queryExecution().sparkPlan().toString()
+    got = {}
+    for r in made.collect():
+        got.setdefault(r["read_id"], []).append((r["position"], r["signal"], r["detrended"]))
+    assert set(got) == set(reads)
+    for k, (x, y) in reads.items():
+        p, v, d = (np.array(c) for c in zip(*got[k], strict=True))
+        assert sorted(zip(p, v, strict=True)) == sorted(zip(x.tolist(), y.tolist(), strict=True))
+        q = p / max(1.0, np.abs(p).max())
+        assert np.allclose(d, v - np.polyval(np.polyfit(q, v, min(2, len(set(x.tolist())) - 1)), q), atol=1e-8)
