@@ -13,9 +13,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.ragged import flat, numbers
+
 EPS = 1e-8
 #: Padded positions of a block of reads.
 CELLS = 1_000_000
@@ -270,20 +273,39 @@ def tile_large(start: int, end: int, taken: list[tuple[int, int]], size: int = 1
 
 
 def refine(runs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Refined calls and tiles of runs with columns start, end, left_free and right_free, by read."""
-    kinds = dict(runs.dtypes)
+    """Refined calls and tiles of runs with columns start, end, left_free and right_free, by read.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("start")
-        calls, rows = [], []
-        for r in pdf.itertuples():
-            got = refine_runs(int(r.start), int(r.end), int(r.left_free), int(r.right_free))
-            if got and int(r.end) - int(r.start) < 2 * 147:
-                calls.append(got[1:])
-                rows.append(got)
-        for r in pdf.itertuples():
-            if int(r.end) - int(r.start) >= 2 * 147:
-                rows += [("tile", s, e) for s, e in tile_large(int(r.start), int(r.end), calls)]
-        return pd.DataFrame([(*(pdf[k].iloc[0] for k in keys), *x) for x in rows], columns=[*keys, "kind", "start", "end"])
-
-    return runs.groupBy(*keys).applyInPandas(one, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", kind string, start long, end long")
+    A read is one row of arrays, and the runs of a batch are refined together, as refine_runs and tile_large do
+    one by one; only large runs near a call of their own read are tiled one at a time, against the calls there.
+    """
+    kinds = dict(runs.dtypes)
+    octamer, hexamer, wiggle, linker, buffer = 147, 120, 40, 50, 30
+    fields = ("start", "end", "left_free", "right_free")
+
+    def refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, items = flat(batch["a"])
+            start, end, left, right = (numbers(items, c, np.int64) for c in fields)
+            a, b, large = start - np.minimum(left, wiggle), end + np.minimum(right, wiggle), end - start >= 2 * octamer
+            size = np.where(b - a >= octamer, octamer, np.where(b - a >= hexamer, hexamer, 0))
+            at_s = np.minimum(np.maximum((start + end) // 2 - size // 2, a), b - size)
+            call = np.flatnonzero(~large & (size > 0))
+            call = call[np.lexsort((at_s[call], at[call]))]
+            # Calls that a tile of a large run could touch; rows are told apart by an offset wider than all positions.
+            big = np.flatnonzero(large)
+            span = int(max(np.abs(start).max(initial=0), np.abs(end).max(initial=0))) * 2 + 1000
+            first, last = (np.searchsorted(at_s[call] + at[call] * span, x + at[big] * span) for x in (start[big] - buffer - octamer, end[big] + buffer))
+            free, near = big[first == last], [(i, f, z) for i, f, z in zip(big, first, last, strict=True) if f < z]
+            n = (end[free] - start[free] - octamer) // (octamer + linker) + 1
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            tiles = np.repeat(start[free], n) + step * (octamer + linker)
+            slow = [(at[i], s, e) for i, f, z in near for s, e in tile_large(int(start[i]), int(end[i]), [(int(at_s[c]), int(at_s[c] + size[c])) for c in call[f:z]])]
+            rows = np.concatenate([at[call], np.repeat(at[free], n), np.array([x[0] for x in slow], np.int64)])
+            starts = np.concatenate([at_s[call], tiles, np.array([x[1] for x in slow], np.int64)])
+            ends = np.concatenate([at_s[call] + size[call], tiles + octamer, np.array([x[2] for x in slow], np.int64)])
+            names = np.concatenate([np.where(size[call] == octamer, "octamer", "hexamer"), np.full(len(tiles) + len(slow), "tile")])
+            place = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([*[batch[k].take(place) for k in keys], pa.array(names.tolist(), pa.string()), pa.array(starts), pa.array(ends)], [*keys, "kind", "start", "end"])
+
+    listed = runs.groupBy(*keys).agg(F.collect_list(F.struct(*fields)).alias("a"))
+    return listed.mapInArrow(refined, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", kind string, start long, end long")

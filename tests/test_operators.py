@@ -615,3 +615,17 @@ def test_detrended_reads_of_a_batch_against_polyfit(spark):
         assert sorted(zip(p, v, strict=True)) == sorted(zip(x.tolist(), y.tolist(), strict=True))
         q = p / max(1.0, np.abs(p).max())
         assert np.allclose(d, v - np.polyval(np.polyfit(q, v, min(2, len(set(x.tolist())) - 1)), q), atol=1e-8)
+
+
+def test_refined_runs_of_a_batch(spark):
+    """Runs refined together as one by one, with large runs near calls of their own read and of others."""
+    rng = random.Random(10)
+    runs = [(i % 7, s, s + rng.choice([50, 100, 130, 200, 290, 294, 600, 1500]), rng.randrange(60), rng.randrange(60)) for i in range(150) for s in [rng.randrange(4000)]]
+    made = hmm.refine(spark.createDataFrame(runs, "read_id long, start long, end long, left_free long, right_free long").repartition(2), ("read_id",))
+    assert "FlatMapGroupsInPandas" not in made._jdf.queryExecution().sparkPlan().toString()
+    want = []
+    for read in range(7):
+        own = [r[1:] for r in runs if r[0] == read]
+        calls = [g for s, e, a, b in own if e - s < 294 and (g := hmm.refine_runs(s, e, a, b))]
+        want += [(read, *c) for c in calls] + [(read, "tile", *t) for s, e, _, _ in own if e - s >= 294 for t in hmm.tile_large(s, e, [c[1:] for c in calls])]
+    assert sorted(map(tuple, made.collect())) == sorted(want)
