@@ -6,10 +6,16 @@ whole chain of them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from tessera.operators.ragged import flat, numbers
+
 
 def track(keys: tuple[str, ...], order: str) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(order)
@@ -114,20 +120,40 @@ def mismatch_type(segments: DataFrame, keys: tuple[str, ...], home: int) -> Data
 def autocorrelation(calls: DataFrame, keys: tuple[str, ...], position: str, value: str, max_lag: int, pearson: bool = False) -> DataFrame:
     """Sum over pairs within max_lag of centred products, by lag, over the sum of squares (or by pair means); lag 0 is 1; tracks without variance are left out.
 
-    A pair is found by exploding a row's reachable positions into an equi-join, so work is rows times max_lag at most.
+    A track is one row of arrays.  Tracks of a batch are paired together, each item with its next, second next
+    and so on until none is within max_lag, so pairs are never rows and work is rows times max_lag at most.
     """
-    seen = calls.where(F.col(value).isNotNull()).select(*keys, F.col(position).alias("p"), F.col(value).cast("double").alias("v"))
-    whole = Window.partitionBy(*keys)
-    seen = seen.withColumn("x", F.col("v") - F.avg("v").over(whole)).withColumn("n", F.count("*").over(whole))
-    seen = seen.withColumn("ss", F.sum(F.col("x") * F.col("x")).over(whole)).where("n >= 2 and ss > 1e-12")
-    arr = seen.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("p", "x"))).alias("a"), F.first("ss").alias("ss"), F.first("n").alias("n"))
-    pairs = arr.select(*keys, "ss", "n", "a", F.posexplode("a").alias("i", "_l"))
-    after = F.filter(F.slice("a", F.col("i") + 2, F.lit(max_lag)), lambda r: r["p"] - F.col("_l.p") <= max_lag)
-    flat = pairs.select(*keys, "ss", "n", F.col("_l").alias("l"), F.explode(after).alias("r"))
-    lag = (F.col("r.p") - F.col("l.p")).alias("lag")
-    per = flat.where("r.p > l.p").groupBy(*keys, lag).agg(F.sum(F.col("l.x") * F.col("r.x")).alias("s"), F.count("*").alias("pairs"), F.first("ss").alias("ss"), F.first("n").alias("n"))
-    value_ = (F.col("s") / F.col("pairs")) / (F.col("ss") / F.col("n")) if pearson else F.col("s") / F.col("ss")
-    return per.select(*keys, "lag", "pairs", value_.alias("ac")).unionByName(arr.select(*keys, F.lit(0).cast(seen.schema["p"].dataType).alias("lag"), F.col("n").alias("pairs"), F.lit(1.0).alias("ac")))
+    kept = calls.where(F.col(value).isNotNull()).select(*keys, F.col(position).alias("p"), F.col(value).cast("double").alias("v"))
+    kinds = dict(kept.dtypes)
+    listed = kept.groupBy(*keys).agg(F.collect_list(F.struct("p", "v")).alias("a"))
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, items = flat(batch["a"])
+            p, x, n = numbers(items, "p", np.int64), numbers(items, "v"), np.bincount(at, minlength=len(batch))
+            order = np.lexsort((p, at))
+            at, p, x = at[order], p[order], x[order]
+            x = x - (np.bincount(at, x, len(batch)) / np.maximum(n, 1))[at]
+            ss = np.bincount(at, x * x, len(batch))
+            usable = (n >= 2) & (ss > 1e-12)
+            sums, pairs = np.zeros(len(batch) * (max_lag + 1)), np.zeros(len(batch) * (max_lag + 1), np.int64)
+            i, d = np.flatnonzero(usable[at]), 0
+            while len(i):
+                d += 1
+                i = i[i + d < len(at)]
+                i = i[(at[i + d] == at[i]) & (p[i + d] - p[i] <= max_lag)]
+                cell = at[i] * (max_lag + 1) + p[i + d] - p[i]
+                sums += np.bincount(cell, x[i] * x[i + d], len(sums))
+                pairs += np.bincount(cell, minlength=len(pairs))
+            sums, pairs = sums.reshape(-1, max_lag + 1), pairs.reshape(-1, max_lag + 1)
+            pairs[:, 0] = np.where(usable, n, 0)
+            row, lag = np.nonzero(pairs)
+            k = pairs[row, lag]
+            ac = np.where(lag == 0, 1.0, (sums[row, lag] / k) / (ss[row] / n[row]) if pearson else sums[row, lag] / ss[row])
+            place = pa.array(row)
+            yield pa.RecordBatch.from_arrays([*[batch[c].take(place) for c in keys], pa.array(lag).cast(items.field("p").type), pa.array(k), pa.array(ac)], [*keys, "lag", "pairs", "ac"])
+
+    return listed.mapInArrow(paired, ", ".join(f"{c} {kinds[c]}" for c in keys) + f", lag {kinds['p']}, pairs long, ac double")
 
 
 def sliding(rows: DataFrame, position: str, size: int, step: int, first: int, last: int) -> DataFrame:

@@ -629,3 +629,27 @@ def test_refined_runs_of_a_batch(spark):
         calls = [g for s, e, a, b in own if e - s < 294 and (g := hmm.refine_runs(s, e, a, b))]
         want += [(read, *c) for c in calls] + [(read, "tile", *t) for s, e, _, _ in own if e - s >= 294 for t in hmm.tile_large(s, e, [c[1:] for c in calls])]
     assert sorted(map(tuple, made.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("pearson", [False, True])
+def test_autocorrelation_pairs_are_no_rows(spark, pearson):
+    """All pairs within the lag, repeated positions too (which once cut the pairs that a row could reach), against plain sums; no window or exploded pairs."""
+    rng = random.Random(11)
+    tracks = {f"t{i}": [(rng.randrange(12), rng.choice([0, 1, 1])) for _ in range(20)] for i in range(12)} | {"flat": [(1, 1), (2, 1)], "one": [(3, 1)]}
+    df = spark.createDataFrame([(k, p, v) for k, t in tracks.items() for p, v in t] + [("one", 4, None)], "k string, position long, call int").repartition(3)
+    made = islands.autocorrelation(df, ("k",), "position", "call", 5, pearson)
+    plan = made._jdf.queryExecution().sparkPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan
+    want = {}
+    for k, t in tracks.items():
+        mean = sum(v for _, v in t) / len(t)
+        ss = sum((v - mean) ** 2 for _, v in t)
+        if len(t) < 2 or ss <= 1e-12:
+            continue
+        want[k, 0] = (len(t), 1.0)
+        for lag in range(1, 6):
+            x = [(a - mean) * (b - mean) for p, a in t for q, b in t if q - p == lag]
+            if x:
+                want[k, lag] = (len(x), (sum(x) / len(x)) / (ss / len(t)) if pearson else sum(x) / ss)
+    got = {(r["k"], r["lag"]): (r["pairs"], r["ac"]) for r in made.collect()}
+    assert set(got) == set(want) and all(got[x][0] == want[x][0] and math.isclose(got[x][1], want[x][1], abs_tol=1e-9) for x in want)
