@@ -13,11 +13,23 @@ BASES = ("A", "C", "G", "T", "N", "PAD")
 
 def encode(sequence: Column) -> Column:
     """Base codes; unknown letters are N."""
-    return F.transform(F.split(F.upper(sequence), ""), lambda c: F.when(c.isin(*BASES[:4]), F.instr(F.lit("ACGT"), c) - 1).otherwise(4).cast("tinyint"))
+    return _digits(F.translate(_letters(sequence), "ACGTN", "01234"), "tinyint")
+
+
+def _letters(sequence: Column) -> Column:
+    """Upper case, with N for what is none of A C G T N."""
+    return F.regexp_replace(F.upper(sequence), r"(?s)[^ACGTN]", "N")
+
+
+def _digits(text: Column, kind: str) -> Column:
+    """Digits as numbers, by casts of the whole array, which are compiled where functions of an element are not; an empty text has none."""
+    return F.array_remove(F.split(text, ""), "").cast(f"array<{kind}>")
 
 
 def decode(codes: Column) -> Column:
-    return F.array_join(F.transform(codes, lambda c: F.element_at(F.array(*[F.lit(b) for b in (*BASES[:5], "N")]), c.cast("int") + 1)), "")
+    """Letters of base codes, padding as N; a code that is none is an error."""
+    bad = (F.array_max(codes) > 5) | (F.array_min(codes) < 0)
+    return F.when(bad, F.raise_error(F.lit("a base code is from 0 to 5"))).otherwise(F.translate(F.array_join(codes.cast("array<string>"), ""), "012345", "ACGTNN"))
 
 
 def phred_string(scores: Column) -> Column:
@@ -35,12 +47,22 @@ def reverse_complement(sequence: Column) -> Column:
 
 def one_hot(sequence: Column) -> Column:
     """Five flags a base, in the order A C G T N."""
-    return F.flatten(F.transform(encode(sequence), lambda c: F.transform(F.array(*[F.lit(k) for k in range(5)]), lambda k: (c == k).cast("int"))))
+    text = _letters(sequence)
+    for k, letter in enumerate(BASES[:5]):
+        text = F.replace(text, F.lit(letter), F.lit("0" * k + "1" + "0" * (4 - k)))
+    return _digits(text, "int")
 
 
 def one_hot_decode(flags: Column) -> Column:
-    n = F.size(flags) / 5
-    return F.array_join(F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: F.substring(F.lit("ACGTN"), F.array_position(F.slice(flags, i * 5 + 1, F.lit(5)), 1).cast("int"), F.lit(1))), "")
+    """The letter of the first flag that is set of each five, A where none is."""
+    # A comma after each five keeps replacements from starting inside one; patterns are for fives with no flag or several, and digits that are no five go last.
+    # One chain, each step of which is used once, since the steps would be computed for each use.
+    text = F.regexp_replace(F.array_join(flags.cast("array<string>"), "", "0"), "(.{5})", "$1,")
+    for k, letter in enumerate(BASES[:5]):
+        text = F.replace(text, F.lit("0" * k + "1" + "0" * (4 - k) + ","), F.lit(letter))
+    for k, letter in enumerate(BASES[:5]):
+        text = F.regexp_replace(text, "[^,]{%d}1[^,]{%d}," % (k, 4 - k), letter)
+    return F.translate(F.regexp_replace(text, "[^,]{5},", "A"), "0123456789", "")
 
 
 def _counts(sequence: Column, letters: str = "ACGT") -> list[Column]:

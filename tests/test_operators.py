@@ -653,3 +653,18 @@ def test_autocorrelation_pairs_are_no_rows(spark, pearson):
                 want[k, lag] = (len(x), (sum(x) / len(x)) / (ss / len(t)) if pearson else sum(x) / ss)
     got = {(r["k"], r["lag"]): (r["pairs"], r["ac"]) for r in made.collect()}
     assert set(got) == set(want) and all(got[x][0] == want[x][0] and math.isclose(got[x][1], want[x][1], abs_tol=1e-9) for x in want)
+
+
+def test_sequence_codes_at_the_edges(spark):
+    """Empty, lower-case and unknown letters, flags with none or several set or a part of a base; no function of one element at a time."""
+    s, f = F.col("s"), F.col("f")
+    rows = [("", []), ("acgtnx-", [0, 0, 0, 0, 0]), ("A", [0, 1, 1, 0, 0, 1, 0, 0, 0, 0, 0, 0, 1]), (None, None), ("T\nG", [0, 0, 0, 0, 1, 0, 0, 0, 1, 0])]
+    df = spark.createDataFrame(rows, "s string, f array<int>").select("s", sequences.encode(s).alias("c"), sequences.decode(sequences.encode(s)).alias("d"), F.size(sequences.one_hot(s)).alias("n"), sequences.one_hot_decode(sequences.one_hot(s)).alias("o"), sequences.one_hot_decode(f).alias("x"))
+    assert "lambda" not in df._jdf.queryExecution().analyzed().toString()
+    got = {r["s"]: r for r in df.collect()}
+    assert [got["acgtnx-"][k] for k in "cdno"] == [[0, 1, 2, 3, 4, 4, 4], "ACGTNNN", 35, "ACGTNNN"] and got["T\nG"]["o"] == "TNG"
+    assert [got[""][k] for k in "cdnox"] == [[], "", 0, "", ""] and [got[None][k] for k in "cdox"] == [None] * 4
+    assert [got[k]["x"] for k in ("acgtnx-", "A", "T\nG")] == ["A", "CA", "NT"]
+    for bad in (6, -1, 10):
+        with pytest.raises(Exception, match="a base code is from 0 to 5"):
+            spark.createDataFrame([([0, bad],)], "c array<tinyint>").select(sequences.decode(F.col("c"))).collect()
