@@ -21,7 +21,7 @@ from tessera.operators.ragged import flat, numbers
 
 EPS = 1e-8
 #: Padded positions of a block of reads.
-CELLS = 1_000_000
+CELLS = 250_000
 
 
 @dataclass

@@ -668,3 +668,9 @@ def test_sequence_codes_at_the_edges(spark):
     for bad in (6, -1, 10):
         with pytest.raises(Exception, match="a base code is from 0 to 5"):
             spark.createDataFrame([([0, bad],)], "c array<tinyint>").select(sequences.decode(F.col("c"))).collect()
+
+
+def test_hmm_blocks_hold_few_positions():
+    """A batch of ten thousand reads of seventy positions takes blocks of at most a quarter of a million padded positions."""
+    made = list(hmm.blocks([np.arange(70)] * 10_000, [[np.ones(70)] * 10_000] * 2))
+    assert sum(len(r.at) for r in made) == 10_000 and max(r.coords.size for r in made) <= 250_000
