@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -123,28 +124,26 @@ def rolling_neighbours(calls: DataFrame, group: tuple[str, ...], width: int, win
     seek = seek.select(*[F.col(c).alias(c) for c in seek.columns])  # columns of its own beside home's
     kinds = dict(seek.dtypes)
 
-    def nearest(seek: pd.DataFrame, home: pd.DataFrame) -> pd.DataFrame:
-        if not len(seek) or not len(home):
-            return pd.DataFrame({c: [] for c in (*keys, "v", "b", "distance")})
-        v, b, hv, hb = (x.to_numpy(np.int64).view(np.uint64) for x in (seek["v"], seek["b"], home["v"], home["b"]))
-        if window <= 16:  # turned so that the window's bits are the lowest
-            r = int(seek["start"].iloc[0]) % 64
+    def nearest(seek: pa.Table, home: pa.Table) -> pa.Table:
+        v, b, hv, hb = (t[c].to_numpy().astype(np.int64).view(np.uint64) for t in (seek, home) for c in ("v", "b"))
+        if window <= 16 and len(seek):  # turned so that the window's bits are the lowest
+            r = seek["start"][0].as_py() % 64
             v, b, hv, hb = (((x >> np.uint64(r)) | (x << np.uint64((64 - r) % 64))).astype(np.uint16) for x in (v, b, hv, hb))
-        # Shares by rank: a cell's shared and differing calls name its rank.
+        # Shares by rank: a cell's shared and differing calls name its rank, the last of which is no share.
         share = np.array([[d / n if n >= max(least, 1) and d <= n else np.inf for d in range(65)] for n in range(65)]).reshape(-1)
         values, rank = np.unique(share, return_inverse=True)
-        rank, best = rank.astype(np.uint16), np.zeros(len(v), np.uint16)
-        for i in range(0, len(v), 64):
+        rank, best = rank.astype(np.uint16), np.full(len(v), len(values) - 1, np.uint16)
+        for i in range(0, len(v) if len(hv) else 0, 64):
             part = slice(i, i + 64)
             both = v[part, None] & hv
             cell = rank[np.bitwise_count(both).astype(np.uint16) * np.uint16(65) + np.bitwise_count((b[part, None] ^ hb) & both)]
             cell[(v[part, None] == hv) & (b[part, None] == hb)] = len(values) - 1
             best[part] = cell.min(axis=1)
         at = np.flatnonzero(np.isfinite(values[best]))
-        return pd.DataFrame({c: seek[c].to_numpy(object)[at] for c in (*keys, "v", "b")} | {"distance": values[best][at]})
+        return seek.select([*keys, "v", "b"]).take(pa.array(at)).append_column("distance", pa.array(values[best][at]))
 
     by = (*keys, "hp", "sp")
-    found = seek.groupBy(*by).cogroup(home.groupBy(*by)).applyInPandas(nearest, ", ".join(f"{c} {kinds[c]}" for c in (*keys, "v", "b")) + ", distance double")
+    found = seek.groupBy(*by).cogroup(home.groupBy(*by)).applyInArrow(nearest, ", ".join(f"{c} {kinds[c]}" for c in (*keys, "v", "b")) + ", distance double")
     best = found.groupBy(*keys, "v", "b").agg(F.min("distance").alias("distance")).unionByName(patterns.where("n > 1").select(*keys, "v", "b", F.lit(0.0).alias("distance")))
     return reads.join(best, [*keys, "v", "b"]).select(*group, "read_id", "start", "distance")
 
