@@ -674,3 +674,26 @@ def test_hmm_blocks_hold_few_positions():
     """A batch of ten thousand reads of seventy positions takes blocks of at most a quarter of a million padded positions."""
     made = list(hmm.blocks([np.arange(70)] * 10_000, [[np.ones(70)] * 10_000] * 2))
     assert sum(len(r.at) for r in made) == 10_000 and max(r.coords.size for r in made) <= 250_000
+
+
+def test_nearest_rows_with_ties_in_small_blocks(spark, monkeypatch):
+    """Places of a coarse grid, so that rounding and ids decide; distances are held for a few queries at a time, and the result is that of a full sort."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 3, (300, 4)) + rng.normal(0, 1e-11, (300, 4))
+    held, whole = [], latent._distances
+    monkeypatch.setattr(latent, "_distances", lambda a, b: held.append(len(a) * len(b)) or whole(a, b))
+    ids = rng.permutation(300) * 3
+    near, d = latent._least(x, ids, x, ids, 7)
+    full = np.round(whole(x, x), 9)
+    np.fill_diagonal(full, np.inf)
+    best = np.lexsort((np.broadcast_to(ids, full.shape), full), axis=1)[:, :7]
+    assert (near == ids[best]).all() and (d == np.take_along_axis(full, best, 1)).all()
+    few = latent._least(x[:2], ids[:2], x[:5], ids[:5], 7)
+    assert few[0].shape == (2, 5) and np.isinf(few[1]).sum() == 2
+    monkeypatch.setattr(latent, "_distances", whole)
+    monkeypatch.setattr(latent, "CELLS", 50)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in sorted(latent.knn(df, df, 7).collect(), key=lambda r: (r["q"], r["rank"])):
+        got.setdefault(r["q"], []).append(r["p"])
+    assert all(got[int(i)] == ids[b].tolist() for i, b in zip(ids, best, strict=True))
